@@ -8,8 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parcelflow.llm.encode import op5_bpe_encode_decode
 from parcelflow.llm.packing import op6_best_fit_packing
+from parcelflow.llm.quality import op10_quality_discriminant
+from parcelflow.llm.secrets import op4_secret_scan
+from parcelflow.llm.toxicity import op2_toxicity_kernel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_bpe_encode_decode, op6_best_fit_packing)
+    f.__name__: f
+    for f in (
+        op2_toxicity_kernel,
+        op4_secret_scan,
+        op5_bpe_encode_decode,
+        op6_best_fit_packing,
+        op10_quality_discriminant,
+    )
 }
 ORACLES: dict[str, str] = {}
