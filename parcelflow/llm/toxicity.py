@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from parcelflow.llm.common import documents, held_out, slices
 from parcelflow.llm.learning import labels, training
 
-TRAIN_A_CLASS = 4000
-GAP, SPAN, LENGTHS = 0.8, 5, (2, 3)
+TRAIN_A_CLASS = 2000
+GAP, SPAN, LENGTHS = 0.8, 4, (2, 3)
 WIDTH = 0.35  # of the Gaussian, in squared distance of normalised kernel features
 SEEDS, LANDMARKS = 96, 160
 #: Words whose kernel value with every seed is below NEAR count nothing.
@@ -46,6 +46,7 @@ NEAR = 0.55
 TOP = 3  # words of a document that count
 LIKELIHOOD, LEAST = 18.0, 3
 COST = 10.0
+NEGATIVES = 4000  # clean words near the seeds that are trained on
 VARIANT = 0.03  # documents that each inserted-letter variant counts for, as a share
 LONGEST = 40  # letters of a word at once; longer ones are read in overlapping parts
 BITS = 16
@@ -186,7 +187,7 @@ class Machine:
             if (key := (zlib.crc32(t.encode("utf-8", "replace")), len(t), int(toxic[i]))) not in seen:
                 seen.add(key)
                 keep.append(i)
-        sentences = [[[w for c in s.split() if (w := letters(c))] + joined(s.split()) for s in SENTENCE.split(texts[i])] for i in keep]
+        sentences = [[{w for c in s.split() if (w := letters(c))}.union(joined(s.split())) for s in SENTENCE.split(texts[i])] for i in keep]
         marks = toxic[keep]
         self.constant = float((toxic.sum() + 1) / (len(toxic) + 2)) if len(toxic) else 0.5
         if len(np.unique(marks)) < 2:
@@ -204,8 +205,11 @@ class Machine:
         first = Kernel(seeds, len(seeds))
         close = [w for w, ok in zip(clean, first.near(clean), strict=True) if ok]
         if close:
-            value, ok, _ = first(close)
-            hard = [close[i] for i in np.lexsort((close, -value.max(1))) if ok[i]]
+            best, ok = np.zeros(len(close)), np.zeros(len(close), bool)
+            for at in range(0, len(close), 4096):
+                value, ok[at : at + 4096], _ = first(close[at : at + 4096])
+                best[at : at + 4096] = value.max(1)
+            hard = [close[i] for i in np.lexsort((close, -best)) if ok[i]]
         else:
             hard = []
         common = [w for w, _ in sorted(counts[0].items(), key=lambda x: (-x[1], x[0])) if w not in strength]
@@ -217,7 +221,7 @@ class Machine:
         good = values > 1e-6 * values.max()
         self.map = vectors[:, good] / np.sqrt(values[good])
         # each word of a positive sentence that is like a seed, and each of a clean one, as often as it occurs
-        words = list(dict.fromkeys([*sorted(strength), *hard, *common[:1000]]))
+        words = list(dict.fromkeys([*sorted(strength), *hard[:NEGATIVES], *common[:1000]]))
         # inserted and doubled letters: variants of the seeds with most evidence are positive too
         strong = [w for w, e in zip(seeds, self.evidence, strict=True) if e >= 0.5]
         variants = sorted({w[:i] + x + w[i:] for w in strong for i in range(1, len(w)) for x in (w[i - 1], "x")}.difference(words))
