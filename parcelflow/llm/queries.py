@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parcelflow.llm.encode import op5_bpe_encode_decode
 from parcelflow.llm.packing import op6_best_fit_packing
+from parcelflow.llm.pii import op7_personal_data
 from parcelflow.llm.quality import op10_quality_discriminant
 from parcelflow.llm.rules import op9_quality_rules
 from parcelflow.llm.secrets import op4_secret_scan
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_secret_scan,
         op5_bpe_encode_decode,
         op6_best_fit_packing,
+        op7_personal_data,
         op9_quality_rules,
         op10_quality_discriminant,
     )
