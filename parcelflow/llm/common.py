@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -31,6 +32,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are written out: it does so when their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 0 modulo 5; those rows never train a model."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -12,12 +12,14 @@ from parcelflow.llm.pii import op7_personal_data
 from parcelflow.llm.quality import op10_quality_discriminant
 from parcelflow.llm.rules import op9_quality_rules
 from parcelflow.llm.secrets import op4_secret_scan
+from parcelflow.llm.suffix import op3_suffix_dedup
 from parcelflow.llm.toxicity import op2_toxicity_kernel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_toxicity_kernel,
+        op3_suffix_dedup,
         op4_secret_scan,
         op5_bpe_encode_decode,
         op6_best_fit_packing,
