@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelflow.llm.encode import op5_bpe_encode_decode
+from parcelflow.llm.jaccard import op1_ngram_jaccard_join
 from parcelflow.llm.packing import op6_best_fit_packing
 from parcelflow.llm.pii import op7_personal_data
 from parcelflow.llm.quality import op10_quality_discriminant
@@ -18,6 +19,7 @@ from parcelflow.llm.toxicity import op2_toxicity_kernel
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_ngram_jaccard_join,
         op2_toxicity_kernel,
         op3_suffix_dedup,
         op4_secret_scan,
