@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parcelflow.llm.embeddings import op8_embedding_near_dedup
 from parcelflow.llm.encode import op5_bpe_encode_decode
 from parcelflow.llm.jaccard import op1_ngram_jaccard_join
 from parcelflow.llm.packing import op6_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_bpe_encode_decode,
         op6_best_fit_packing,
         op7_personal_data,
+        op8_embedding_near_dedup,
         op9_quality_rules,
         op10_quality_discriminant,
     )
