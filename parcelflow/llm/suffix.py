@@ -39,7 +39,7 @@ from parcelflow.llm.common import documents, materialise, release, slices
 
 LENGTH, GRAM = 50, 26
 #: Bytes of text of a block, and the bytes of a document that are hashed at once.
-BLOCK, PIECE = 12 << 20, 1 << 20
+BLOCK, PIECE = 5 << 20, 1 << 20
 PLACE = np.uint64((1 << 21) - 1)  # bits of a hash that make room for a position of a piece
 TABLE = np.random.Generator(np.random.PCG64(50)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -324,7 +324,7 @@ def dedup(docs: DataFrame, digest: bool = True) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK))
-    seed_buckets = max(1, -(-total // (4 * BLOCK)))
+    seed_buckets = max(1, -(-total // (2 * BLOCK)))
     stretch_buckets = max(1, -(-total // BLOCK))
 
     # the smallest doc_id of each text
