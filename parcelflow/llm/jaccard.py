@@ -384,5 +384,20 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
     return rows.join(named_, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of similar rows, that of the least id; rows without n-grams all stay.
+
+    If several rows have that id, one whose text is in the group stays for each of their distinct texts.  A row without
+    an id stays only where no row of its group has one.
+    """
+    found = similar(docs, words, similarity)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    kept = docs.join(first.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).drop("__id")
+    single = kept.filter("__rows = 1").drop("__rows")
+    # repeated ids are the exception, so only their rows are compared by text
+    repeated = kept.filter("__rows > 1").drop("__rows").withColumn("__md5", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "__md5"]).drop("__md5"))
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(documents(spark, sf_dir), words=4, similarity=Fraction(85, 100))

@@ -31,9 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from parcelflow.llm.common import documents, materialise, release, slices
 
@@ -220,24 +221,24 @@ def stretches(docs: DataFrame, shared: DataFrame, firsts: DataFrame, buckets: in
         text = pa.array([b"".join(out[i] for i in order[a:e].tolist()) for a, e in zip(begins, ends, strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([*made.columns, text], [*made.schema.names, "bytes"])
 
-    schema = "bucket int, doc binary, uid binary, start binary, n binary, offset binary, bytes binary"
+    schema = T.StructType.fromDDL("bucket int, doc binary, uid binary, start binary, n binary, offset binary, bytes binary")
     return cogrouped(docs, shared.unionByName(firsts), blocks, send, schema)
 
 
-def cogrouped(docs: DataFrame, messages: DataFrame, blocks: int, work, schema: str) -> DataFrame:  # noqa: ANN001
+def cogrouped(docs: DataFrame, messages: DataFrame, blocks: int, work, schema: T.StructType) -> DataFrame:  # noqa: ANN001
     """work() for each block: the rows of docs that belong to it, and the messages for it."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = np.array([x or 0 for x in batch.column("doc_id").to_pylist()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(place_of(doc, blocks), pa.int32()), batch.column("doc_id"), batch.column("text")], ["block", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(place_of(doc, blocks), pa.int32()), *batch.columns], ["block", *batch.schema.names])
 
     def tables(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         made = list(work(key, left.to_batches(), right.to_batches()))
         return pa.Table.from_batches(made) if made else empty
 
-    empty = pa.schema([(f.name, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in T.StructType.fromDDL(schema)]).empty_table()
-    dealt = docs.mapInArrow(placed, "block int, doc_id long, text string")
+    empty = to_arrow_schema(schema).empty_table()
+    dealt = docs.mapInArrow(placed, T.StructType([T.StructField("block", T.IntegerType()), *(T.StructField(f.name, f.dataType) for f in docs.schema)]))
     return dealt.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(tables, schema)
 
 
@@ -318,10 +319,16 @@ def spans_of(starts: np.ndarray, lasts: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, digest: bool = True) -> DataFrame:
-    """doc_id, uid, n_bytes, spans (of removed bytes, packed pairs of 64-bit numbers) and kept_sha256 or kept (bytes)."""
+def dedup(docs: DataFrame, digest: bool = True, carry: Column | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (of removed bytes, packed pairs of 64-bit numbers) and kept_sha256, or else kept (the text).
+
+    carry: a struct of each row that comes back beside its result, as `rest`.
+    """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    carried = carry is not None
+    rest = [] if carry is None else [carry.alias("rest")]
+    last = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK))
     seed_buckets = max(1, -(-total // (2 * BLOCK)))
@@ -378,11 +385,27 @@ def dedup(docs: DataFrame, digest: bool = True) -> DataFrame:
                     at = y
                 rest.append(b[at:])
                 left = b"".join(rest)
-                out.append((d, len(b), np.array(cut, np.int64).tobytes(), hashlib.sha256(left).hexdigest() if digest else "", b"" if digest else left, k[1]))
-            c = list(zip(*out, strict=True)) or [()] * 6
-            yield rows(("doc_id", c[0], pa.int64()), ("n_bytes", c[1], pa.int64()), ("spans", c[2], pa.binary()), ("kept_sha256", c[3], pa.string()), ("kept", c[4], pa.binary()), ("uid", c[5], pa.int64()))
-
-    return cogrouped(own, gone.unionByName(mine), blocks, finish, "doc_id bigint, n_bytes bigint, spans binary, kept_sha256 string, kept binary, uid bigint")
+                out.append((d, len(b), np.array(cut, np.int64).tobytes(), hashlib.sha256(left).hexdigest() if digest else None, None if digest or t is None else left.decode("utf-8", "ignore")))
+            c = list(zip(*out, strict=True)) or [()] * 5
+            made = rows(("doc_id", c[0], pa.int64()), ("n_bytes", c[1], pa.int64()), ("spans", c[2], pa.binary()), ("kept_sha256", c[3], pa.string()), ("kept", c[4], pa.string()))
+            yield made if not carried else pa.RecordBatch.from_arrays([*made.columns, batch.column("rest")], [*made.schema.names, "rest"])
+
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, spans binary, kept_sha256 string, kept string")
+    if carry is not None:
+        schema.add("rest", last.schema["rest"].dataType)
+    return cogrouped(last, gone.unionByName(mine), blocks, finish, schema)
+
+
+def rewrite(docs: DataFrame) -> DataFrame:
+    """docs with the removed bytes gone from each text, and n_chars, where there is one, put right.
+
+    Bytes of a character that is cut through are dropped with it.  Null texts stay null.
+    """
+    names = [n for n in docs.columns if n not in ("doc_id", "text")]
+    rest = F.struct(*(F.col(n) for n in names)) if names else F.struct(F.lit(0).alias("_"))
+    found = dedup(docs, digest=False, carry=rest)
+    out = found.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("kept").alias("text"), *(F.col(f"rest.{n}").alias(n) for n in names)).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
