@@ -5,7 +5,7 @@
    similar sets agree on the whole content of some range.  Sets meet that agree on one; K depends on the larger set's
    size band, and a set takes part in its own band and the next.  Sets with more empty ranges than a band's allowance
    also meet by their lowest hashes.  So no similar pair is missed, and sets that merely share a passage hardly meet.
-   Sets that meet, directly or through others, form a cluster.
+   Sets that meet in a band, directly or through others, form a cluster of that band.
 3. Join: a cluster's sets go into a signature tree.  Leaves hold up to LEAF sets, nodes up to FAN children; each has the
    OR and the AND of its sets' token bitmaps and the range of their sizes.  Two nodes are traversed together unless all
    their sets are linked already, or the greatest overlap that bitmaps and sizes allow is below what similarity needs.
@@ -13,7 +13,7 @@
 4. Links make components.  Links between sets that are connected already are not looked for, so a group of thousands of
    copies costs about as many comparisons as it has sets.
 
-Clusters above LARGE sets are joined in blocks, all with the same few PIVOTS; what remains unconnected in such a cluster
+Clusters above LARGE n-grams are joined in blocks, all with the same few PIVOTS; what remains unconnected in such a cluster
 is then joined block by block against its largest component.
 
 A null text, or one without words, has no n-grams and is linked with nothing.  Shorter texts have one n-gram, of all
@@ -39,9 +39,9 @@ from parcelflow.llm.suffix import BASE, TABLE, blobs, utf8
 
 WORDS, SIMILARITY = 5, Fraction(4, 5)
 LEAF, FAN, BITS = 16, 8, 1024
-LARGE, PIVOTS = 1500, 8
-#: Signatures of a bucket, about; texts of a task of small clusters, about.
-BUCKET, TASK = 1 << 20, 400
+#: N-grams of all sets of a cluster from which it is joined in blocks, of a task of small clusters, of a bucket's sets.
+LARGE, TASK, BUCKET = 4 << 20, 1 << 20, 1 << 20
+PIVOTS = 8
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -111,8 +111,8 @@ class Bands:
         allowed = 2 + math.ceil(1.3 * k * math.exp(-self.low[band] / k))
         return k + allowed, allowed
 
-    def signatures(self, h: np.ndarray) -> np.ndarray:
-        """What a set meets others by."""
+    def signatures(self, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """What a set meets others by, for each of its bands."""
         out = []
         own = self.band(len(h))
         mixed = mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
@@ -122,40 +122,42 @@ class Bands:
                 continue
             part = (h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
             first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            out.append(mix(np.add.reduceat(mixed, first) + mix(part[first] + np.uint64(band << 32))))
+            found = mix(np.add.reduceat(mixed, first) + mix(part[first] + np.uint64(band << 32)))
             if k - len(first) > allowed:
                 prefix = len(h) - math.ceil(self.t * len(h)) + 1
-                out.append(mix(h[:prefix] + np.uint64((band << 32) + 1)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                found = np.r_[found, mix(h[:prefix] + np.uint64((band << 32) + 1))]
+            out.append((band, found))
+        return out
 
 
-def classify(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and the digest h1, h2 of every row's set."""
+def classify(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """doc_id, n_shingles, the size band and the digest h1, h2 of every row's set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(similarity)
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(utf8(t), words) for t in part.column("text").to_pylist()]
                 h = np.array([digest(s) for s in sets], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "n_shingles", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands.band(max(1, len(s))) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "n_shingles", "band", "h1", "h2"])
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.mapInArrow(work, "doc_id long, n_shingles long, band long, h1 long, h2 long")
 
 
 def meetings(docs: DataFrame, words: int, similarity: Fraction, buckets: int) -> DataFrame:
-    """Pairs of digests (a1, a2, b1, b2) that connect all sets with a common signature."""
+    """Pairs of sets (a1, a2), (b1, b2), in a band, that connect all sets with a common signature there."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(similarity)
         for batch in batches:
             for part in slices(batch):
-                seen: dict[tuple[int, int], np.ndarray] = {}
+                seen: dict[tuple[int, int], list] = {}
                 for t in part.column("text").to_pylist():
                     if t:
                         s = shingles(utf8(t), words)
                         if len(s) and (key := digest(s)) not in seen:
                             seen[key] = bands.signatures(s)
-                got = [(k, v) for k, v in seen.items() if len(v)]
+                got = [((*k, band), v) for k, found in seen.items() for band, v in found]
                 if got:
                     h = np.concatenate([v for _, v in got])
                     who = np.repeat(np.arange(len(got), dtype=np.uint16), [len(v) for _, v in got])
@@ -167,7 +169,7 @@ def meetings(docs: DataFrame, words: int, similarity: Fraction, buckets: int) ->
         by: dict[int, list[tuple]] = {}
         for batch in batches:
             for k, h, w, ids in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hash", "who", "ids")), strict=True):
-                who, table = np.frombuffer(w, np.uint16), np.frombuffer(ids, np.int64).reshape(-1, 2)
+                who, table = np.frombuffer(w, np.uint16), np.frombuffer(ids, np.int64).reshape(-1, 3)
                 used, inverse = np.unique(who, return_inverse=True)
                 by.setdefault(k, []).append((np.frombuffer(h, np.uint32), inverse.astype(np.uint16), table[used]))
         for k in sorted(by):
@@ -185,10 +187,10 @@ def meetings(docs: DataFrame, words: int, similarity: Fraction, buckets: int) ->
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             pivot = np.repeat(who[first], np.diff(np.r_[first, len(h)]))
             a, b = np.divmod(np.unique(pivot[who != pivot] * len(ids) + who[who != pivot]), len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a, 0], ids[a, 1], ids[b, 0], ids[b, 1])], ["a1", "a2", "b1", "b2"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a, 0], ids[a, 1], ids[b, 0], ids[b, 1], ids[a, 2])], ["a1", "a2", "b1", "b2", "band"])
 
     sent = docs.mapInArrow(send, "bucket int, hash binary, who binary, ids binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "a1 long, a2 long, b1 long, b2 long").distinct()
+    return sent.repartition(buckets, "bucket").mapInArrow(meet, "a1 long, a2 long, b1 long, b2 long, band long").distinct()
 
 
 class SignatureTree:
@@ -325,24 +327,27 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
     """doc_id, n_shingles and component_id of each row of docs."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialise(classify(own, words), "sets")
+    rows = materialise(classify(own, words, similarity), "sets")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = rows.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    classes = rows.filter("n_shingles > 0").groupBy("h1", "h2", "band").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # a set's places: in its own band and in the next
+    places = classes.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).withColumn("place", F.monotonically_increasing_id())
+    places = materialise(places, "places")
 
-    named = lambda k: classes.select(F.col("h1").alias(f"{k}1"), F.col("h2").alias(f"{k}2"), F.col("node").alias(k))
+    named = lambda k: places.select(F.col("h1").alias(f"{k}1"), F.col("h2").alias(f"{k}2"), "band", F.col("place").alias(k))
     buckets = max(1, -(-total // (4 * BUCKET)))
-    met = meetings(own, words, similarity, buckets).join(named("a"), ["a1", "a2"]).join(named("b"), ["b1", "b2"])
+    met = meetings(own, words, similarity, buckets).join(named("a"), ["a1", "a2", "band"]).join(named("b"), ["b1", "b2", "band"])
     clusters = components(met.select(F.col("a").alias("u"), F.col("b").alias("v")))
     release(spark)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    members = materialise(clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), "size").join(classes, "node").filter("doc_id is not null"), "members")
+    members = clusters.select(F.col("node").alias("place"), F.col("component").alias("cluster")).join(places.select("place", "node", "doc_id", "h1", "h2", "n"), "place").filter("doc_id is not null")
+    members = materialise(members, "members")
+    members = members.join(members.groupBy("cluster").agg(F.sum("n").alias("size")), "cluster")
 
     blocks = F.ceil(F.col("size") / LARGE).cast("long")
     small = members.filter(F.col("size") <= LARGE)
     large = members.filter(F.col("size") > LARGE)
-    n = small.count()
-    bins = max(1, -(-n // TASK))
+    bins = max(1, -(-(small.agg(F.sum("n")).first()[0] or 0) // TASK))
     columns = ["doc_id", "h1", "h2", "node", "task", "cluster", "side", "component"]
     plain = small.withColumns({"task": F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("string"), "side": F.lit(0), "component": F.col("node")}).select(*columns)
     block = large.withColumns({"block": F.pmod(F.xxhash64("node"), blocks), "side": F.lit(0), "component": F.col("node")})
@@ -362,7 +367,7 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
     if many > bins:
         # large clusters: whatever is not in the largest component, against everything else
         state = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = state.groupBy("cluster", "component").agg(F.count("*").alias("own"))
+        parts = state.groupBy("cluster", "component").agg(F.sum("n").alias("own"))
         top = parts.groupBy("cluster").agg(F.max(F.struct("own", "component")).alias("top"), F.sum("own").alias("all")).select("cluster", F.col("top.component").alias("main"), F.col("top.own").alias("mains"), (F.col("all") - F.col("top.own")).alias("others")).filter("others > 0")
         state = state.join(top, "cluster")
         a, b = (F.ceil(F.col(c) / LARGE).cast("long") for c in ("mains", "others"))
