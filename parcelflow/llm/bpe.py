@@ -18,6 +18,8 @@ from collections.abc import Iterable
 import numpy as np
 import regex
 
+from parcelflow.llm.common import CACHES, only
+
 #: Code points that the tokenizers library's patterns take as white space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: White space to str.split() but not to the library.
@@ -253,8 +255,16 @@ class WordBpe:
         return " ".join(self.text[i] for i in ids)
 
 
+def forget() -> None:
+    for model in _loaded.values():
+        for known in (model.chunks, model.known, model.follows):
+            known.clear()
+
+
 def load(path: str) -> WordBpe:
     """One copy for each worker process."""
+    CACHES["bpe"] = forget
+    only("bpe")
     if path not in _loaded:
         _loaded[path] = WordBpe(path)
     return _loaded[path]

@@ -7,7 +7,7 @@ import os
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +33,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What the operators keep in a worker process between tasks, by operator: how to drop it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def only(operator: str) -> None:
+    """Drops what other operators keep in this worker, which serves one stage after the other."""
+    for name, clear in CACHES.items():
+        if name != operator:
+            clear()
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps that are written out: it does so when their handles are collected."""
     for _ in range(2):  # the handles of Python's proxies go first, and a little later

@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import documents, materialise, release, slices
+from parcelflow.llm.common import documents, materialise, only, release, slices
 from parcelflow.llm.graph import components
 from parcelflow.llm.suffix import BASE, TABLE, blobs, utf8
 
 WORDS, SIMILARITY = 5, Fraction(4, 5)
-LEAF, FAN, BITS = 16, 8, 1024
+LEAF, FAN = 16, 8
+#: Bits of a bitmap for each n-gram of a middling set, and the least and most bits; fewer would let pairs through that differ.
+BITS_EACH, BITS = 8, (1024, 1 << 16)
 #: N-grams of all sets of a cluster from which it is joined in blocks, of a task of small clusters, of a bucket's sets.
 LARGE, TASK, BUCKET = 4 << 20, 1 << 20, 1 << 20
 PIVOTS = 8
@@ -148,6 +150,7 @@ def meetings(docs: DataFrame, words: int, similarity: Fraction, buckets: int) ->
     """Pairs of sets (a1, a2), (b1, b2), in a band, that connect all sets with a common signature there."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
         bands = Bands(similarity)
         for batch in batches:
             for part in slices(batch):
@@ -199,10 +202,11 @@ class SignatureTree:
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sets = sets
         self.sizes = np.array([len(s) for s in sets])
-        bits = np.zeros((len(sets), BITS // 8), np.uint8)
+        width = min(max(1 << int(BITS_EACH * float(np.median(self.sizes))).bit_length(), BITS[0]), BITS[1])
+        bits = np.zeros((len(sets), width // 8), np.uint8)
         for k, s in enumerate(sets):
-            row = np.zeros(BITS, bool)
-            row[(s & np.uint64(BITS - 1)).astype(np.int64)] = True
+            row = np.zeros(width, bool)
+            row[(s & np.uint64(width - 1)).astype(np.int64)] = True
             bits[k] = np.packbits(row)
         self.bits = bits.view(np.uint64)
         least = np.array([s[0] if len(s) else 0 for s in sets], dtype=np.uint64)
@@ -287,6 +291,7 @@ def join_tasks(docs: DataFrame, plan: DataFrame, words: int, similarity: Fractio
     """Links (u, v) of nodes; plan has doc_id, h1, h2, node, task, cluster, side and component for each set of a task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
         for rows in tasks_of(batches):
             seen: dict[tuple, tuple] = {}
             for node, cluster, side, comp, h1, h2, text in rows:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parcelflow.llm.common import documents, materialise, release, slices
+from parcelflow.llm.common import documents, materialise, only, release, slices
 
 LENGTH, GRAM = 50, 26
 #: Bytes of text of a block, and the bytes of a document that are hashed at once.
@@ -125,16 +125,17 @@ def seeds(docs: DataFrame, buckets: int, blocks: int) -> DataFrame:
     """Steps 1: block, doc, uid, hash of every seed that distinct texts share."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("suffix")
         for batch in batches:
             for part in slices(batch):
-                seen: dict[int, int] = {}
+                seen: dict[int, tuple[int, bytes]] = {}
                 for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     # the smallest doc_id of equal texts in a slice speaks for them
                     if d is not None and t and len(t) * 4 >= LENGTH:
                         u = uid_of(b := utf8(t))
                         if u not in seen or d < seen[u][0]:
-                            seen[u] = (d, b)  # type: ignore[assignment]
-                got = [(np.unique(samples(b)[0]), d, u) for u, (d, b) in seen.items()]  # type: ignore[misc]
+                            seen[u] = (d, b)
+                got = [(np.unique(samples(b)[0]), d, u) for u, (d, b) in seen.items()]
                 got = [g for g in got if len(g[0])]
                 if got:
                     h = np.concatenate([g[0] for g in got])
@@ -234,6 +235,7 @@ def cogrouped(docs: DataFrame, messages: DataFrame, blocks: int, work, schema: T
             yield pa.RecordBatch.from_arrays([pa.array(place_of(doc, blocks), pa.int32()), *batch.columns], ["block", *batch.schema.names])
 
     def tables(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        only("suffix")
         made = list(work(key, left.to_batches(), right.to_batches()))
         return pa.Table.from_batches(made) if made else empty
 
