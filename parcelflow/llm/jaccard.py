@@ -4,8 +4,10 @@
 2. Candidates: the n-grams' hashes are cut into K ranges, K more than the sizes' greatest possible difference, so two
    similar sets agree on the whole content of some range.  Sets meet that agree on one; K depends on the larger set's
    size band, and a set takes part in its own band and the next.  Sets with more empty ranges than a band's allowance
-   also meet by their lowest hashes.  So no similar pair is missed, and sets that merely share a passage hardly meet.
+   also meet by their first hashes, in an order that puts frequent n-grams last.  So no similar pair is missed, and sets that merely share a passage hardly meet.
    Sets that meet in a band, directly or through others, form a cluster of that band.
+   N-grams that a share of FREQUENT of all documents have count in neither way as long as others are left, so documents
+   with a common passage don't meet by it; the share bounds their number, and whatever they are, no pair is missed.
 3. Join: a cluster's sets go into a signature tree.  Leaves hold up to LEAF sets, nodes up to FAN children; each has the
    OR and the AND of its sets' token bitmaps and the range of their sizes.  Two nodes are traversed together unless all
    their sets are linked already, or the greatest overlap that bitmaps and sizes allow is below what similarity needs.
@@ -44,6 +46,9 @@ BITS_EACH, BITS = 8, (1024, 1 << 16)
 #: N-grams of all sets of a cluster from which it is joined in blocks, of a task of small clusters, of a bucket's sets.
 LARGE, TASK, BUCKET = 4 << 20, 1 << 20, 1 << 20
 PIVOTS = 8
+#: N-grams of so large a share of the documents come last in the order; how many are told to the tasks at most; how
+#: often one must occur among the documents that are read together to be counted.
+FREQUENT, MOST_FREQUENT, SEVERAL = 0.003, 200_000, 3
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -113,40 +118,51 @@ class Bands:
         allowed = 2 + math.ceil(1.3 * k * math.exp(-self.low[band] / k))
         return k + allowed, allowed
 
-    def signatures(self, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    def signatures(self, h: np.ndarray, frequent: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """What a set meets others by, for each of its bands."""
         out = []
         own = self.band(len(h))
-        mixed = mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        at = np.searchsorted(frequent, h)
+        late = frequent[np.minimum(at, len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
+        cold = h[~late]
+        mixed = mix(cold ^ np.uint64(0xA5A5A5A5A5A5A5A5))
         for band in (own, own + 1):
             k, allowed = self.ranges(band)
             if not k:
                 continue
-            part = (h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            found = mix(np.add.reduceat(mixed, first) + mix(part[first] + np.uint64(band << 32)))
+            part = (cold >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
+            found = mix(np.add.reduceat(mixed, first) + mix(part[first] + np.uint64(band << 32))) if len(part) else np.zeros(0, np.uint64)
             if k - len(first) > allowed:
                 prefix = len(h) - math.ceil(self.t * len(h)) + 1
-                found = np.r_[found, mix(h[:prefix] + np.uint64((band << 32) + 1))]
+                found = np.r_[found, mix(np.r_[cold, h[late]][:prefix] + np.uint64((band << 32) + 1))]
             out.append((band, found))
         return out
 
 
 def classify(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """doc_id, n_shingles, the size band and the digest h1, h2 of every row's set."""
+    """doc_id, n_shingles, the size band and the digest h1, h2 of every row's set.
+
+    Rows without a band are n-grams (h1) that several of the documents read together have, with their number.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(similarity)
+        names = ["doc_id", "n_shingles", "band", "h1", "h2"]
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(utf8(t), words) for t in part.column("text").to_pylist()]
                 h = np.array([digest(s) for s in sets], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands.band(max(1, len(s))) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "n_shingles", "band", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands.band(max(1, len(s))) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names)
+                grams, n = np.unique(np.concatenate([s for s in sets if len(s)] or [np.zeros(0, np.uint64)]), return_counts=True)
+                many = n >= max(SEVERAL, FREQUENT * len(sets))
+                none = pa.nulls(int(many.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(n[many].astype(np.int64)), none, pa.array(grams[many].view(np.int64)), none], names)
 
     return docs.mapInArrow(work, "doc_id long, n_shingles long, band long, h1 long, h2 long")
 
 
-def meetings(docs: DataFrame, words: int, similarity: Fraction, buckets: int) -> DataFrame:
+def meetings(docs: DataFrame, words: int, similarity: Fraction, buckets: int, frequent: np.ndarray) -> DataFrame:
     """Pairs of sets (a1, a2), (b1, b2), in a band, that connect all sets with a common signature there."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +175,7 @@ def meetings(docs: DataFrame, words: int, similarity: Fraction, buckets: int) ->
                     if t:
                         s = shingles(utf8(t), words)
                         if len(s) and (key := digest(s)) not in seen:
-                            seen[key] = bands.signatures(s)
+                            seen[key] = bands.signatures(s, frequent)
                 got = [((*k, band), v) for k, found in seen.items() for band, v in found]
                 if got:
                     h = np.concatenate([v for _, v in got])
@@ -332,7 +348,11 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
     """doc_id, n_shingles and component_id of each row of docs."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialise(classify(own, words, similarity), "sets")
+    found = materialise(classify(own, words, similarity), "sets")
+    rows = found.filter("band is not null")
+    share = F.sum("n_shingles") >= FREQUENT * F.lit(rows.count())
+    grams = found.filter("band is null").groupBy("h1").agg(share.alias("many"), F.sum("n_shingles").alias("n")).filter("many").orderBy(F.desc("n"), "h1").limit(MOST_FREQUENT).select("h1").collect()  # bounded
+    frequent = np.sort(np.array([r["h1"] for r in grams], dtype=np.int64).view(np.uint64))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     classes = rows.filter("n_shingles > 0").groupBy("h1", "h2", "band").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -342,7 +362,7 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
 
     named = lambda k: places.select(F.col("h1").alias(f"{k}1"), F.col("h2").alias(f"{k}2"), "band", F.col("place").alias(k))
     buckets = max(1, -(-total // (4 * BUCKET)))
-    met = meetings(own, words, similarity, buckets).join(named("a"), ["a1", "a2", "band"]).join(named("b"), ["b1", "b2", "band"])
+    met = meetings(own, words, similarity, buckets, frequent).join(named("a"), ["a1", "a2", "band"]).join(named("b"), ["b1", "b2", "band"])
     clusters = components(met.select(F.col("a").alias("u"), F.col("b").alias("v")))
     release(spark)
     members = clusters.select(F.col("node").alias("place"), F.col("component").alias("cluster")).join(places.select("place", "node", "doc_id", "h1", "h2", "n"), "place").filter("doc_id is not null")

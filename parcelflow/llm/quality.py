@@ -93,7 +93,7 @@ def fit(docs: DataFrame, marks: DataFrame, column: str = "quality", rows_a_class
                 yield pa.RecordBatch.from_arrays([pa.array(figures, pa.list_(pa.float64())), part.column("label")], ["figures", "label"])
 
     rows = training(docs, marks, column, rows_a_class).mapInArrow(work, "figures array<double>, label int").collect()  # bounded: 2 * rows_a_class
-    return Discriminant(np.array([r["figures"] for r in rows], dtype=float).reshape(len(rows), -1), np.array([r["label"] for r in rows], dtype=int))
+    return Discriminant(np.array([r["figures"] for r in rows], dtype=float), np.array([r["label"] for r in rows], dtype=int))
 
 
 def score(docs: DataFrame, model: Discriminant, keep: bool = False) -> DataFrame:
