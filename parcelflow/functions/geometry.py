@@ -140,13 +140,13 @@ def candidate_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, cell: fl
     """Pairs whose bounding boxes meet, by an equi-join on the grid cells that the boxes touch."""
 
     def cells(d: DataFrame, key: str, tag: str) -> DataFrame:
-        box = d.select(F.col(key), bounds(F.col(points)).alias(f"box_{tag}"))
-        span = lambda lo, hi: F.sequence(F.floor(F.col(f"box_{tag}.{lo}") / cell), F.floor(F.col(f"box_{tag}.{hi}") / cell))
+        box = d.select(F.col(key), bounds(F.col(points)).alias(f"__box_{tag}"))
+        span = lambda lo, hi: F.sequence(F.floor(F.col(f"__box_{tag}.{lo}") / cell), F.floor(F.col(f"__box_{tag}.{hi}") / cell))
         return box.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
 
     met = cells(a, key_a, "a").join(cells(b, key_b, "b"), ["cx", "cy"])
-    low = lambda c: F.greatest(F.col(f"box_a.{c}0"), F.col(f"box_b.{c}0"))
-    high = lambda c: F.least(F.col(f"box_a.{c}1"), F.col(f"box_b.{c}1"))
+    low = lambda c: F.greatest(F.col(f"__box_a.{c}0"), F.col(f"__box_b.{c}0"))
+    high = lambda c: F.least(F.col(f"__box_a.{c}1"), F.col(f"__box_b.{c}1"))
     # a pair is taken in the cell of its boxes' common lower corner only, so no distinct is needed
     here = (F.floor(low("x") / cell) == F.col("cx")) & (F.floor(low("y") / cell) == F.col("cy"))
     return met.filter((low("x") <= high("x")) & (low("y") <= high("y")) & here).select(key_a, key_b)

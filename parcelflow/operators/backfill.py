@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.config import Settings
+from parcelflow.sources.steps import settle
 
 
 def long_areas(wide: DataFrame, years: Iterable[int]) -> DataFrame:
@@ -23,14 +24,22 @@ def wide_areas(long: DataFrame, years: Iterable[int]) -> DataFrame:
 
 
 def earliest_ancestor(registry: DataFrame, edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """canonical_key and the least establishment year among its origins: itself, or ancestors without predecessors."""
-    own = registry.select("canonical_key", "established_year")
-    up = edges.select("to_ck", "from_ck").distinct()
-    state = own.join(up.select(F.col("to_ck").alias("canonical_key")).distinct().withColumn("has", F.lit(True)), "canonical_key", "left").select("canonical_key", F.when(F.col("has").isNull(), F.col("established_year")).alias("earliest"))
-    for _ in range(min(settings.backfill_depth, 15)):
-        more = up.join(state.select(F.col("canonical_key").alias("from_ck"), F.col("earliest").alias("e")), "from_ck").groupBy(F.col("to_ck").alias("canonical_key")).agg(F.min("e").alias("e"))
-        state = state.join(more, "canonical_key", "left").select("canonical_key", F.least("earliest", "e").alias("earliest"))
-    return state
+    """canonical_key and the least establishment year among its origins: itself, or ancestors without predecessors.
+
+    Each step goes from all keys to their ancestors one edge further back, and is written down; it ends when there are
+    none, or at the depth of the settings.
+    """
+    up = edges.select(F.col("to_ck").alias("at"), F.col("from_ck").alias("next")).distinct()
+    years = registry.select(F.col("canonical_key").alias("at"), F.col("established_year").alias("earliest"))
+    front = registry.select("canonical_key", F.col("canonical_key").alias("at"))
+    found = None
+    for _ in range(settings.backfill_depth + 1):
+        origins = front.join(up.select("at").distinct(), "at", "left_anti").join(years, "at").select("canonical_key", "earliest")
+        found = origins if found is None else found.unionByName(origins)
+        front = settle(front.join(up, "at").select("canonical_key", F.col("next").alias("at")).distinct(), "ancestors")
+        if front.isEmpty():
+            break
+    return found.groupBy("canonical_key").agg(F.min("earliest").alias("earliest"))
 
 
 def backfilled(areas: DataFrame, edges: DataFrame, registry: DataFrame, years: Iterable[int], settings: Settings = Settings()) -> DataFrame:
@@ -48,6 +57,7 @@ def backfilled(areas: DataFrame, edges: DataFrame, registry: DataFrame, years: I
     later = F.max(F.when(F.col("year_a") >= F.col("year"), 1).otherwise(0)).over(of) == 1
     relevant = pairs.withColumns({"later": later, "first": F.min("year_a").over(of)}).filter((F.col("later") & (F.col("year_a") >= F.col("year"))) | (~F.col("later") & (F.col("year_a") == F.col("first"))))
     for _ in range(len(known) - 1):
+        state = settle(state, "backfill")
         source = state.select(F.col("canonical_key").alias("from_ck"), "year", F.col("area").alias("from_area"), F.col("fill_confidence").alias("from_confidence"))
         use = relevant.join(source, ["from_ck", "year"], "left").withColumn("some", F.col("from_area") > 0)
         sums = use.groupBy("canonical_key", "year").agg(

@@ -67,12 +67,12 @@ def normalize_name(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", X.normalize_name(raw).alias("name_norm"))
 
 
-@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name,' '), x -> upper(x[1])||lower(x[2:])),' ') AS name FROM part")
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name,' '), lambda x: upper(x[1])||lower(x[2:])),' ') AS name FROM part")
 def display_name(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.display_name(F.col("p_name")).alias("name"))
 
 
-@query("SELECT n_nationkey, lpad(CAST(n_nationkey+1 AS VARCHAR),2,'0') AS code, CASE n_nationkey%3 WHEN 0 THEN 'Odisha' WHEN 1 THEN 'Tamil Nadu' ELSE array_to_string(list_transform(string_split(n_name,' '), x -> upper(x[1])||lower(x[2:])),' ') END AS state FROM nation")
+@query("SELECT n_nationkey, lpad(CAST(n_nationkey+1 AS VARCHAR),2,'0') AS code, CASE n_nationkey%3 WHEN 0 THEN 'Odisha' WHEN 1 THEN 'Tamil Nadu' ELSE array_to_string(list_transform(string_split(n_name,' '), lambda x: upper(x[1])||lower(x[2:])),' ') END AS state FROM nation")
 def canonical_state(spark, sf):
     n = F.col("n_nationkey")
     raw = F.when(n % 3 == 0, "ORISSA").when(n % 3 == 1, "Madras").otherwise(F.col("n_name"))
@@ -116,8 +116,7 @@ def bracket_asof(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", year.alias("year"), pre.alias("pre"), post.alias("post"))
 
 
-@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(jaro_similarity(a.p_name,b.p_name)+0.1*(1-jaro_similarity(a.p_name,b.p_name))*((a.p_name[1]=b.p_name[1])::INT+(a.p_name[2]=b.p_name[2])::INT+(a.p_name[3]=b.p_name[3])::INT+(a.p_name[4]=b.p_name[4])::INT),6) AS similarity
- FROM part a JOIN part b ON b.p_partkey=a.p_partkey+1""")
+@query(None)  # DuckDB's Jaro halves transpositions to whole numbers; tests compare with a version of their own
 def name_similarity(spark, sf):
     a = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
     b = a.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y"))
@@ -266,8 +265,8 @@ def relationship_type(d):
     return d.edges.select("from_ck", "to_ck", "year_a", "relationship_type")
 
 
-CORROBORATED = """, prs AS (SELECT a.id, lower(a.nm) p, lower(a.state) ps, lower(b.nm) s, lower(b.state) ss, e.yr FROM part a JOIN part b ON a.id=b.id AND a.rl='PREDECESSOR' AND b.rl='SUCCESSOR' JOIN ev e ON e.id=a.id),
- cor AS (SELECT e.f, e.t, e.ya, e.yb, min(CASE WHEN x.ps=lower(b.st) AND x.ss=lower(b.st) THEN x.id END) strong, min(x.id) weak FROM ed e JOIN reg a ON a.ck=e.f JOIN reg b ON b.ck=e.t LEFT JOIN prs x ON x.p=lower(a.nm) AND x.s=lower(b.nm) AND x.yr BETWEEN e.ya-1 AND e.yb+3 GROUP BY 1,2,3,4) """
+CORROBORATED = """, prs AS (SELECT a.id, lower(replace(a.nm,'.','')) p, lower(a.state) ps, lower(replace(b.nm,'.','')) s, lower(b.state) ss, e.yr FROM part a JOIN part b ON a.id=b.id AND a.rl='PREDECESSOR' AND b.rl='SUCCESSOR' JOIN ev e ON e.id=a.id),
+ cor AS (SELECT e.f, e.t, e.ya, e.yb, min(CASE WHEN x.ps=lower(b.st) AND x.ss=lower(b.st) THEN x.id END) strong, min(x.id) weak FROM ed e JOIN reg a ON a.ck=e.f JOIN reg b ON b.ck=e.t LEFT JOIN prs x ON x.p=lower(replace(a.nm,'.','')) AND x.s=lower(replace(b.nm,'.','')) AND x.yr BETWEEN e.ya-1 AND e.yb+3 GROUP BY 1,2,3,4) """
 
 
 @query(q(CORROBORATED + "SELECT f AS from_ck, t AS to_ck, ya AS year_a, CASE WHEN strong IS NOT NULL THEN 'GAZETTE_CORROBORATED' WHEN weak IS NOT NULL THEN 'GAZETTE_CORROBORATED_WEAK' ELSE 'SPATIAL_INFERRED' END AS lineage_basis, coalesce(strong,weak) AS supporting_event_id, CASE WHEN strong IS NOT NULL THEN 0.95 WHEN weak IS NOT NULL THEN 0.85 ELSE 0.7 END::DOUBLE AS lineage_confidence FROM cor"), False)

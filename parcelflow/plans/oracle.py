@@ -46,12 +46,12 @@ ev AS (SELECT left(sha256('EVENT|'||et||'|'||par||'|'||state||'|'||yr),32) id, e
   UNION ALL SELECT left(sha256('EVENT|'||et||'|'||par||'|'||ch||'|'||state||'|'||yr),32), et, par, state, yr, [ch], src, 1 FROM raw WHERE et='RENAME'),
 part AS (SELECT id, 'PREDECESSOR' rl, unnest(string_split(par,' and ')) nm, state FROM ev UNION ALL SELECT id, 'SUCCESSOR', unnest(chs), state FROM ev),
 dated AS (SELECT *, (SELECT max(y) FROM yrs WHERE y<yr) pre, (SELECT min(y) FROM yrs WHERE y>yr) post FROM ev),
-bys AS (SELECT y, lower(state) s, lower(u) u, arg_max(ck, ordinal) ck FROM ok GROUP BY 1,2,3),
-byn AS (SELECT y, lower(u) u, min(ck) ck FROM ok GROUP BY 1,2 HAVING count(DISTINCT ck)=1),
+bys AS (SELECT y, lower(state) s, lower(replace(u,'.','')) u, arg_max(ck, ordinal) ck FROM ok GROUP BY 1,2,3),
+byn AS (SELECT y, lower(replace(u,'.','')) u, min(ck) ck FROM ok GROUP BY 1,2 HAVING count(DISTINCT ck)=1),
 nmd AS (SELECT p.id, p.rl, p.nm, p.state, d.et, d.yr, d.pre, d.post, coalesce(s.ck,n.ck) ck,
   CASE WHEN (CASE WHEN p.rl='PREDECESSOR' THEN d.pre ELSE d.post END) IS NULL THEN 'NO_VINTAGE' WHEN s.ck IS NOT NULL THEN 'STATE_SCOPED' WHEN n.ck IS NOT NULL THEN 'NAME_ONLY' ELSE 'UNRESOLVED' END how
-  FROM part p JOIN dated d ON d.id=p.id LEFT JOIN bys s ON s.y=(CASE WHEN p.rl='PREDECESSOR' THEN d.pre ELSE d.post END) AND s.s=lower(p.state) AND s.u=lower(p.nm)
-  LEFT JOIN byn n ON n.y=(CASE WHEN p.rl='PREDECESSOR' THEN d.pre ELSE d.post END) AND n.u=lower(p.nm)),
+  FROM part p JOIN dated d ON d.id=p.id LEFT JOIN bys s ON s.y=(CASE WHEN p.rl='PREDECESSOR' THEN d.pre ELSE d.post END) AND s.s=lower(p.state) AND s.u=lower(replace(p.nm,'.',''))
+  LEFT JOIN byn n ON n.y=(CASE WHEN p.rl='PREDECESSOR' THEN d.pre ELSE d.post END) AND n.u=lower(replace(p.nm,'.',''))),
 flow AS (SELECT m.ya, m.yb, a.ck f, b.ck t, sum(m.area) area FROM m JOIN ok a ON a.obs=oa JOIN ok b ON b.obs=ob GROUP BY 1,2,3,4),
 ar AS (SELECT ck, y, sum(area) area FROM ok GROUP BY 1,2),
 prd AS (SELECT id, ck, min(pre) pre, min(post) post, min(how) how FROM nmd WHERE rl='PREDECESSOR' AND ck IS NOT NULL GROUP BY 1,2),
@@ -69,19 +69,19 @@ sta AS (SELECT e.id, e.et, e.yr, CASE WHEN count(a.pk)=0 THEN 'NO_GEOMETRY' WHEN
   WHEN bool_or(a.status='RECOVERED_BY_ADJACENCY') THEN 'RECOVERED' ELSE 'PARTIALLY_RESOLVED' END status, coalesce(sum(a.sa),0) sa, coalesce(sum(a.acc),0) acc, coalesce(sum(a.res),0) res, count(a.pk) n
   FROM ev e LEFT JOIN aud a ON a.id=e.id GROUP BY 1,2,3),
 ali AS (SELECT 'N'||n rn, lower(state) fs, 'N'||((n+1)%25) cn, CASE WHEN n%4=0 THEN 'DOCUMENTARY' ELSE 'SPATIAL_DISCOVERY' END ety, n%12=0 appr FROM states WHERE n%6=0),
-opn AS (SELECT k.*, e.yr, (SELECT min(lower(nm)) FROM nmd x WHERE x.id=k.id AND x.ck=k.pk AND x.rl='PREDECESSOR') nn, (SELECT min(lower(state)) FROM nmd x WHERE x.id=k.id AND x.ck=k.pk AND x.rl='PREDECESSOR') sn,
+opn AS (SELECT k.*, e.yr, (SELECT min(lower(replace(nm,'.',''))) FROM nmd x WHERE x.id=k.id AND x.ck=k.pk AND x.rl='PREDECESSOR') nn, (SELECT min(lower(state)) FROM nmd x WHERE x.id=k.id AND x.ck=k.pk AND x.rl='PREDECESSOR') sn,
   (SELECT count(DISTINCT sk) FROM ctr c WHERE c.id=k.id) nd FROM kpt k JOIN ev e ON e.id=k.id),
 l1 AS (SELECT * FROM (SELECT o.id, o.pk, n.ck, CASE WHEN x.rk=1 THEN 'EXISTING_REGISTRY' ELSE x.ety END ety, row_number() OVER (PARTITION BY o.id,o.pk ORDER BY x.rk, x.cn) p
-  FROM opn o JOIN (SELECT rn,fs,cn,ety,1 rk FROM ali WHERE appr UNION ALL SELECT rn,fs,cn,ety,2 FROM ali) x ON lower(x.rn)=o.nn AND x.fs=o.sn JOIN byn n ON n.y=o.post AND n.u=lower(x.cn)) WHERE p=1),
+  FROM opn o JOIN (SELECT rn,fs,cn,ety,1 rk FROM ali WHERE appr UNION ALL SELECT rn,fs,cn,ety,2 FROM ali) x ON lower(replace(x.rn,'.',''))=o.nn AND x.fs=o.sn JOIN byn n ON n.y=o.post AND n.u=lower(replace(x.cn,'.',''))) WHERE p=1),
 ssu AS (SELECT lower(a.r_name) s, lower(b.r_name) ss FROM region a JOIN region b ON b.r_regionkey IN (a.r_regionkey, (a.r_regionkey+1)%5)),
 l2 AS (SELECT o.id, o.pk, CASE WHEN n.c=1 THEN n.ck WHEN n.c>1 THEN coalesce(x.ck,n.ck) ELSE a.ck END ck,
   CASE WHEN n.c=1 THEN 'NAME_ONLY' WHEN n.c>1 AND x.ck IS NOT NULL THEN 'STATE_SUCCESSOR' WHEN n.c>1 THEN 'AMBIGUOUS' WHEN a.ck IS NOT NULL THEN 'ALIAS' ELSE 'EVENT_SUCCESSOR_NOT_RESOLVED' END why
-  FROM opn o LEFT JOIN (SELECT y, lower(u) u, min(ck) ck, count(DISTINCT ck) c FROM ok GROUP BY 1,2) n ON n.y=o.post AND n.u=o.nn
+  FROM opn o LEFT JOIN (SELECT y, lower(replace(u,'.','')) u, min(ck) ck, count(DISTINCT ck) c FROM ok GROUP BY 1,2) n ON n.y=o.post AND n.u=o.nn
   LEFT JOIN (SELECT * FROM (SELECT o.id, o.pk, b.ck, row_number() OVER (PARTITION BY o.id,o.pk ORDER BY q.ss) p FROM opn o JOIN ssu q ON q.s=o.sn JOIN bys b ON b.y=o.post AND b.s=q.ss AND b.u=o.nn) WHERE p=1) x ON x.id=o.id AND x.pk=o.pk
-  LEFT JOIN (SELECT o.id, o.pk, min(n.ck) ck FROM opn o JOIN ali ON lower(rn)=o.nn JOIN byn n ON n.y=o.post AND n.u=lower(cn) GROUP BY 1,2) a ON a.id=o.id AND a.pk=o.pk),
-cnd0 AS (SELECT o.id, o.pk, o.post, o.nn, o.sn, f.t ck, f.area, a.area ca, o.sa, f.area/o.sa*100 pp, f.area/a.area*100 pc, sqrt(f.area) bd, a.area/100 ds, lower(r.nm) cnm, lower(r.st) cst, r.est
+  LEFT JOIN (SELECT o.id, o.pk, min(n.ck) ck FROM opn o JOIN ali ON lower(replace(rn,'.',''))=o.nn JOIN byn n ON n.y=o.post AND n.u=lower(replace(cn,'.','')) GROUP BY 1,2) a ON a.id=o.id AND a.pk=o.pk),
+cnd0 AS (SELECT o.id, o.pk, o.post, o.nn, o.sn, f.t ck, f.area, a.area ca, o.sa, f.area/o.sa*100 pp, f.area/a.area*100 pc, sqrt(f.area) bd, a.area/100 ds, lower(replace(r.nm,'.','')) cnm, lower(r.st) cst, r.est
   FROM opn o JOIN flow f ON f.ya=o.pre AND f.yb=o.post AND f.f=o.pk JOIN ar a ON a.ck=f.t AND a.y=f.yb JOIN reg r ON r.ck=f.t WHERE f.area>=1 AND f.area/o.sa*100>=0.5),
-dec AS (SELECT DISTINCT id, ck, lower(nm) nm FROM nmd WHERE rl='SUCCESSOR' AND ck IS NOT NULL),
+dec AS (SELECT DISTINCT id, ck, lower(replace(nm,'.','')) nm FROM nmd WHERE rl='SUCCESSOR' AND ck IS NOT NULL),
 sim AS (SELECT c.id, c.pk, c.ck, max(jaro_similarity(q.nm,c.cnm)+0.1*(1-jaro_similarity(q.nm,c.cnm))*(
    CASE WHEN length(q.nm)>=1 AND length(c.cnm)>=1 AND q.nm[1]=c.cnm[1] THEN 1 ELSE 0 END + CASE WHEN length(q.nm)>=2 AND length(c.cnm)>=2 AND q.nm[2]=c.cnm[2] THEN 1 ELSE 0 END
   +CASE WHEN length(q.nm)>=3 AND length(c.cnm)>=3 AND q.nm[3]=c.cnm[3] THEN 1 ELSE 0 END + CASE WHEN length(q.nm)>=4 AND length(c.cnm)>=4 AND q.nm[4]=c.cnm[4] THEN 1 ELSE 0 END)) s
