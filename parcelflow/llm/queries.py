@@ -12,7 +12,7 @@ from parcelflow.llm.jaccard import op1_ngram_jaccard_join
 from parcelflow.llm.packing import op6_best_fit_packing
 from parcelflow.llm.pii import op7_personal_data
 from parcelflow.llm.quality import op10_quality_discriminant
-from parcelflow.llm.rules import op9_quality_rules
+from parcelflow.llm.rules import PHRASES, op9_quality_rules
 from parcelflow.llm.secrets import op4_secret_scan
 from parcelflow.llm.suffix import op3_suffix_dedup
 from parcelflow.llm.toxicity import op2_toxicity_kernel
@@ -32,4 +32,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_discriminant,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+3], ' ') g FROM w, unnest(generate_series(1, greatest(len(ws) - 3, 1))) u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+bth AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM bth JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) m FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.m AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN m ON m.a = w.doc_id""",
+    "op8_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) s FROM v),
+l AS (SELECT a.vec_id a, b.vec_id b FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.s * b.s) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) m FROM r GROUP BY a)
+SELECT n.vec_id, (SELECT count(*) FROM l WHERE l.a = n.vec_id) AS n_links, c.m AS component_id, c.m = n.vec_id AS kept FROM n JOIN c ON c.a = n.vec_id""",
+    "op9_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls FROM d),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') g FROM w, unnest(generate_series(1, greatest(len(ws) - 7, 0))) u(i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) c FROM p) WHERE c > 1),
+cover AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) nxt FROM twice) GROUP BY 1),
+line AS (SELECT doc_id, x, length(x) c, length(x) - length(replace(x, ' ', '')) + 1 k FROM w, unnest(ls) u(x)),
+judged AS (SELECT doc_id, c, (length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > 0.34 * k OR length(regexp_replace(x, '[^|»›•]', '', 'g')) >= 3
+  OR (NOT regexp_matches(x, '\p{Ll}') AND regexp_matches(x, '\p{Lu}.*\p{Lu}') AND k >= 3) OR (k <= 3 AND NOT contains('.!?:;,"'')]…”»', right(rtrim(x), 1)))
+  OR (c <= 200 AND regexp_matches(lower(x), 'PHRASES'))) bad FROM line),
+lost AS (SELECT doc_id, sum(CASE WHEN bad THEN c ELSE 0 END) / sum(c) f FROM judged GROUP BY 1),
+o AS (SELECT w.doc_id, len(ws)::BIGINT n_words, length(array_to_string(ws, ''))::BIGINT word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, coalesce(cover.n, 0)::BIGINT n_repeat_words, coalesce(lost.f, 0) f FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND f <= 0.5 AS kept FROM o""".replace("PHRASES", "|".join(PHRASES)),
+}
