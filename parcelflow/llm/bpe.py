@@ -9,6 +9,7 @@ rest.  Shared prefixes are therefore encoded once.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
@@ -237,6 +238,15 @@ class WordBpe:
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
+        watching = gc.isenabled()
+        gc.disable()  # many small objects and no cycles: looking for some would take a fifth of the time
+        try:
+            return self._encode_packed(texts)
+        finally:
+            if watching:
+                gc.enable()
+
+    def _encode_packed(self, texts: list[str]) -> list[bytes]:
         cut = [self.special_pattern.split(t) if "<|" in t else [t] for t in texts]  # every second one is special
         split = [[self.split(p) if k % 2 == 0 else p for k, p in enumerate(parts)] for parts in cut]
         new: set[str] = set()
