@@ -160,3 +160,28 @@ def decide(open_rows: DataFrame, l1: DataFrame, l2: DataFrame, cands: DataFrame,
 def promoted(aliases: DataFrame) -> DataFrame:
     """Alias candidates that documents or people stand behind; overlap alone never promotes one."""
     return aliases.filter(F.col("evidence_type").isin("DOCUMENTARY", "MANUAL_VERIFIED", "EXISTING_REGISTRY"))
+
+
+def augmented(transfers: DataFrame, decided: DataFrame) -> DataFrame:
+    """Transfer rows with the decision on the first of their event's residuals, and the area's name before it."""
+    order = Window.partitionBy("event_id").orderBy("pred_ck")
+    first = decided.withColumn("place", F.row_number().over(order)).filter("place = 1").select("event_id", F.col("final_status").alias("event_final_status"), F.col("recovery_level").alias("event_recovery_level"), F.col("recovered_area").alias("event_recovered_area"))
+    return transfers.withColumnRenamed("area", "measured_area").join(first, "event_id", "left")
+
+
+def merged_summary(status: DataFrame, decided: DataFrame) -> DataFrame:
+    """Event status with what discovery made of the event's residuals."""
+    s = F.col("final_status")
+    own = decided.groupBy("event_id").agg(
+        F.max("recovery_level").alias("recovery_level_found"), F.sum("recovered_area").alias("recovered_area_found"), F.sum("unresolved_area").alias("unresolved_area_found"), F.bool_and(s.startswith("RECONCILED")).alias("all_reconciled_found"),
+        F.bool_or(s == "EVENT_GEOMETRY_IDENTITY_MISMATCH").alias("any_mismatch_found"), F.min_by("final_status", "pred_ck").alias("final_status_found"),
+    )
+    return status.join(own, "event_id", "left")
+
+
+def decision_counts(decided: DataFrame) -> DataFrame:
+    return decided.groupBy("final_status", "reason", "recovery_level").agg(F.count("*").alias("n"), F.sum("recovered_area").alias("recovered_area"))
+
+
+def largest_unresolved(decided: DataFrame, n: int = 20) -> DataFrame:
+    return decided.orderBy(F.col("unresolved_area").desc(), "event_id", "pred_ck").limit(n)

@@ -516,6 +516,29 @@ def alias_promotion(d):
     return D.promoted(d.aliases).select("raw_name", "canonical_name")
 
 
+LADDER = ladder_sql(False).replace(" SELECT o.id AS event_id", ", lad AS (SELECT o.id AS event_id", 1) + ")"
+
+
+def _decided(d: Derived) -> DataFrame:
+    none = d.open_rows.filter("false")
+    return D.decide(d.open_rows, none.select("event_id", "pred_ck", F.col("pred_ck").alias("l1_ck")), none.select("event_id", "pred_ck", F.col("pred_ck").alias("l2_ck")), _cands(d), SETTINGS)
+
+
+@query(q(LADDER + " SELECT final_status, recovery_level, count(*) AS n FROM lad GROUP BY 1,2"), False)
+def decision_counts(d):
+    return D.decision_counts(_decided(d)).groupBy("final_status", "recovery_level").agg(F.sum("n").alias("n"))
+
+
+@query(q(LADDER + " SELECT c.id AS event_id, c.pk AS pred_ck, c.sk AS succ_ck, c.area AS measured_area, l.final_status AS event_final_status, l.recovery_level AS event_recovery_level FROM ctr c LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY pred_ck) p FROM lad) WHERE p=1) l ON l.event_id=c.id"), False)
+def matrix_augmented(d):
+    return D.augmented(R.transfer_rows(d.contributed), _decided(d)).select("event_id", "pred_ck", "succ_ck", "measured_area", "event_final_status", "event_recovery_level")
+
+
+@query(q(LADDER + " SELECT s.id AS event_id, s.status AS event_status, l.lv AS recovery_level_found, l.ok AS all_reconciled_found FROM sta s LEFT JOIN (SELECT event_id, max(recovery_level) lv, bool_and(final_status LIKE 'RECONCILED%') ok FROM lad GROUP BY 1) l ON l.event_id=s.id"), False)
+def event_summary_merged(d):
+    return D.merged_summary(d.status, _decided(d)).select("event_id", "event_status", "recovery_level_found", "all_reconciled_found")
+
+
 # --- backfill, crosswalk, records -------------------------------------------------------------------------------------
 
 ANCESTORS = """, anc(ck, e) AS (SELECT ck, est FROM reg WHERE ck NOT IN (SELECT t FROM ed) UNION SELECT ed.t, a.e FROM anc a JOIN ed ON ed.f=a.ck), ear AS (SELECT ck, min(e) e FROM anc GROUP BY 1) """
