@@ -377,3 +377,19 @@ def test_pipeline(spark, folder):
     check_packing(stages["best-fit packing"](spark, safe, folder).collect(), read(safe), 2048)
     want = Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in stages["best-fit packing"](spark, safe, folder).collect())
     assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, folder).collect()) == want
+
+
+def test_rows_without_ids_and_clashing_names(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(None, text, "b", 1), (None, None, "b", 2), (1, text, None, 3), (2, text + " sixteen", "b", 4), (2, text + " sixteen", "b", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket string, n_chars int").withColumn("rest", learning.F.lit(1)).withColumn("kept", learning.F.lit("k"))
+    assert sorted((r.n_bytes, len(r.spans) // 16) for r in suffix.dedup(docs).collect()) == [(0, 0), (88, 0), (88, 0), (96, 1), (96, 1)]
+    again = suffix.rewrite(docs)
+    assert again.columns == docs.columns and again.filter("kept = 'k' and rest = 1").count() == 5
+    groups = Counter((r.doc_id, r.component_id) for r in jaccard.similar(docs, 3, Fraction(4, 5)).collect())
+    assert groups == {(None, 1): 1, (None, None): 1, (1, 1): 1, (2, 1): 2}
+    assert sorted(r.doc_id for r in jaccard.representatives(docs, 3, Fraction(4, 5)).collect() if r.doc_id) == [1]
+    assert packing.best_fit_pack(docs).count() == 5 and encode.digests(docs).count() == 5
+    assert pii.spans(docs).count() == 5 and rules.judge(docs).count() == 5 and secrets.redact(docs).columns == docs.columns
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.1]), (None, None)], "vec_id long, embedding array<double>")
+    assert Counter(tuple(r) for r in embeddings.near_duplicates(vectors).collect()) == {(None, 1, 3, False): 1, (3, 1, 3, True): 1, (None, 0, None, True): 1}
