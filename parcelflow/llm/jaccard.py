@@ -44,7 +44,7 @@ LEAF, FAN = 16, 8
 #: Bits of a bitmap for each n-gram of a middling set, and the least and most bits; fewer would let pairs through that differ.
 BITS_EACH, BITS = 8, (1024, 1 << 16)
 #: N-grams of all sets of a cluster from which it is joined in blocks, of a task of small clusters, of a bucket's sets.
-LARGE, TASK, BUCKET = 4 << 20, 1 << 20, 1 << 20
+LARGE, TASK, BUCKET = 12 << 20, 1 << 20, 1 << 20
 PIVOTS = 8
 #: N-grams of so large a share of the documents come last in the order; how many are told to the tasks at most; how
 #: often one must occur among the documents that are read together to be counted.
@@ -308,38 +308,33 @@ def join_tasks(docs: DataFrame, plan: DataFrame, words: int, similarity: Fractio
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("jaccard")
-        for rows in tasks_of(batches):
-            seen: dict[tuple, tuple] = {}
-            for node, cluster, side, comp, h1, h2, text in rows:
-                if (cluster, node) not in seen:
+        task: str | None = None
+        by: dict[int, dict[int, tuple]] = {}  # of one task, which is bounded; a partition need not be
+        for batch in batches:
+            for t, node, cluster, side, comp, h1, h2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if t != task:
+                    yield from joined(by)
+                    task, by = t, {}
+                own = by.setdefault(cluster, {})
+                if node not in own:
                     s = shingles(utf8(text), words)
                     if digest(s) == (h1, h2):  # another row of the same id has another set
-                        seen[cluster, node] = (s, node, side, comp)
-            by: dict[int, list] = {}
-            for (cluster, _), v in sorted(seen.items()):
-                by.setdefault(cluster, []).append(v)
-            u, v = [], []
-            for members in by.values():
-                if len(members) > 1:
-                    sides = np.array([m[2] for m in members])
-                    found = SignatureTree([m[0] for m in members]).links(similarity, np.array([m[3] for m in members]), sides if len(set(sides.tolist())) > 1 else None)
-                    u += [members[a][1] for a, _ in found]
-                    v += [members[b][1] for _, b in found]
+                        own[node] = (s, side, comp)
+        yield from joined(by)
+
+    def joined(by: dict[int, dict[int, tuple]]) -> Iterator[pa.RecordBatch]:
+        u: list[int] = []
+        v: list[int] = []
+        for _, own in sorted(by.items()):
+            if len(own) > 1:
+                nodes = sorted(own)
+                sides = np.array([own[n][1] for n in nodes])
+                found = SignatureTree([own[n][0] for n in nodes]).links(similarity, np.array([own[n][2] for n in nodes]), sides if len(set(sides.tolist())) > 1 else None)
+                u += [nodes[a] for a, _ in found]
+                v += [nodes[b] for _, b in found]
+        if u:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    def tasks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        """The rows of one task after the other; a task is bounded, a partition need not be."""
-        task, rows = None, []
-        for batch in batches:
-            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != task and rows:
-                    yield rows
-                    rows = []
-                task = t
-                rows.append(tuple(row))
-        if rows:
-            yield rows
-
     text = docs.join(plan, "doc_id").select("task", "node", "cluster", "side", "component", "h1", "h2", "text")
     return text.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(work, "u long, v long")
 
