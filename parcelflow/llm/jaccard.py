@@ -44,7 +44,7 @@ LEAF, FAN = 16, 8
 #: Bits of a bitmap for each n-gram of a middling set, and the least and most bits; fewer would let pairs through that differ.
 BITS_EACH, BITS = 8, (1024, 1 << 16)
 #: N-grams of all sets of a cluster from which it is joined in blocks, of a task of small clusters, of a bucket's sets.
-LARGE, TASK, BUCKET = 12 << 20, 1 << 20, 1 << 20
+LARGE, TASK, BUCKET = 8 << 20, 1 << 20, 1 << 20
 PIVOTS = 8
 #: N-grams of so large a share of the documents come last in the order; how many are told to the tasks at most; how
 #: often one must occur among the documents that are read together to be counted.
@@ -311,15 +311,16 @@ def join_tasks(docs: DataFrame, plan: DataFrame, words: int, similarity: Fractio
         task: str | None = None
         by: dict[int, dict[int, tuple]] = {}  # of one task, which is bounded; a partition need not be
         for batch in batches:
-            for t, node, cluster, side, comp, h1, h2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != task:
-                    yield from joined(by)
-                    task, by = t, {}
-                own = by.setdefault(cluster, {})
-                if node not in own:
-                    s = shingles(utf8(text), words)
-                    if digest(s) == (h1, h2):  # another row of the same id has another set
-                        own[node] = (s, side, comp)
+            for part in slices(batch):  # texts become Python's a few at a time
+                for t, node, cluster, side, comp, h1, h2, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if t != task:
+                        yield from joined(by)
+                        task, by = t, {}
+                    own = by.setdefault(cluster, {})
+                    if node not in own:
+                        s = shingles(utf8(text), words)
+                        if digest(s) == (h1, h2):  # another row of the same id has another set
+                            own[node] = (s, side, comp)
         yield from joined(by)
 
     def joined(by: dict[int, dict[int, tuple]]) -> Iterator[pa.RecordBatch]:
