@@ -182,3 +182,19 @@ def test_stream_replays_change_nothing(spark, tmp_path):
     incremental.ingest(spark, str(source), table, str(tmp_path / "ck")).awaitTermination()
     last = spark.read.parquet(f"{table}/v=000000000001").collect()
     assert len(last) == 1 and last[0].children == ["A", "B"]
+
+
+def test_documented_aliases(spark):
+    from parcelflow.sources import fixed
+
+    aliases, succ = fixed.manual_aliases(spark), fixed.state_successors(spark)
+    assert aliases.count() == aliases.select("raw_name", "from_state").distinct().count() > 60 and succ.filter("state_norm = 'madras'").count() == 4
+    rows = spark.createDataFrame([("E", "P", 1991, "trichur", "kerala"), ("F", "Q", 1991, "nellore", "madras")], "event_id string, pred_ck string, post int, name_norm string, state_norm string")
+    layer = [(1991, "kerala", "thrissur", "T"), (1991, "andhra pradesh", "nellore", "N"), (1991, "goa", "nellore", "M")]
+    names = spark.createDataFrame(layer, "vintage int, state_norm string, name_norm string, canonical_key string")
+    by_state = names.withColumnRenamed("canonical_key", "state_ck")
+    by_name = names.filter("name_norm <> 'nellore'").select("vintage", "name_norm", F.col("canonical_key").alias("name_ck"))
+    l1 = D.alias_hits(rows, aliases.filter("false"), aliases, by_state, by_name).collect()
+    assert {(r.event_id, r.l1_ck, r.alias_type, r.evidence_type) for r in l1} == {("E", "T", "HISTORICAL_NAME", "DOCUMENTARY"), ("F", "N", "STATE_REORGANISATION", "DOCUMENTARY")}
+    l2 = {r.event_id: (r.l2_ck, r.l2_reason) for r in D.cross_state_hits(rows, names, by_state, by_name, succ, aliases).collect()}
+    assert l2["F"] == ("N", "STATE_SUCCESSOR")
