@@ -345,6 +345,20 @@ def test_toxicity_tolerates_gaps():
     assert min(plain, spaced, signs, digits) > 0.5 and clean < 0.2 and inserted > clean
 
 
+def test_toxicity_judges_inserted_and_split_words():
+    rng = random.Random(6)
+    words = ["".join(rng.choice(["an", "the", "tion", "re", "sh", "li", "ou"]) for _ in range(3)) for _ in range(400)]
+    prose = lambda *own: " ".join([rng.choice(words) for _ in range(40)] + list(own)) + "."
+    texts = [prose(rng.choice(["idiot", "moron", "loser", "stupid"])) for _ in range(200)] + [prose() for _ in range(400)]
+    model = toxicity.Machine(texts, np.array([1] * 200 + [0] * 400))
+    altered = ["idxiot", "idbiot", "moxron", "mokron", "loxser", "lomser", "stuxpid", "sttupid", "id iot", "st upid", "mor on", "lo ser"]
+    assert (model.score([prose(x) for x in altered]) >= 0.5).all()
+    assert (model.score([prose() for _ in range(100)]) < 0.5).mean() > 0.95
+    # only what is proved to be 0 is left out
+    every = sorted({toxicity.letters(c) for t in texts for c in [*t.split(), *toxicity.neighbours(t.split())]})
+    assert np.array_equal(model.decided(every), model.valued(every))
+
+
 @pytest.fixture(scope="module")
 def folder(spark, sf, tmp_path_factory):
     """Documents and labels with copies and secrets, and an id without a label."""
