@@ -1,9 +1,9 @@
 """Secret scans: stated patterns, and strings that a tokenizer's vocabulary can't shorten.
 
 Natural words and code identifiers take about four characters a token; random strings take about two or fewer.  The
-token-efficiency test looks at runs of LONG or more characters of key alphabets that mix letters and digits, leaves
-out digests of known lengths, UUIDs, names of joined words, addresses and dates, and reports what has fewer than
-RATIO characters a token.  Its spans (kind `random`) never overlap those of the patterns.
+token-efficiency test looks at runs of LONG or more characters of key alphabets that have letters, leaves out digests
+of known lengths, UUIDs, dates and names of which words that pass the same test hold half, and reports what has fewer
+than RATIO characters a token.  Its spans (kind `random`) never overlap those of the patterns.
 
 Offsets are code points, ends exclusive.  A null text counts as empty: no spans.  Rows keep their number; repeated
 ids and rows are scanned one by one; an empty table gives an empty result; only doc_id and text are read by scan().
@@ -42,8 +42,9 @@ DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 KNOWN = re.compile(
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9.:TZ+/_=~-]+"  # numbers, dates, versions
-    r"|(/?[A-Za-z]*\d{0,4}[/._=~+-]+)*[A-Za-z]+\d{0,4}/?"  # names of words with short numbers: paths, hosts, snake_case
 )
+NAME = re.compile(r"(/?[A-Za-z]*\d{0,4}[/._=~+-]+)*[A-Za-z]+\d{0,4}/?")  # of words with short numbers: paths, hosts, snake_case
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 _loaded: dict[str, tiktoken.Encoding] = {}
 
@@ -58,11 +59,22 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 def is_random(run: str, vocabulary: tiktoken.Encoding) -> bool:
     run = run.rstrip("=").strip(".-_/+~")
-    if len(run) < LONG or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+    if len(run) < LONG or not re.search("[A-Za-z]", run):
         return False
     if DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or KNOWN.fullmatch(run):
         return False
-    return len(run) < RATIO * len(vocabulary.encode_ordinary(run))
+    if len(run) >= RATIO * len(vocabulary.encode_ordinary(run)):
+        return False
+    return not (NAME.fullmatch(run) and named(run, vocabulary))
+
+
+def named(run: str, vocabulary: tiktoken.Encoding) -> bool:
+    """Whether words of three or more letters that pass the ratio test hold half of the letters, or few signs recur."""
+    if len(set(run)) <= 4:
+        return True
+    words = WORD.findall(run)
+    held = sum(len(w) for w in words if len(w) >= 3 and len(w) >= RATIO * len(vocabulary.encode_ordinary(w)))
+    return 2 * held >= sum(map(len, words))
 
 
 def spans(text: str, vocabulary: tiktoken.Encoding) -> list[tuple[int, int, int]]:

@@ -239,6 +239,15 @@ def test_secrets(spark, docs, empty):
     assert (hidden.text, hidden.n_chars) == ("x [SECRET] y", 12)
 
 
+def test_secrets_of_letters_and_trailing_digits():
+    rng, vocabulary = random.Random(8), secrets.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["QxVbZrTkLmWpYhGdJsFn", "KzQWxVbRtYpLmNsDfGhJ4821"] + ["".join(rng.choice(letters) for _ in range(n)) + tail for n in (20, 32) for tail in ("", "7", "4821") for _ in range(100)]
+    assert sum(secrets.spans(f"key {k} end", vocabulary) == [(4, 3, 4 + len(k))] for k in keys) > 0.98 * len(keys)
+    names = ["getUserAccountSettingsById", "/usr/lib/python3/site-packages/thing.py", "internationalization", "max_number_of_open_files_per_user", "AbstractSingletonProxyFactoryBean", "www.example.com/some/path/index.html"]
+    assert not any(secrets.spans(n, vocabulary) for n in names)
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
