@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.config import Settings
 from parcelflow.functions.text import stable_id
+from parcelflow.sources.steps import settle
 
 
 def crossing(transitions: DataFrame, registry: DataFrame) -> DataFrame:
@@ -55,17 +56,19 @@ def backward_edges(edges: DataFrame, registry: DataFrame) -> DataFrame:
     return edges.join(side("from"), "from_ck").join(side("to"), "to_ck").filter("to_year < from_year")
 
 
-def cycles(spark: SparkSession, edges: DataFrame, depth: int = 15) -> DataFrame:
-    """Keys that reach themselves within `depth` edges, by a recursive query."""
-    edges.select("from_ck", "to_ck").distinct().createOrReplaceTempView("__lineage_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, at, depth) AS (
-          SELECT from_ck, to_ck, 1 FROM __lineage_edges
-          UNION ALL
-          SELECT w.start, e.to_ck, w.depth + 1 FROM walk w JOIN __lineage_edges e ON e.from_ck = w.at
-          WHERE w.depth < {int(depth)} AND w.start <> w.at
-        ) SELECT DISTINCT start AS canonical_key FROM walk WHERE start = at
-    """)
+def cycles(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """Keys that reach themselves, by however many edges.
+
+    Pairs of keys that reach each other are joined with themselves until there are no new ones; the length covered
+    doubles each time.
+    """
+    reach = settle(edges.select(F.col("from_ck").alias("start"), F.col("to_ck").alias("at")).dropna().distinct(), "reach")
+    before, now = -1, reach.count()
+    while now > before:
+        step = reach.select(F.col("start").alias("at"), F.col("at").alias("next"))
+        reach = settle(reach.union(reach.join(step, "at").select("start", "next")).distinct(), "reach")
+        before, now = now, reach.count()
+    return reach.filter("start = at").select(F.col("start").alias("canonical_key"))
 
 
 def ledger(transitions: DataFrame, crossed: DataFrame, residual_a: DataFrame, residual_b: DataFrame, keys: DataFrame, registry: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from parcelflow.operators import discovery as D
 from parcelflow.operators import events as E
 from parcelflow.operators import identity as I
 from parcelflow.operators import layers as LY
+from parcelflow.operators import lineage as L
 from parcelflow.operators import reconcile as R
 from parcelflow.operators import transition as T
 from parcelflow.sources import geopackage as GP
@@ -198,3 +199,10 @@ def test_documented_aliases(spark):
     assert {(r.event_id, r.l1_ck, r.alias_type, r.evidence_type) for r in l1} == {("E", "T", "HISTORICAL_NAME", "DOCUMENTARY"), ("F", "N", "STATE_REORGANISATION", "DOCUMENTARY")}
     l2 = {r.event_id: (r.l2_ck, r.l2_reason) for r in D.cross_state_hits(rows, names, by_state, by_name, succ, aliases).collect()}
     assert l2["F"] == ("N", "STATE_SUCCESSOR")
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(str(i), str((i + 1) % 40)) for i in range(40)]
+    chain = [("0", "a"), ("a", "b"), ("b", "c"), ("x", "0"), ("self", "self"), (None, "a")]
+    found = L.cycles(spark, spark.createDataFrame(ring + chain, "from_ck string, to_ck string"))
+    assert sorted(r.canonical_key for r in found.collect()) == sorted([str(i) for i in range(40)] + ["self"])
