@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,36 +20,61 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); only where it is unset, a local one."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one where it is unset and all is local."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or f"file://{os.path.join(tempfile.gettempdir(), 'parcelflow-shared')}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives the loss of any executor."""
+def step_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage and survives the loss of any executor.
+
+    A path that is given is overwritten, so loops need two folders.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or step_path(spark, label)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session while a step is written; here, that Spark drops the step's shuffle files at its end."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 #: What the operators keep in a worker process between tasks, by operator: how to drop it.
 CACHES: dict[str, Callable[[], None]] = {}
 
 
 def only(operator: str) -> None:
-    """Drops what other operators keep in this worker, which serves one stage after the other."""
+    """Drops what other operators keep in this worker, which serves one stage after the other, and free memory with it."""
     for name, clear in CACHES.items():
         if name != operator:
             clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what it has freed otherwise
+    if trim:
+        trim(0)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are written out: it does so when their handles are collected."""
-    for _ in range(2):  # the handles of Python's proxies go first, and a little later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def fresh(taken: list[str], name: str) -> str:
+    """A column name like `name` that is not taken, whatever the case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,12 +82,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into slices of at most SLICE_ROWS rows and, but for single rows, SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into slices of at most so many rows and, but for single rows, SLICE_BYTES of text."""
     sizes = [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
     start = total = 0
     for i, n in enumerate(sizes):
-        if i > start and (total + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+        if i > start and (total + n > SLICE_BYTES or i - start >= rows):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

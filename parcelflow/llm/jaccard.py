@@ -6,6 +6,8 @@
    size band, and a set takes part in its own band and the next.  Sets with more empty ranges than a band's allowance
    also meet by their first hashes, in an order that puts frequent n-grams last.  So no similar pair is missed, and sets that merely share a passage hardly meet.
    Sets that meet in a band, directly or through others, form a cluster of that band.
+   A signature takes the same bytes whatever the number of buckets, and of the sets that share one where they are read
+   only one sends it on.
    N-grams that a share of FREQUENT of all documents have count in neither way as long as others are left, so documents
    with a common passage don't meet by it; the share bounds their number, and whatever they are, no pair is missed.
 3. Join: a cluster's sets go into a signature tree.  Leaves hold up to LEAF sets, nodes up to FAN children; each has the
@@ -27,17 +29,19 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import documents, materialise, only, release, slices
-from parcelflow.llm.graph import components
-from parcelflow.llm.suffix import BASE, TABLE, blobs, utf8
+from parcelflow.llm.common import CACHES, documents, fresh, materialise, only, slices
+from parcelflow.llm.graph import components, stars
+from parcelflow.llm.suffix import BASE, blobs, utf8
 
 WORDS, SIMILARITY = 5, Fraction(4, 5)
 LEAF, FAN = 16, 8
@@ -45,24 +49,32 @@ LEAF, FAN = 16, 8
 BITS_EACH, BITS = 8, (1024, 1 << 16)
 #: N-grams of all sets of a cluster from which it is joined in blocks, of a task of small clusters, of a bucket's sets.
 LARGE, TASK, BUCKET = 8 << 20, 1 << 20, 1 << 20
+#: Rows whose signatures are sent together, and buckets that a task has one after the other.
+SENT, STREAM = 4096, 4
 PIVOTS = 8
 #: N-grams of so large a share of the documents come last in the order; how many are told to the tasks at most; how
 #: often one must occur among the documents that are read together to be counted.
 FREQUENT, MOST_FREQUENT, SEVERAL = 0.003, 200_000, 3
 
-SPACES = np.zeros(256, bool)
-SPACES[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = TABLE.copy()
-LOWER[65:91] = TABLE[97:123]
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
+#: Bytes of a text whose words are made at once, and distinct words whose hashes a worker keeps.
+PIECE, KEEP = 1 << 20, 200_000
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Bits of a signature's hash that travel; those before them follow from the bucket, but for a few.
+LOW = 40
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        _powers[:] = [np.cumprod(np.r_[np.ones(1, np.uint64), np.full(size, x, np.uint64)]) for x in (BASE, INVERSE)]
-    return _powers[0][:n], _powers[1][:n]
+class Words(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEEP:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_words = Words()
+CACHES["jaccard"] = _words.clear
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,16 +83,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of a text's words in lower case, made of so many bytes at once; bytes know A-Z and the six blanks only."""
+    out, at = [], 0
+    while at < len(text):
+        cut = BLANK.search(text, at + PIECE) if at + PIECE < len(text) else None
+        end = cut.start() if cut else len(text)
+        words = text[at:end].lower().split()
+        out.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingles(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word n-grams."""
-    x = np.frombuffer(text, np.uint8)
-    space = np.r_[True, SPACES[x], True]
-    start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    power, inverse = powers(len(x) + 1)
-    prefix = np.r_[np.zeros(1, np.uint64), np.cumsum(LOWER[x] * power[: len(x)])]
-    w = mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+    w = word_hashes(text)
+    if not len(w):
+        return w
     n = max(1, len(w) - words + 1)
     h = np.full(n, min(words, len(w)), np.uint64)
     for k in range(min(words, len(w))):
@@ -162,54 +181,86 @@ def classify(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n_shingles long, band long, h1 long, h2 long")
 
 
+def place(first: int, which: int) -> int:
+    """The place of a set in its own band or the next, from the first half of its digest; what shares it meets too."""
+    return first & ~1 | which
+
+
+def met(texts: list[str | None], bands: Bands, words: int, buckets: int, frequent: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """What the sets of some texts send to each bucket, and the pairs of places that meet among them.
+
+    Of the places that share a signature one goes out for all; a signature takes the same bytes for any number of
+    buckets: LOW bits of its hash and its place.
+    """
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    seen = set()
+    for t in texts:
+        if t:
+            s = shingles(utf8(t), words)
+            if len(s) and (key := digest(s)[0]) not in seen:
+                seen.add(key)
+                for band, found in bands.signatures(s, frequent):
+                    hashes.append(found)
+                    places.append(np.full(len(found), place(key, band - bands.band(len(s)))))
+    h, p = np.concatenate(hashes), np.concatenate(places)
+    order = np.lexsort((p, h))
+    h, p = h[order], p[order]
+    pairs, first = meeting(h, p)
+    h, p = h[first], p[first]
+    bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # as h is sorted, so are these
+    return blobs(bucket, "bucket", {"low": h.astype(np.uint32), "high": (h >> np.uint64(32)).astype(np.uint8), "place": p}), pairs
+
+
+def meeting(h: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v) that share a hash, as stars, and where each of the sorted hashes begins."""
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
+    pivot = np.repeat(p[first], np.diff(np.r_[first, len(h)]))
+    other = pivot != p
+    return np.stack(stars(p[other], pivot[other])), first
+
+
 def meetings(docs: DataFrame, words: int, similarity: Fraction, buckets: int, frequent: np.ndarray) -> DataFrame:
-    """Pairs of sets (a1, a2), (b1, b2), in a band, that connect all sets with a common signature there."""
+    """Pairs of places (u, v) that connect all places with a common signature."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("jaccard")
         bands = Bands(similarity)
         for batch in batches:
-            for part in slices(batch):
-                seen: dict[tuple[int, int], list] = {}
-                for t in part.column("text").to_pylist():
-                    if t:
-                        s = shingles(utf8(t), words)
-                        if len(s) and (key := digest(s)) not in seen:
-                            seen[key] = bands.signatures(s, frequent)
-                got = [((*k, band), v) for k, found in seen.items() for band, v in found]
-                if got:
-                    h = np.concatenate([v for _, v in got])
-                    who = np.repeat(np.arange(len(got), dtype=np.uint16), [len(v) for _, v in got])
-                    out = blobs((h >> np.uint64(32)) % np.uint64(buckets), "bucket", {"hash": h.astype(np.uint32), "who": who})
-                    ids = np.array([k for k, _ in got], dtype=np.int64).tobytes()
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array([ids] * out.num_rows, pa.binary())], [*out.schema.names, "ids"])
+            for part in slices(batch, rows=SENT):
+                out, pairs = met(part.column("text").to_pylist(), bands, words, buckets, frequent)
+                names = [*out.schema.names, "pairs"]
+                if out.num_rows:
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names)
+                if pairs.shape[1]:
+                    to = int(pairs[0, 0]) % buckets  # pairs that are found go along with any bucket
+                    yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), *(pa.nulls(1, pa.binary()) for _ in range(3)), pa.array([pairs.tobytes()], pa.binary())], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple]] = {}
+        only("jaccard")
+        bucket, held = None, []
         for batch in batches:
-            for k, h, w, ids in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hash", "who", "ids")), strict=True):
-                who, table = np.frombuffer(w, np.uint16), np.frombuffer(ids, np.int64).reshape(-1, 3)
-                used, inverse = np.unique(who, return_inverse=True)
-                by.setdefault(k, []).append((np.frombuffer(h, np.uint32), inverse.astype(np.uint16), table[used]))
-        for k in sorted(by):
-            h, who, ids, at = [], [], [], 0
-            for a, w, t in by.pop(k):
-                h.append(a)
-                who.append(w.astype(np.int64) + at)
-                ids.append(t)
-                at += len(t)
-            h, who, ids = np.concatenate(h), np.concatenate(who), np.concatenate(ids)
-            ids, inverse = np.unique(ids, axis=0, return_inverse=True)
-            who = inverse.reshape(-1)[who]
-            order = np.lexsort((who, h))
-            h, who = h[order], who[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            pivot = np.repeat(who[first], np.diff(np.r_[first, len(h)]))
-            a, b = np.divmod(np.unique(pivot[who != pivot] * len(ids) + who[who != pivot]), len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a, 0], ids[a, 1], ids[b, 0], ids[b, 1], ids[a, 2])], ["a1", "a2", "b1", "b2", "band"])
-
-    sent = docs.mapInArrow(send, "bucket int, hash binary, who binary, ids binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "a1 long, a2 long, b1 long, b2 long, band long").distinct()
+            for k, *sent, pairs in zip(*(batch.column(c) for c in ("bucket", "low", "high", "place", "pairs")), strict=True):
+                if pairs.is_valid:
+                    yield edges(np.frombuffer(pairs.as_py(), np.int64).reshape(2, -1))
+                else:
+                    if k.as_py() != bucket:
+                        yield from one(held)
+                        bucket, held = k.as_py(), []
+                    held.append([np.frombuffer(x.as_py(), kind) for x, kind in zip(sent, (np.uint32, np.uint8, np.int64), strict=True)])
+        yield from one(held)
+
+    def one(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            low, high, p = (np.concatenate(c) for c in zip(*held, strict=True))
+            h = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+            order = np.lexsort((p, h))
+            yield edges(meeting(h[order], p[order])[0])
+
+    def edges(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+    sent = docs.mapInArrow(send, "bucket int, low binary, high binary, place binary, pairs binary")
+    return sent.repartition(max(1, buckets // STREAM), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "u long, v long")
 
 
 class SignatureTree:
@@ -304,45 +355,47 @@ class SignatureTree:
 
 
 def join_tasks(docs: DataFrame, plan: DataFrame, words: int, similarity: Fraction, tasks: int) -> DataFrame:
-    """Links (u, v) of nodes; plan has doc_id, h1, h2, node, task, cluster, side and component for each set of a task."""
+    """Links (u, v) of nodes; plan has doc_id, h1, h2, node, task, cluster, side and component for each set of a task.
+
+    Sets travel, not texts; a task's rows are sorted by cluster, so that a worker holds one cluster's sets at a time.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
+        for batch in batches:
+            for part in slices(batch):
+                got = [shingles(utf8(t), words) for t in part.column("text").to_pylist()]
+                # another row of the same id may have another set
+                own = [digest(s) == (a, b) for s, a, b in zip(got, part.column("h1").to_pylist(), part.column("h2").to_pylist(), strict=True)]
+                kept = part.filter(pa.array(own, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array([s.tobytes() for s, o in zip(got, own, strict=True) if o], pa.binary())], [*names, "grams"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("jaccard")
-        task: str | None = None
-        by: dict[int, dict[int, tuple]] = {}  # of one task, which is bounded; a partition need not be
+        cluster, own = None, {}
         for batch in batches:
-            for part in slices(batch):  # texts become Python's a few at a time
-                for t, node, cluster, side, comp, h1, h2, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if t != task:
-                        yield from joined(by)
-                        task, by = t, {}
-                    own = by.setdefault(cluster, {})
-                    if node not in own:
-                        s = shingles(utf8(text), words)
-                        if digest(s) == (h1, h2):  # another row of the same id has another set
-                            own[node] = (s, side, comp)
-        yield from joined(by)
-
-    def joined(by: dict[int, dict[int, tuple]]) -> Iterator[pa.RecordBatch]:
-        u: list[int] = []
-        v: list[int] = []
-        for _, own in sorted(by.items()):
-            if len(own) > 1:
-                nodes = sorted(own)
-                sides = np.array([own[n][1] for n in nodes])
-                found = SignatureTree([own[n][0] for n in nodes]).links(similarity, np.array([own[n][2] for n in nodes]), sides if len(set(sides.tolist())) > 1 else None)
-                u += [nodes[a] for a, _ in found]
-                v += [nodes[b] for _, b in found]
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    text = docs.join(plan, "doc_id").select("task", "node", "cluster", "side", "component", "h1", "h2", "text")
-    return text.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(work, "u long, v long")
+            for i, (t, c, node, side, comp) in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
+                if (t, c) != cluster:
+                    yield from joined(own)
+                    cluster, own = (t, c), {}
+                if node not in own:
+                    own[node] = (np.frombuffer(batch.column("grams")[i].as_py(), np.uint64), side, comp)
+        yield from joined(own)
+
+    def joined(own: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        if len(own) > 1:
+            nodes = sorted(own)
+            sides = np.array([own[n][1] for n in nodes])
+            found = SignatureTree([own[n][0] for n in nodes]).links(similarity, np.array([own[n][2] for n in nodes]), sides if len(set(sides.tolist())) > 1 else None)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    names = ["task", "cluster", "node", "side", "component"]
+    made = docs.join(plan, "doc_id").select(*names, "h1", "h2", "text").mapInArrow(sets, "task string, cluster long, node long, side int, component long, grams binary")
+    return made.repartition(tasks, "task").sortWithinPartitions("task", "cluster").mapInArrow(work, "u long, v long")
 
 
 def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
-    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialise(classify(own, words, similarity), "sets")
     rows = found.filter("band is not null")
@@ -352,16 +405,15 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     classes = rows.filter("n_shingles > 0").groupBy("h1", "h2", "band").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    # a set's places: in its own band and in the next
-    places = classes.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).withColumn("place", F.monotonically_increasing_id())
-    places = materialise(places, "places")
-
-    named = lambda k: places.select(F.col("h1").alias(f"{k}1"), F.col("h2").alias(f"{k}2"), "band", F.col("place").alias(k))
-    buckets = max(1, -(-total // (4 * BUCKET)))
-    met = meetings(own, words, similarity, buckets, frequent).join(named("a"), ["a1", "a2", "band"]).join(named("b"), ["b1", "b2", "band"])
-    clusters = components(met.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    release(spark)
+    # a set's places, as in place(): in its own band and in the next
+    even = F.col("h1").bitwiseAND(F.lit(-2))
+    places = classes.withColumn("place", F.explode(F.array(even, even.bitwiseOR(F.lit(1)))))
+
+    buckets = max(1, -(-total // BUCKET))
+    clusters = components(meetings(own, words, similarity, buckets, frequent))
     members = clusters.select(F.col("node").alias("place"), F.col("component").alias("cluster")).join(places.select("place", "node", "doc_id", "h1", "h2", "n"), "place").filter("doc_id is not null")
+    # where all sets are one band below, those that are similar meet in that band too
+    members = members.join(members.groupBy("cluster").agg(F.max(F.col("place").bitwiseAND(F.lit(1)) == 0).alias("own")).filter("own").select("cluster"), "cluster", "left_semi")
     members = materialise(members, "members")
     members = members.join(members.groupBy("cluster").agg(F.sum("n").alias("size")), "cluster")
 
@@ -382,7 +434,6 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
     # the number of tasks to deal out to: those of small clusters and of blocks of large ones
     many = bins + (large.select("cluster", "size").distinct().agg(F.sum(blocks)).first()[0] or 0)
     links = materialise(join_tasks(own, first, words, similarity, many), "links")
-    release(spark)
     found = components(links)
 
     if many > bins:
@@ -417,12 +468,13 @@ def representatives(docs: DataFrame, words: int = WORDS, similarity: Fraction =
     an id stays only where no row of its group has one.
     """
     found = similar(docs, words, similarity)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = docs.join(first.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).drop("__id")
-    single = kept.filter("__rows = 1").drop("__rows")
+    many, own, md5 = (fresh(docs.columns, n) for n in ("rows_of_id", "own_id", "md5"))
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(many))
+    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(own))).drop(own)
+    single = kept.filter(F.col(many) == 1).drop(many)
     # repeated ids are the exception, so only their rows are compared by text
-    repeated = kept.filter("__rows > 1").drop("__rows").withColumn("__md5", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "__md5"]).drop("__md5"))
+    repeated = kept.filter(F.col(many) > 1).drop(many).withColumn(md5, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    return single.unionByName(repeated.dropDuplicates(["doc_id", md5]).drop(md5))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

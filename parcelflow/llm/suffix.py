@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parcelflow.llm.common import documents, materialise, only, release, slices
+from parcelflow.llm.common import documents, materialise, only, slices
 
 LENGTH, GRAM = 50, 26
 #: Bytes of text of a block, and the bytes of a document that are hashed at once.
 BLOCK, PIECE = 5 << 20, 1 << 20
+#: Rows that ask for seeds together, and buckets of seeds that a task has one after the other.
+SENT, STREAM = 4096, 4
 PLACE = np.uint64((1 << 21) - 1)  # bits of a hash that make room for a position of a piece
 TABLE = np.random.Generator(np.random.PCG64(50)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -95,9 +97,15 @@ def uid_of(text: bytes) -> int:
     return int.from_bytes(hashlib.md5(text).digest()[:8], "little", signed=True)
 
 
-def place_of(doc: np.ndarray, blocks: int) -> np.ndarray:
-    x = doc.astype(np.int64).view(np.uint64) * np.uint64(BASE)
-    return ((x ^ (x >> np.uint64(32))) % np.uint64(blocks)).astype(np.int64)
+def key_of(doc: np.ndarray, uid: np.ndarray) -> np.ndarray:
+    """A number for each row's id and text, by which it is dealt; a row without an id has that of its text."""
+    x = (doc.astype(np.int64).view(np.uint64) * np.uint64(BASE)) ^ uid.astype(np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(BASE)
+    return x ^ (x >> np.uint64(29))
+
+
+def place_of(key: np.ndarray, blocks: int) -> np.ndarray:
+    return (key % np.uint64(blocks)).astype(np.int64)
 
 
 def rows(*columns) -> pa.RecordBatch:  # noqa: ANN002
@@ -109,7 +117,7 @@ def blobs(key: np.ndarray, name: str, arrays: dict[str, np.ndarray]) -> pa.Recor
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-    ends = np.r_[first[1:], len(key)]
+    ends = np.r_[first[1:], len(key)][: len(first)]
     columns = [(name, key[first].astype(np.int32), pa.int32())]
     for k, v in arrays.items():
         v = v[order]
@@ -121,57 +129,83 @@ def from_blob(column: pa.Array, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column] or [np.zeros(0, kind)])
 
 
+def asked(rows_: list[tuple[int, bytes]], buckets: int, blocks: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """What some texts (doc_id, bytes) ask of each bucket of seeds, and the answers that are known among them.
+
+    A seed that several of the texts have is answered here; two of them ask on, so that others learn of it.  So a
+    passage that all documents have asks twice for each of these calls, and a seed takes the same bytes for any number
+    of buckets.
+    """
+    seen: dict[int, tuple[int, bytes]] = {}
+    for d, b in rows_:
+        u = uid_of(b)
+        if u not in seen or d < seen[u][0]:
+            seen[u] = (d, b)  # the smallest doc_id of equal texts speaks for them
+    h, doc, uid = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for u, (d, b) in seen.items():
+        h.append(np.unique(samples(b)[0]))
+        doc.append(np.full(len(h[-1]), d))
+        uid.append(np.full(len(h[-1]), u))
+    h, doc, uid = (np.concatenate(c) for c in (h, doc, uid))
+    bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+    name = bucket << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+    order = np.argsort(name, kind="stable")
+    name, bucket, doc, uid = name[order], bucket[order], doc[order], uid[order]
+    first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, int)
+    many = np.diff(np.r_[first, len(name)])
+    several = np.repeat(many, many) > 1
+    key = key_of(doc, uid)
+    answers = blobs(place_of(key[several], blocks), "block", {"key": key[several], "hash": name[several]})
+    ask = np.union1d(first, first[many > 1] + 1)
+    return blobs(bucket[ask], "bucket", {"hash": name[ask].astype(np.uint32), "doc": doc[ask], "uid": uid[ask]}), answers
+
+
 def seeds(docs: DataFrame, buckets: int, blocks: int) -> DataFrame:
-    """Steps 1: block, doc, uid, hash of every seed that distinct texts share."""
+    """Step 1: block, key, hash of every seed that distinct texts share."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("suffix")
         for batch in batches:
-            for part in slices(batch):
-                seen: dict[int, tuple[int, bytes]] = {}
-                for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    # the smallest doc_id of equal texts in a slice speaks for them
-                    if d is not None and t and len(t) * 4 >= LENGTH:
-                        u = uid_of(b := utf8(t))
-                        if u not in seen or d < seen[u][0]:
-                            seen[u] = (d, b)
-                got = [(np.unique(samples(b)[0]), d, u) for u, (d, b) in seen.items()]
-                got = [g for g in got if len(g[0])]
-                if got:
-                    h = np.concatenate([g[0] for g in got])
-                    n = [len(g[0]) for g in got]
-                    who = np.repeat(np.arange(len(got), dtype=np.uint16), n)
-                    table = np.array([(g[1], g[2]) for g in got], dtype=np.int64)
-                    out = blobs((h >> np.uint64(32)) % np.uint64(buckets), "bucket", {"hash": h.astype(np.uint32), "who": who})
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array([table.tobytes()] * out.num_rows, pa.binary())], [*out.schema.names, "ids"])
+            for part in slices(batch, rows=SENT):
+                got = [(d, utf8(t)) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) if d is not None and t and len(t) * 4 >= LENGTH]
+                ask, answers = asked(got, buckets, blocks)
+                n = ask.num_rows
+                if n:
+                    yield pa.RecordBatch.from_arrays([ask.column(0), pa.nulls(n, pa.int32()), *ask.columns[1:], pa.nulls(n, pa.binary())], names)
+                n = answers.num_rows
+                if n:  # they pass through any task
+                    block, key, name = answers.columns
+                    yield pa.RecordBatch.from_arrays([block, block, name, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), key], names)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple]] = {}
+        only("suffix")
+        at, held = None, []
         for batch in batches:
-            for k, h, w, ids in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hash", "who", "ids")), strict=True):
-                who, table = np.frombuffer(w, np.uint16), np.frombuffer(ids, np.int64).reshape(-1, 2)
-                used, inverse = np.unique(who, return_inverse=True)
-                by.setdefault(k, []).append((np.frombuffer(h, np.uint32), inverse.astype(np.uint16), table[used]))
-        for k in sorted(by):
-            h, who, ids, at = [], [], [], 0
-            for a, w, t in by.pop(k):
-                h.append(a)
-                who.append(w.astype(np.int64) + at)
-                ids.append(t)
-                at += len(t)
-            h, who, ids = np.concatenate(h), np.concatenate(who), np.concatenate(ids)
-            text = np.unique(ids[:, 1], return_inverse=True)[1][who]  # copies are one text
+            known = batch.filter(batch.column("block").is_valid())
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(c) for c in ("block", "key", "hash")], ["block", "key", "hash"])
+            for k, block, *sent in zip(*(batch.column(c) for c in ("bucket", "block", "hash", "doc", "uid")), strict=True):
+                if not block.is_valid:
+                    if k.as_py() != at:
+                        yield from one(at, held)
+                        at, held = k.as_py(), []
+                    held.append([np.frombuffer(x.as_py(), kind) for x, kind in zip(sent, (np.uint32, np.int64, np.int64), strict=True)])
+        yield from one(at, held)
+
+    def one(k: int | None, held: list) -> Iterator[pa.RecordBatch]:
+        if held:
+            h, doc, uid = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.argsort(h, kind="stable")
-            h, who, text = h[order], who[order], text[order]
+            h, doc, uid = h[order], doc[order], uid[order]
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            several = np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first)
+            several = np.minimum.reduceat(uid, first) != np.maximum.reduceat(uid, first)  # copies are one text
             hit = np.repeat(several, np.diff(np.r_[first, len(h)]))
-            h, who = h[hit], who[hit]
-            doc = ids[who, 0]
-            yield blobs(place_of(doc, blocks), "block", {"doc": doc, "uid": ids[who, 1], "hash": h.astype(np.uint64) | (np.uint64(k) << np.uint64(32))})
+            key = key_of(doc[hit], uid[hit])
+            yield blobs(place_of(key, blocks), "block", {"key": key, "hash": h[hit].astype(np.uint64) | (np.uint64(k) << np.uint64(32))})
 
-    sent = docs.mapInArrow(send, "bucket int, hash binary, who binary, ids binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(answer, "block int, doc binary, uid binary, hash binary")
+    names = ["bucket", "block", "hash", "doc", "uid", "key"]
+    sent = docs.mapInArrow(send, "bucket int, block int, hash binary, doc binary, uid binary, key binary")
+    return sent.repartition(max(1, buckets // STREAM), "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "block int, key binary, hash binary")
 
 
 def stretches(docs: DataFrame, shared: DataFrame, firsts: DataFrame, buckets: int, seed_buckets: int, blocks: int) -> DataFrame:
@@ -181,29 +215,29 @@ def stretches(docs: DataFrame, shared: DataFrame, firsts: DataFrame, buckets: in
         wanted: list[tuple] = []
         own: set[tuple[int, int]] = set()
         for batch in messages:
-            doc, uid, h = (batch.column(c) for c in ("doc", "uid", "hash"))
-            for d, u, x in zip(doc, uid, h, strict=True):
+            for k, x, d, u in zip(*(batch.column(c) for c in ("key", "hash", "doc", "uid")), strict=True):
                 if x.is_valid:
-                    wanted.append((np.frombuffer(d.as_buffer(), np.int64), np.frombuffer(u.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.uint64)))
+                    wanted.append((np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64)))
                 else:
-                    own.add((int.from_bytes(d.as_py(), "little", signed=True), int.from_bytes(u.as_py(), "little", signed=True)))
+                    own.add((d.as_py(), u.as_py()))
         if not wanted:
             return
-        doc, uid, h = (np.concatenate(c) for c in zip(*wanted, strict=True))
-        order = np.lexsort((uid, doc))
-        doc, uid, h = doc[order], uid[order], h[order]
-        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1])])
-        where = {(d, u): (a, b) for d, u, a, b in zip(doc[first].tolist(), uid[first].tolist(), first.tolist(), [*first[1:].tolist(), len(doc)], strict=True)}
-        done: set[tuple[int, int]] = set()
+        keys, h = (np.concatenate(c) for c in zip(*wanted, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, h = keys[order], h[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        where = dict(zip(keys[first].tolist(), zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True), strict=True))
         out: list[bytes] = []
         got: list[tuple] = []
         for batch in texts:
             for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 b = utf8(t)
-                if len(b) < LENGTH or (k := (d, uid_of(b))) not in where or k not in own or k in done:
+                if d is None or len(b) < LENGTH or (k := (d, uid_of(b))) not in own:
+                    continue
+                own.discard(k)  # repeated rows
+                a, e = where.get(int(key_of(np.array([d]), np.array([k[1]]))[0]), (0, 0))
+                if a == e:
                     continue
-                done.add(k)
-                a, e = where[k]
                 hashes, at, start, n = samples(b)
                 names = ((hashes >> np.uint64(32)) % np.uint64(seed_buckets)) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
                 hit = np.isin(names, h[a:e])
@@ -214,16 +248,44 @@ def stretches(docs: DataFrame, shared: DataFrame, firsts: DataFrame, buckets: in
         if not out:
             return
         hashes, docs_, uids, start, n, offset = (np.concatenate(c) for c in zip(*got, strict=True))
+        # equal stretches of this block: those of larger doc_ids are gone, whatever others have, and don't travel
+        least: dict[bytes, int] = {}
+        ids = docs_.tolist()
+        for b, d in zip(out, ids, strict=True):
+            if least.setdefault(b, d) > d:
+                least[b] = d
+        gone = np.fromiter((least[b] < d for b, d in zip(out, ids, strict=True)), bool, len(out))
+        if gone.any():
+            d, u, a, e = runs(docs_[gone], uids[gone], start[gone], start[gone] + n[gone] - 1)
+            made = blobs(place_of(key_of(d, u), blocks), "block", {"doc": d, "uid": u, "from": a, "to": e})
+            block, *columns = made.columns
+            null = pa.nulls(made.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([block, block, *columns, null, null, null], sent_names)
+        kept = np.flatnonzero(~gone)
+        hashes, docs_, uids, start, n, offset = (x[kept] for x in (hashes, docs_, uids, start, n, offset))
         bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         made = blobs(bucket, "bucket", {"doc": docs_.astype(np.int64), "uid": uids.astype(np.int64), "start": start.astype(np.int64), "n": n.astype(np.uint8), "offset": offset.astype(np.uint8)})
         ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))[np.asarray(made.column(0))]
         begins = np.r_[0, ends[:-1]]
-        text = pa.array([b"".join(out[i] for i in order[a:e].tolist()) for a, e in zip(begins, ends, strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*made.columns, text], [*made.schema.names, "bytes"])
+        text = pa.array([b"".join(out[i] for i in kept[order[a:e]].tolist()) for a, e in zip(begins, ends, strict=True)], pa.binary())
+        key_, doc_, uid_, start_, n_, offset_ = made.columns
+        null = pa.nulls(made.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([key_, pa.nulls(made.num_rows, pa.int32()), doc_, uid_, start_, null, n_, offset_, text], sent_names)
+
+    sent_names = ["bucket", "block", "doc", "uid", "from", "to", "n", "offset", "bytes"]
+    schema = T.StructType.fromDDL("bucket int, block int, doc binary, uid binary, `from` binary, `to` binary, n binary, offset binary, bytes binary")
+    messages = shared.select("block", "key", "hash", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("uid"))
+    own_rows = firsts.select("block", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("binary").alias("hash"), "doc", "uid")
+    return cogrouped(docs, messages.unionByName(own_rows), blocks, send, schema)
 
-    schema = T.StructType.fromDDL("bucket int, doc binary, uid binary, start binary, n binary, offset binary, bytes binary")
-    return cogrouped(docs, shared.unionByName(firsts), blocks, send, schema)
+
+def runs(doc: np.ndarray, uid: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of starts (doc, uid, from, to) with neighbours put together."""
+    order = np.lexsort((first, uid, doc))
+    doc, uid, first, last = doc[order], uid[order], first[order], last[order]
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1]) | (first[1:] > last[:-1] + 1)])
+    return doc[new], uid[new], first[new], np.maximum.reduceat(last, new)
 
 
 def cogrouped(docs: DataFrame, messages: DataFrame, blocks: int, work, schema: T.StructType) -> DataFrame:  # noqa: ANN001
@@ -231,8 +293,9 @@ def cogrouped(docs: DataFrame, messages: DataFrame, blocks: int, work, schema: T
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = np.array([x or 0 for x in batch.column("doc_id").to_pylist()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(place_of(doc, blocks), pa.int32()), *batch.columns], ["block", *batch.schema.names])
+            doc = np.array([i if x is None else x for i, x in enumerate(batch.column("doc_id").to_pylist())], dtype=np.int64)  # rows without an id go anywhere
+            uid = np.array([uid_of(utf8(t)) for t in batch.column("text").to_pylist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place_of(key_of(doc, uid), blocks), pa.int32()), *batch.columns], ["block", *batch.schema.names])
 
     def tables(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         only("suffix")
@@ -291,23 +354,31 @@ def removals(sent: DataFrame, buckets: int, blocks: int) -> DataFrame:
     """Steps 3: block, doc, uid, from, to (starts of removed strings, as runs) for the documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[pa.RecordBatch]] = {}
+        only("suffix")
+        at, held = None, []
         for batch in batches:
-            for i, k in enumerate(batch.column("bucket").to_pylist()):
-                by.setdefault(k, []).append(batch.slice(i, 1))
-        for k in sorted(by):
-            part = by.pop(k)
-            doc, uid, start, n, offset, text = (np.concatenate([from_blob(b.column(c), t) for b in part]) for c, t in (("doc", "i8"), ("uid", "i8"), ("start", "i8"), ("n", "u1"), ("offset", "u1"), ("bytes", "u1")))
+            known = batch.filter(batch.column("block").is_valid())
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(c) for c in out], out)
+            for i, (k, block) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True)):
+                if block is None:
+                    if k != at:
+                        yield from one(held)
+                        at, held = k, []
+                    held.append(batch.slice(i, 1))
+        yield from one(held)
+
+    def one(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if part:
+            doc, uid, start, n, offset, text = (np.concatenate([from_blob(b.column(c), t) for b in part]) for c, t in (("doc", "i8"), ("uid", "i8"), ("from", "i8"), ("n", "u1"), ("offset", "u1"), ("bytes", "u1")))
             which, j = sort_block(doc, n, offset, text)
-            if not len(which):
-                continue
-            at, order = start[which] + j, np.lexsort((start[which] + j, uid[which], doc[which]))
-            d, u, at = doc[which][order], uid[which][order], at[order]
-            new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (u[1:] != u[:-1]) | (at[1:] != at[:-1] + 1)])
-            last = np.r_[new[1:], len(at)] - 1
-            yield blobs(place_of(d[new], blocks), "block", {"doc": d[new], "uid": u[new], "from": at[new], "to": at[last]})
+            if len(which):
+                at = start[which] + j
+                d, u, a, e = runs(doc[which], uid[which], at, at)
+                yield blobs(place_of(key_of(d, u), blocks), "block", {"doc": d, "uid": u, "from": a, "to": e})
 
-    return sent.repartition(buckets, "bucket").mapInArrow(work, "block int, doc binary, uid binary, `from` binary, `to` binary")
+    out = ["block", "doc", "uid", "from", "to"]
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(work, "block int, doc binary, uid binary, `from` binary, `to` binary")
 
 
 def spans_of(starts: np.ndarray, lasts: np.ndarray) -> list[tuple[int, int]]:
@@ -326,14 +397,13 @@ def dedup(docs: DataFrame, digest: bool = True, carry: Column | None = None) ->
 
     carry: a struct of each row that comes back beside its result, as `rest`.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     carried = carry is not None
     rest = [] if carry is None else [carry.alias("rest")]
     last = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK))
-    seed_buckets = max(1, -(-total // (2 * BLOCK)))
+    seed_buckets = max(1, -(-total // BLOCK))
     stretch_buckets = max(1, -(-total // BLOCK))
 
     # the smallest doc_id of each text
@@ -344,27 +414,27 @@ def dedup(docs: DataFrame, digest: bool = True, carry: Column | None = None) ->
         for batch in batches:
             first = batch.column("first").to_numpy()
             uid = np.array([int.from_bytes(bytes.fromhex(x)[:8], "little", signed=True) for x in batch.column("md5").to_pylist()], dtype=np.int64)
-            yield rows(("block", place_of(first, blocks), pa.int32()), ("doc", [x.tobytes() for x in first], pa.binary()), ("uid", [x.tobytes() for x in uid], pa.binary()), ("hash", [None] * len(first), pa.binary()))
+            yield rows(("block", place_of(key_of(first, uid), blocks), pa.int32()), ("doc", first, pa.int64()), ("uid", uid, pa.int64()))
 
-    told = firsts.mapInArrow(half, "block int, doc binary, uid binary, hash binary")
+    told = firsts.mapInArrow(half, "block int, doc long, uid long")
     shared = materialise(seeds(own, seed_buckets, blocks), "seeds")
-    release(spark)
     gone = materialise(removals(stretches(own, shared, told, stretch_buckets, seed_buckets, blocks), stretch_buckets, blocks), "starts")
-    release(spark)
-    mine = told.select("block", "doc", "uid", F.lit(None).cast("binary").alias("from"), F.lit(None).cast("binary").alias("to"))
+    none = F.lit(None).cast("binary")
+    mine = told.select("block", *(none.alias(c) for c in ("doc", "uid", "from", "to")), F.col("doc").alias("own_doc"), F.col("uid").alias("own_uid"))
+    gone = gone.withColumns({"own_doc": F.lit(None).cast("long"), "own_uid": F.lit(None).cast("long")})
 
     def finish(key: tuple, texts: list[pa.RecordBatch], messages: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_: set[tuple[int, int]] = set()
-        runs: list[tuple] = []
+        found: list[tuple] = []
         for batch in messages:
-            for d, u, a, b in zip(*(batch.column(c) for c in ("doc", "uid", "from", "to")), strict=True):
+            for d, u, a, b, own_doc, own_uid in zip(*(batch.column(c) for c in ("doc", "uid", "from", "to", "own_doc", "own_uid")), strict=True):
                 if a.is_valid:
-                    runs.append(tuple(np.frombuffer(x.as_buffer(), np.int64) for x in (d, u, a, b)))
+                    found.append(tuple(np.frombuffer(x.as_buffer(), np.int64) for x in (d, u, a, b)))
                 else:
-                    own_.add((int.from_bytes(d.as_py(), "little", signed=True), int.from_bytes(u.as_py(), "little", signed=True)))
+                    own_.add((own_doc.as_py(), own_uid.as_py()))
         where: dict[tuple[int, int], tuple[int, int]] = {}
-        if runs:
-            doc, uid, start, last = (np.concatenate(c) for c in zip(*runs, strict=True))
+        if found:
+            doc, uid, start, last = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.lexsort((uid, doc))
             doc, uid, start, last = doc[order], uid[order], start[order], last[order]
             first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1])])
