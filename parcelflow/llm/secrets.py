@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from parcelflow.llm.common import documents, slices
 
 KINDS = ("assign", "access", "hex", "random")
-LONG, RATIO = 20, 2.4
+LONG, RATIO, AT_ONCE = 20, 2.4, 2000
 MASK = "[SECRET]"
 
 # fixed values: the patterns that the scan is asked for, and the least length of each
@@ -43,7 +43,8 @@ KNOWN = re.compile(
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9.:TZ+/_=~-]+"  # numbers, dates, versions
 )
-NAME = re.compile(r"(/?[A-Za-z]*\d{0,4}[/._=~+-]+)*[A-Za-z]+\d{0,4}/?")  # of words with short numbers: paths, hosts, snake_case
+# names are words with short numbers between separators: paths, hosts, snake_case; each part is matched by itself
+SEPARATORS, PART, LAST = re.compile(r"[/._=~+-]+"), re.compile(r"[A-Za-z]*\d{0,4}"), re.compile(r"[A-Za-z]+\d{0,4}")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 _loaded: dict[str, tiktoken.Encoding] = {}
@@ -63,9 +64,19 @@ def is_random(run: str, vocabulary: tiktoken.Encoding) -> bool:
         return False
     if DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or KNOWN.fullmatch(run):
         return False
-    if len(run) >= RATIO * len(vocabulary.encode_ordinary(run)):
+    if len(run) >= RATIO * tokens(run, vocabulary):
         return False
-    return not (NAME.fullmatch(run) and named(run, vocabulary))
+    return not (is_name(run) and named(run, vocabulary))
+
+
+def tokens(run: str, vocabulary: tiktoken.Encoding) -> int:
+    """Tokens of a run, of which so many characters are encoded at once, as merging takes longer than in proportion."""
+    return sum(len(vocabulary.encode_ordinary(run[k : k + AT_ONCE])) for k in range(0, len(run), AT_ONCE))
+
+
+def is_name(run: str) -> bool:
+    *parts, last = SEPARATORS.split(run)
+    return bool(LAST.fullmatch(last)) and all(map(PART.fullmatch, parts))
 
 
 def named(run: str, vocabulary: tiktoken.Encoding) -> bool:
@@ -73,7 +84,7 @@ def named(run: str, vocabulary: tiktoken.Encoding) -> bool:
     if len(set(run)) <= 4:
         return True
     words = WORD.findall(run)
-    held = sum(len(w) for w in words if len(w) >= 3 and len(w) >= RATIO * len(vocabulary.encode_ordinary(w)))
+    held = sum(len(w) for w in words if len(w) >= 3 and len(w) >= RATIO * tokens(w, vocabulary))
     return 2 * held >= sum(map(len, words))
 
 
