@@ -3,9 +3,10 @@
 Pieces of equal length are interchangeable, so the packing problem is that of a histogram with at most `size` entries,
 whatever the number of documents.  The driver solves it on the histogram:
 
-1. reduction: for the longest free length L, the set {L, K} dominates every other set with L if K is the longest length
-   that fits beside it and either fills the sequence, or no two pieces fit beside L, or no two that fit are together
-   longer than K; such sets are fixed for good, as many as there are pieces for;
+1. reduction: for a free length L, the set {L, K} dominates every other set with L if K is the longest length that fits
+   beside it and no set of free pieces that fits there is together longer than K, as whatever is beside L in an optimum
+   can change places with K; such sets are fixed for good, as many as there are pieces for.  All lengths are tested,
+   longest first, until none is fixed any more;
 2. the remainder is packed best-fit, longest first, whole groups of equally filled sequences at a time.
 
 The result is a list of runs "the pieces of length L with ranks a to b go to sequences s, s+1, ..., q to each, from
@@ -97,42 +98,50 @@ class Plan:
                 n = self.free[x] // 2
                 self.put(x, 2, self.sequences, n, 0)
                 self.sequences += n
-        lengths = sorted(self.free)
-        while lengths:
-            x = lengths[-1]
-            if x not in self.free:
-                lengths.pop()
-                continue
-            room, own = self.size - x, self.free[x]
-            others = [n for n in lengths if n in self.free and n <= room and (n != x or own > 1)]
-            if not others:
-                self.fix([x], own if 2 * x > self.size else 1)
-                continue
-            k = others[-1]
-            left = self.free[k] - (k == x)
-            twice = [others[0], others[0] if self.free[others[0]] - (others[0] == x) > 1 else others[1] if len(others) > 1 else self.size]
-            if sum(twice) > room or self.longest_pair(others, room, x) <= k:
-                # the argument holds until x or k runs out, or only one k is left whose twin made a pair
-                n = min(own, left) if k != x else 1
-                self.fix([x, k], n)
-            else:
-                return  # the longest piece is not reducible; the remainder goes to best fit
-
-    def longest_pair(self, others: list[int], room: int, x: int) -> int:
-        """The most that two free pieces beside x take up within the room (0: no two fit)."""
-        best, i, j = 0, 0, len(others) - 1
-        while i <= j:
-            total = others[i] + others[j]
-            if total > room:
-                j -= 1
-            elif i == j:
-                if self.free[others[i]] - (others[i] == x) > 1:
-                    best = max(best, total)
-                break
-            else:
-                best = max(best, total)
-                i += 1
-        return best
+        while any([self.dominated(x) for x in sorted(self.free, reverse=True)]):
+            pass
+
+    def dominated(self, x: int) -> bool:
+        """Fixes the sets {x, K} that dominate all others with x, or x alone where nothing fits beside it."""
+        own, room = self.free.get(x, 0), self.size - x
+        if not own:
+            return False
+        lengths = np.array(sorted(self.free), dtype=np.int64)
+        others = lengths[: np.searchsorted(lengths, room, "right")]
+        if own == 1:
+            others = others[others != x]
+        if not len(others):
+            self.fix([x], own)
+            return True
+        k = int(others[-1])
+        if k < room:
+            # two pieces: for each the longest that fits beside it, which may be its equal if there is another one
+            beside = np.searchsorted(others, room - others, "right") - 1
+            alone = np.array([self.free[n] - (n == x) == 1 for n in others.tolist()])
+            beside -= (beside == np.arange(len(others))) & alone
+            pair = np.where(beside >= 0, others + others[beside], 0)
+            if pair.max() > k or self.fills(others.tolist(), x, k, room):
+                return False
+        n = min(own, self.free[k]) if k != x else own // 2
+        if k == x:
+            self.put(x, 2, self.sequences, n, 0)
+            self.sequences += n
+        else:
+            self.fix([x, k], n)
+        return True
+
+    def fills(self, others: list[int], x: int, k: int, room: int) -> bool:
+        """Whether some of the other free pieces are together longer than k and fit into the room beside x."""
+        sums, within, over = 1, (1 << (room + 1)) - 1, (1 << (room + 1)) - (1 << (k + 1))  # bit n: n can be reached
+        for n in others:
+            left, part = min(self.free[n] - (n == x), room // n), 1
+            while left:
+                part = min(part, left)
+                sums |= sums << (n * part) & within
+                left, part = left - part, 2 * part
+            if sums & over:
+                return True
+        return False
 
     def best_fit(self) -> None:
         groups: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by room: first sequence, sequences
