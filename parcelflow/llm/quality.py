@@ -7,12 +7,13 @@ distances come from triangular solves with Cholesky factors that are computed on
 
 The model is fitted on at most TRAIN_A_CLASS labelled documents of each class (a documented bound); every document is
 scored over its whole text.  Null texts count as empty and get the score of an empty document.  With no labelled rows
-of a class, the score is the known class's frequency, or 0.5.  Rows keep their number and ids.
+of a class, the score is the known class's frequency, or 0.5.  Rows keep their number and ids, repeated and null ones
+too; an empty table gives an empty result; equal texts get equal scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelflow.llm.common import documents, held_out, slices
+from parcelflow.llm.common import documents, fresh, held_out, only, slices
 from parcelflow.llm.learning import labels, training
 
 TRAIN_A_CLASS = 6000
@@ -55,6 +56,14 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+def solved(low: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each row r the solution y of low @ y = r, by forward substitution; the sum of its squares is a squared distance."""
+    y = np.empty_like(rows)
+    for i in range(len(low)):
+        y[:, i] = (rows[:, i] - y[:, :i] @ low[i, :i]) / low[i, i]
+    return y
+
+
 class Discriminant:
     """Fitted on figures x (rows by statistics) and labels y of 0 and 1."""
 
@@ -74,41 +83,56 @@ class Discriminant:
             c = (1 - POOL) * c + POOL * pooled
             c = (1 - ROUND) * c + ROUND * max(np.trace(c) / len(c), 1e-6) * np.eye(len(c))
             low = np.linalg.cholesky(c)
-            self.factors.append(np.linalg.inv(low))
+            self.factors.append(low)
             self.offsets.append(np.log(len(g) / len(z)) - np.log(np.diag(low)).sum())
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
         z = (x - self.centre) / self.scale
-        log = [o - 0.5 * (((z - m) @ f.T) ** 2).sum(1) for m, f, o in zip(self.means, self.factors, self.offsets, strict=True)]
+        log = [o - 0.5 * (solved(f, z - m) ** 2).sum(1) for m, f, o in zip(self.means, self.factors, self.offsets, strict=True)]
         return 1 / (1 + np.exp(-np.clip(log[1] - log[0], -700, 700)))
 
 
 def fit(docs: DataFrame, marks: DataFrame, column: str = "quality", rows_a_class: int = TRAIN_A_CLASS) -> Discriminant:
+    """The model of at most rows_a_class documents a class; a document becomes its figures where it is read."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
             for part in slices(batch):
                 figures = [statistics(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(figures, pa.list_(pa.float64())), part.column("label")], ["figures", "label"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(figures, pa.list_(pa.float64()))], [*names, "figures"])
 
-    rows = training(docs, marks, column, rows_a_class).mapInArrow(work, "figures array<double>, label int").collect()  # bounded: 2 * rows_a_class
+    names = ["place", "doc_id", "label", "tie"]
+    prepare = lambda rows: rows.select(*names, "text").mapInArrow(work, "place long, doc_id long, label int, tie long, figures array<double>")
+    rows = training(docs, marks, column, rows_a_class, prepare).select("figures", "label").collect()  # bounded: 2 * rows_a_class
     return Discriminant(np.array([r["figures"] for r in rows], dtype=float), np.array([r["label"] for r in rows], dtype=int))
 
 
-def score(docs: DataFrame, model: Discriminant, keep: bool = False) -> DataFrame:
-    """doc_id and score, or with keep all columns of docs and `score` (which replaces one of that name)."""
-    own = docs.drop("score") if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    names = own.columns if keep else ["doc_id"]
-    schema = T.StructType([T.StructField(n, own.schema[n].dataType) for n in names] + [T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, model: Discriminant) -> DataFrame:
+    """doc_id and score of every row; other columns are not read."""
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return own.mapInArrow(scorer(model, ["doc_id"], "score"), "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score reaches the threshold."""
+    names = docs.columns
+    extra = fresh(names, "score")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField(extra, T.DoubleType())])
+    return docs.mapInArrow(scorer(model, names, extra), schema).filter(F.col(extra) >= threshold).select(*names)
+
 
+def scorer(model: Discriminant, names: list[str], extra: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
             for part in slices(batch):
                 got = model.score(np.array([statistics(t or "") for t in part.column("text").to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(got)], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(got)], [*names, extra])
 
-    return own.mapInArrow(work, schema)
+    return work
 
 
 def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -329,7 +329,9 @@ def test_quality_model(spark, sf, docs, empty):
     assert held_out_accuracy(spark, sf, quality.score(all_docs, model), "quality", quality.THRESHOLD) > 0.95
     got = quality.score(docs, model).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
-    assert quality.score(docs, model, keep=True).columns == [*docs.drop("score").columns, "score"]
+    clash = docs.withColumn("score", learning.F.lit("s"))
+    good = {r.doc_id for r in got if r.score >= quality.THRESHOLD}
+    assert quality.keep(clash, model).columns == clash.columns and {r.doc_id for r in quality.keep(clash, model).filter("score = 's'").collect()} == good
     assert quality.score(empty, model).count() == 0
     none = learning.labels(spark, sf).filter("false")
     assert quality.score(docs, quality.fit(all_docs, none)).first().score == 0.5
