@@ -1,9 +1,10 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence kernel with Nystroem landmarks.
 
 Strings are the words of sentences: lower case, letter-like digits and signs read as letters, other signs dropped, runs
-of single letters joined, and each two short neighbours read as one word too.  The kernel counts common subsequences of two and three letters inside windows of SPAN
-letters (word ends count as letters), each weighted by GAP to the power of what it spans, is normalised, and goes
-through a Gaussian.  So "idiot", "id-iot", "i d i o t" and "idxiot" lie close together.
+of single letters joined, and each two short neighbours read as one word too, unless FAMILIAR clean training documents
+have each of them.  The kernel counts common subsequences of two and three letters inside windows of SPAN letters (word
+ends count as letters), each weighted by GAP to the power of what it spans, is normalised, and goes through a Gaussian.
+  So "idiot", "id-iot", "i d i o t" and "idxiot" lie close together.
 
 Learning, on at most TRAIN_A_CLASS labelled documents of each class (a documented bound):
 
@@ -18,7 +19,8 @@ Learning, on at most TRAIN_A_CLASS labelled documents of each class (a documente
    calibrated to a probability on the same documents.
 
 Null texts count as empty and get the score of a document with no words; rows keep their number and ids.  With no
-labelled rows of a class the score is the known class's frequency, or 0.5.
+labelled rows of a class the score is the known class's frequency, or 0.5.  Equal texts get equal scores, an empty table
+gives an empty result, and columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import documents, held_out, slices
+from parcelflow.llm.common import CACHES, documents, held_out, only, slices
 from parcelflow.llm.learning import labels, training
 
 TRAIN_A_CLASS = 2000
@@ -44,6 +46,7 @@ WIDTH = 0.35  # of the Gaussian, in squared distance of normalised kernel featur
 SEEDS, LANDMARKS = 96, 160
 #: Seeds with at least this evidence have variants.
 STRONG = 0.5
+FAMILIAR = 3
 PART = 6  # signs of neighbouring chunks that are read as one word too
 ANY = "\0"  # is in no word, so it is as far from one letter as from another
 FILL = "xqaeno"
@@ -90,9 +93,23 @@ def joined(chunks: list[str]) -> list[str]:
     return [*out, run] if len(run) >= 4 else out
 
 
-def neighbours(chunks: list[str]) -> list[str]:
-    """Each two neighbouring chunks of at most PART signs as one: words that white space splits."""
-    return [a + b for a, b in zip(chunks, chunks[1:]) if len(a) <= PART and len(b) <= PART and len(a) + len(b) >= 4]
+class Familiar(dict):
+    """Whether a chunk is a word that FAMILIAR clean training documents have."""
+
+    def __init__(self, words: frozenset[str] = frozenset()) -> None:
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, chunk: str) -> bool:
+        if len(self) >= KEEP:
+            self.clear()
+        found = self[chunk] = letters(chunk) in self.words
+        return found
+
+
+def neighbours(chunks: list[str], familiar: Familiar) -> list[str]:
+    """Each two neighbouring chunks of at most PART signs as one, if one is not familiar: words that white space splits."""
+    return [a + b for a, b in zip(chunks, chunks[1:]) if len(a) <= PART and len(b) <= PART and len(a) + len(b) >= 4 and not (familiar[a] and familiar[b])]
 
 
 def altered(word: str) -> tuple[list[str], list[str]]:
@@ -193,7 +210,8 @@ class Machine:
     def __init__(self, texts: list[str], toxic: np.ndarray) -> None:
         self.constant: float | None = None
         self.values: dict[str, float] = {}
-        self.joins: dict[str, float] = {}  # apart, as they are many and would push the words out
+        self.joins: dict[str, float] = {}
+        self.familiar = Familiar()
         seen, keep = set(), []
         for i, t in enumerate(texts):  # copies would count as evidence of their own
             if (key := (zlib.crc32(t.encode("utf-8", "replace")), len(t), int(toxic[i]))) not in seen:
@@ -207,6 +225,7 @@ class Machine:
         counts = [Counter(), Counter()]
         for doc, y in zip(sentences, known, strict=True):
             counts[int(y)].update({w for s in doc for w in s})
+        self.familiar = Familiar(frozenset(w for w, n in counts[0].items() if n >= FAMILIAR))
         n = np.bincount(known.astype(int), minlength=2)
         strength = {w: g for w, a in counts[1].items() if a >= LEAST and (g := self.likelihood(a, counts[0][w], n[1], n[0])) >= LIKELIHOOD}
         seeds = [w for w, _ in sorted(strength.items(), key=lambda x: (-x[1], x[0]))][:SEEDS]
@@ -235,7 +254,7 @@ class Machine:
         offer(sorted(w for w in counts[0] if w not in strength))
         clean = [i for i in keep if not toxic[i]]
         for at in range(0, len(clean), 64):
-            offer(sorted({w for i in clean[at : at + 64] for c in neighbours(texts[i].split()) if (w := letters(c)) and w not in strength}))
+            offer(sorted({w for i in clean[at : at + 64] for c in neighbours(texts[i].split(), self.familiar) if (w := letters(c)) and w not in strength}))
         hard, near = (sorted(top, key=lambda w: (-top[w], w)) for top in tops)
         common = [w for w, _ in sorted(counts[0].items(), key=lambda x: (-x[1], x[0])) if w not in strength]
         rest = LANDMARKS - len(seeds)
@@ -311,7 +330,7 @@ class Machine:
 
     def valued(self, words: list[str]) -> np.ndarray:
         value = self.kernel(words)
-        got = np.clip(value @ self.direction + self.bias, 0, 1)
+        got = np.clip(np.einsum("ij,j->i", value, self.direction) + self.bias, 0, 1)  # by one thread
         some = np.flatnonzero(got)
         got[some] *= self.evidence[value[some, : len(self.evidence)].argmax(1)]
         return got
@@ -340,7 +359,7 @@ class Machine:
     def raw(self, texts: list[str]) -> np.ndarray:
         """The TOP largest values of the words of each text: positive decision values, by the nearest seed's evidence."""
         split = [t.split() for t in texts]
-        pairs = [neighbours(chunks) for chunks in split]
+        pairs = [neighbours(chunks, self.familiar) for chunks in split]
         for k, chunks in enumerate(split):
             short = np.fromiter(map(len, chunks), np.int32, len(chunks)) <= 2
             if len(short) >= 4 and (short[:-3] & short[1:-2] & short[2:-1] & short[3:]).any():
@@ -353,6 +372,10 @@ class Machine:
             out[k, : len(best)] = best
         return out
 
+    def forget(self) -> None:
+        for known in (self.values, self.joins, self.familiar):
+            known.clear()
+
     def score(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
@@ -362,13 +385,15 @@ class Machine:
 def fit(docs: DataFrame, marks: DataFrame, column: str = "toxic", rows_a_class: int = TRAIN_A_CLASS) -> Machine:
     rows = training(docs, marks, column, rows_a_class).select("text", "label").collect()  # bounded: 2 * rows_a_class
     model = Machine([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=int))
-    model.values, model.joins = {}, {}
+    model.values, model.joins, model.familiar = {}, {}, Familiar(model.familiar.words)
     return model
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:
     """doc_id and score of every row."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        CACHES["toxicity"] = model.forget
+        only("toxicity")
         for batch in batches:
             for part in slices(batch):
                 got = model.score([t or "" for t in part.column("text").to_pylist()])
