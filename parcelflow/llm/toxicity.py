@@ -54,7 +54,7 @@ TOP = 3  # words of a document that count
 LIKELIHOOD, LEAST = 18.0, 3
 COST = 10.0
 NEGATIVES = 4000  # clean words near the seeds that are trained on
-VARIANT = 0.3  # documents that the inserted-letter variants of a seed count for, as a share
+VARIANT = 1.0  # documents that the inserted-letter variants of a seed count for, as a share of its own
 NEAREST = 96  # clean words nearest to the seeds with variants, as landmarks
 LONGEST = 40  # letters of a word at once; longer ones are read in overlapping parts
 BITS = 16
