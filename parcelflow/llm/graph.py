@@ -63,16 +63,16 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(work, "u long, v long")
 
 
-def beside(rows: DataFrame, table: DataFrame, edges: int) -> DataFrame:
-    """rows joined by u with table, which has one row (u, m, n) for each u, n of rows.
+def beside(rows: DataFrame, table: DataFrame, total: int, key: list[str], count: str) -> DataFrame:
+    """rows joined by key with table, which has one row for each key and, in `count`, the number of rows with it.
 
-    The rows of a hub stay where they are: hubs have at least 1 / SHARE of the edges, so there are few, and they are
+    The rows of a hub stay where they are: hubs have at least 1 / SHARE of the total, so there are few, and they are
     broadcast.  All others are joined by shuffles, in which no key has more than that share.
     """
-    least = max(HUB, edges // SHARE)
-    hubs = F.broadcast(table.filter(F.col("n") >= least).select("u", "m"))
-    rest = rows.join(hubs.select("u"), "u", "left_anti").join(table.filter(F.col("n") < least).select("u", "m"), "u")
-    return rows.join(hubs, "u").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
+    least = max(HUB, total // SHARE)
+    hubs = F.broadcast(table.filter(F.col(count) >= least).drop(count))
+    rest = rows.join(hubs.select(*key), key, "left_anti").join(table.filter(F.col(count) < least).drop(count), key)
+    return rows.join(hubs, key).unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -87,8 +87,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = beside(both.filter("v > u"), least, 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = beside(both.filter("v > u"), least, 2 * state[0], ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = beside(large, lower, 2 * state[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = beside(large, lower, 2 * state[0], ["u"], "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = materialise(forest(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct()), "edges", paths[(k + 1) % 2])
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.llm.common import CACHES, documents, fresh, materialise, only, slices
-from parcelflow.llm.graph import components, stars
+from parcelflow.llm.graph import beside, components, stars
 from parcelflow.llm.suffix import BASE, blobs, utf8
 
 WORDS, SIMILARITY = 5, Fraction(4, 5)
@@ -403,7 +403,7 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
     grams = found.filter("band is null").groupBy("h1").agg(share.alias("many"), F.sum("n_shingles").alias("n")).filter("many").orderBy(F.desc("n"), "h1").limit(MOST_FREQUENT).select("h1").collect()  # bounded
     frequent = np.sort(np.array([r["h1"] for r in grams], dtype=np.int64).view(np.uint64))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = rows.filter("n_shingles > 0").groupBy("h1", "h2", "band").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
+    classes = rows.filter("n_shingles > 0").groupBy("h1", "h2", "band").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     # a set's places, as in place(): in its own band and in the next
     even = F.col("h1").bitwiseAND(F.lit(-2))
@@ -412,10 +412,11 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
     buckets = max(1, -(-total // BUCKET))
     clusters = components(meetings(own, words, similarity, buckets, frequent))
     members = clusters.select(F.col("node").alias("place"), F.col("component").alias("cluster")).join(places.select("place", "node", "doc_id", "h1", "h2", "n"), "place").filter("doc_id is not null")
-    # where all sets are one band below, those that are similar meet in that band too
-    members = members.join(members.groupBy("cluster").agg(F.max(F.col("place").bitwiseAND(F.lit(1)) == 0).alias("own")).filter("own").select("cluster"), "cluster", "left_semi")
     members = materialise(members, "members")
-    members = members.join(members.groupBy("cluster").agg(F.sum("n").alias("size")), "cluster")
+    sets = members.count()
+    # where all sets are one band below, those that are similar meet in that band too
+    per = members.groupBy("cluster").agg(F.max(F.col("place").bitwiseAND(F.lit(1)) == 0).alias("own"), F.sum("n").alias("size"), F.count("*").alias("sets"))
+    members = beside(members, per, sets, ["cluster"], "sets").filter("own").drop("own")
 
     blocks = F.ceil(F.col("size") / LARGE).cast("long")
     small = members.filter(F.col("size") <= LARGE)
@@ -455,10 +456,11 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
             links = links.unionByName(materialise(join_tasks(own, second, words, similarity, int(again)), "links"))
             found = components(links)
 
-    node = classes.join(found, "node", "left").select("h1", "h2", "doc_id", F.coalesce("component", "node").alias("component"))
-    ids = node.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named_ = node.join(ids, "component").select("h1", "h2", "component_id")
-    return rows.join(named_, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    node = materialise(classes.join(found, "node", "left").select("h1", "h2", "doc_id", "copies", F.coalesce("component", "node").alias("component")), "nodes")
+    ids = node.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("sets"))
+    named = beside(node, ids, node.count(), ["component"], "sets").select("h1", "h2", "component_id", "copies")
+    some = beside(rows.filter("n_shingles > 0"), named, rows.count(), ["h1", "h2"], "copies").select("doc_id", "n_shingles", "component_id")
+    return some.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def representatives(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
