@@ -64,6 +64,7 @@ def only(operator: str) -> None:
         if name != operator:
             clear()
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())  # gives large blocks back as soon as they are free
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what it has freed otherwise
     if trim:
         trim(0)

@@ -78,7 +78,7 @@ def beside(rows: DataFrame, table: DataFrame, total: int, key: list[str], count:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of every node that has an edge (u, v) to another."""
     paths = [step_path(edges.sparkSession, "edges") for _ in range(2)]
-    current = materialise(forest(forest(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")).distinct()), "edges", paths[0])
+    current = materialise(forest(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()), "edges", paths[0])
     before = None
     for k in range(ROUNDS):
         state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -50,14 +50,14 @@ BITS_EACH, BITS = 8, (1024, 1 << 16)
 #: N-grams of all sets of a cluster from which it is joined in blocks, of a task of small clusters, of a bucket's sets.
 LARGE, TASK, BUCKET = 8 << 20, 1 << 20, 1 << 20
 #: Rows whose signatures are sent together, and buckets that a task has one after the other.
-SENT, STREAM = 4096, 4
+SENT, STREAM = 2048, 4
 PIVOTS = 8
 #: N-grams of so large a share of the documents come last in the order; how many are told to the tasks at most; how
 #: often one must occur among the documents that are read together to be counted.
 FREQUENT, MOST_FREQUENT, SEVERAL = 0.003, 200_000, 3
 
 #: Bytes of a text whose words are made at once, and distinct words whose hashes a worker keeps.
-PIECE, KEEP = 1 << 20, 200_000
+PIECE, KEEP = 1 << 20, 100_000
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Bits of a signature's hash that travel; those before them follow from the bucket, but for a few.
 LOW = 40

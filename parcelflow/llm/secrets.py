@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelflow.llm.common import documents, slices
+from parcelflow.llm.common import CACHES, documents, only, slices
 
 KINDS = ("assign", "access", "hex", "random")
 LONG, RATIO, AT_ONCE = 20, 2.4, 2000
@@ -51,6 +51,9 @@ _loaded: dict[str, tiktoken.Encoding] = {}
 
 
 def encoding(path: str) -> tiktoken.Encoding:
+    """One copy for each worker process, as long as it scans."""
+    CACHES["secrets"] = _loaded.clear
+    only("secrets")
     if path not in _loaded:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

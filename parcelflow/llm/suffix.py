@@ -42,7 +42,7 @@ LENGTH, GRAM = 50, 26
 #: Bytes of text of a block, and the bytes of a document that are hashed at once.
 BLOCK, PIECE = 5 << 20, 1 << 20
 #: Rows that ask for seeds together, and buckets of seeds that a task has one after the other.
-SENT, STREAM = 4096, 4
+SENT, STREAM = 2048, 4
 PLACE = np.uint64((1 << 21) - 1)  # bits of a hash that make room for a position of a piece
 TABLE = np.random.Generator(np.random.PCG64(50)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
