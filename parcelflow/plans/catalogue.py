@@ -5,12 +5,13 @@ Doubles are rounded in both, so that the order of additions does not show.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelflow.config import Settings
+from parcelflow.config import LayerSource, Settings
 from parcelflow.functions import geometry as G
 from parcelflow.functions import numbers as N
 from parcelflow.functions import text as X
@@ -26,6 +27,8 @@ from parcelflow.operators import reconcile as R
 from parcelflow.operators import transition as T
 from parcelflow.plans.derived import SETTINGS, VINTAGES, Derived
 from parcelflow.plans.oracle import q
+from parcelflow.sources import tables as S
+from parcelflow.sources.steps import step_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,9 +82,71 @@ def canonical_state(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.lpad((n + 1).cast("string"), 2, "0").alias("code"), X.canonical_state(raw).alias("state"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey WHEN 0 THEN 'Jammu and Kashmir' WHEN 1 THEN 'Himachal Pradesh' WHEN 2 THEN 'Punjab' WHEN 23 THEN 'Gujarat' WHEN 24 THEN 'Daman and Diu' END AS state FROM nation WHERE n_nationkey IN (0,1,2,23,24)")
+@query(f"SELECT n_nationkey, state FROM nation LEFT JOIN (VALUES {', '.join(f"({int(k)}, '{v}')" for k, v in X.STATE_CODES.items())}) c(code, state) ON code = n_nationkey + 1")
 def state_of_code(spark, sf):
-    return table(spark, sf, "nation").filter(F.col("n_nationkey").isin(0, 1, 2, 23, 24)).select("n_nationkey", X.state_of_code(F.col("n_nationkey") + 1).alias("state"))
+    return table(spark, sf, "nation").select("n_nationkey", X.state_of_code(F.col("n_nationkey") + 1).alias("state"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity/8, 2) AS eighths FROM lineitem")
+def rounded_eighths(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", N.rounded(F.col("l_quantity") / 8, 2).alias("eighths"))
+
+
+#: A quadrangle of the ellipsoid between meridians and parallels, from the closed form of its area.
+QUADRANGLE = """WITH c AS (SELECT (1/298.257223563)*(2-1/298.257223563) e2), b AS (SELECT p_partkey k, 70+p_partkey%20 x, 8+p_partkey%25 y, (1+p_size%9)/10.0 w, (1+(p_size+p_partkey)%9)/10.0 h FROM part),
+ z AS (SELECT k, radians(w) dl, e2, sqrt(e2) e, sin(radians(y)) s0, sin(radians(y+h)) s1 FROM b, c)
+SELECT k::VARCHAR AS box, round(6378.137*6378.137/2*dl*(1-e2)*((s1/(1-e2*s1*s1)-ln((1-e*s1)/(1+e*s1))/(2*e))-(s0/(1-e2*s0*s0)-ln((1-e*s0)/(1+e*s0))/(2*e))),4) AS area_km2 FROM z"""
+
+
+@query(QUADRANGLE)
+def geodesic_area(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    x, y, w, h = 70 + k % 20, 8 + k % 25, (1 + size % 9) / 10, (1 + (size + k) % 9) / 10
+    corner = lambda a, b: F.struct(F.lit(0).alias("part"), F.lit(0).alias("ring"), a.cast("double").alias("x"), b.cast("double").alias("y"))
+    points = F.array(corner(x, y), corner(x + w, y), corner(x + w, y + h), corner(x, y + h))
+    return table(spark, sf, "part").select(k.cast("string").alias("box"), F.round(G.area(G.project(points)), 4).alias("area_km2"))
+
+
+@query("SELECT p_partkey, (68+p_partkey%29+(p_size%10)/10.0)::DOUBLE AS lon, (7+p_partkey%30+(p_size%7)/7.0)::DOUBLE AS lat FROM part")
+def conic_to_degrees(spark, sf):
+    """Points projected forward by the conic's formulas, and brought back to degrees."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    lon, lat = 68 + k % 29 + (size % 10) / 10, F.radians(7 + k % 30 + (size % 7) / 7)
+    e, a, b, c = math.sqrt(G.ECC2), *(math.radians(v) for v in (12.472944, 35.172806, 24.0))
+    m = lambda v: math.cos(v) / math.sqrt(1 - G.ECC2 * math.sin(v) ** 2)
+    t = lambda v: math.tan(math.pi / 4 - v / 2) * ((1 + e * math.sin(v)) / (1 - e * math.sin(v))) ** (e / 2)
+    n = math.log(m(a) / m(b)) / math.log(t(a) / t(b))
+    r = lambda v: G.AXIS * 1000 * m(a) / (n * t(a) ** n) * F.pow(v, F.lit(n))
+    here = F.tan(F.lit(math.pi / 4) - lat / 2) * F.pow((1 + e * F.sin(lat)) / (1 - e * F.sin(lat)), F.lit(e / 2))
+    angle = n * F.radians(lon - 80.0)
+    x, y = 4e6 + r(here) * F.sin(angle), 4e6 + r(F.lit(t(c))) - r(here) * F.cos(angle)
+    back = G.lambert_inverse(x, y, 12.472944, 35.172806, 24.0, 80.0, 4e6, 4e6)
+    return table(spark, sf, "part").select("p_partkey", F.round(back[0], 6).alias("lon"), F.round(back[1], 6).alias("lat"))
+
+
+@query("SELECT 'SUPP' AS source_dataset, 1961::INT AS source_year, s_suppkey::VARCHAR AS source_pk, s_name AS district_name_original, lpad((s_nationkey+1)::VARCHAR,2,'0') AS code FROM supplier")
+def projected_layer(spark, sf):
+    source = LayerSource(dataset="SUPP", year=1961, path="", pk_field="s_suppkey", name_field="s_name", state_field="code")
+    raw = table(spark, sf, "supplier").withColumns({"code": F.lpad((F.col("s_nationkey") + 1).cast("string"), 2, "0"), "points": F.lit(None).cast(G.POINTS), "ordinal": F.lit(0)})
+    return LY.projection(raw, source).select("source_dataset", "source_year", "source_pk", "district_name_original", F.col("state_name_original").alias("code"))
+
+
+@query("SELECT c_custkey%5 IN (0) AS kept, CASE WHEN c_custkey%5=0 THEN NULL ELSE 'UNNAMED' END AS reason, count(*) AS n FROM customer GROUP BY 1,2")
+def named_and_rejected(spark, sf):
+    k = F.col("c_custkey") % 5
+    raw = F.when(k == 1, " N/A").when(k == 2, "--").when(k == 3, "Data not available").when(k == 4, F.lit(None)).otherwise(F.col("c_name"))
+    kept, rejected = LY.with_rejects(table(spark, sf, "customer").select(raw.alias("district_name_original")))
+    both = kept.select(F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason")).unionByName(rejected.select(F.lit(False).alias("kept"), "reason"))
+    return both.groupBy("kept", "reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey%7=0 AS twice, p_partkey FROM part UNION ALL SELECT true, p_partkey FROM part WHERE p_partkey%7=0")
+def csv_round_trip(spark, sf):
+    """A table written as CSV and read back under a schema."""
+    path = step_path(spark, "csv")
+    p = table(spark, sf, "part").select((F.col("p_partkey") % 7 == 0).alias("twice"), "p_partkey")
+    S.write_csv(p.unionByName(p.filter("twice")), path)
+    return S.read_csv(spark, path, "twice BOOLEAN, p_partkey BIGINT")
 
 
 @query("SELECT p_partkey, string_split(p_name,' ')[1] AS first_name, string_split(p_name,' ')[2] AS second_name, 2::BIGINT AS n FROM part")
@@ -412,6 +477,16 @@ def event_status(d):
     return d.status.select("event_id", "event_status", "source_area", "accounted_area", "residual_area", "n_rows")
 
 
+@query(q("SELECT yr AS effective_year, count(*) AS n_events FROM sta WHERE status='RECOVERED' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"), False)
+def recovered_events_by_year(d):
+    return R.events_by(d.status, d.events, "effective_year", "RECOVERED")
+
+
+@query(q("SELECT e.state, count(*) AS n_events FROM sta s JOIN ev e ON e.id=s.id WHERE s.status='RECOVERED' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"), False)
+def recovered_events_by_state(d):
+    return R.events_by(d.status, d.events, "state", "RECOVERED")
+
+
 @query(q("SELECT s.id AS event_id, s.status AS event_status, coalesce((SELECT string_agg(DISTINCT nm,' | ' ORDER BY nm) FROM part p WHERE p.id=s.id AND rl='PREDECESSOR'),'') AS predecessors, coalesce((SELECT string_agg(DISTINCT nm,' | ' ORDER BY nm) FROM part p WHERE p.id=s.id AND rl='SUCCESSOR'),'') AS successors FROM sta s"), False)
 def event_summary(d):
     return R.event_summary(d.status, d.named).select("event_id", "event_status", "predecessors", "successors")
@@ -516,12 +591,11 @@ def alias_promotion(d):
     return D.promoted(d.aliases).select("raw_name", "canonical_name")
 
 
-LADDER = ladder_sql(False).replace(" SELECT o.id AS event_id", ", lad AS (SELECT o.id AS event_id", 1) + ")"
+LADDER = ladder_sql(True).replace(" SELECT o.id AS event_id", ", lad AS (SELECT o.id AS event_id", 1) + ")"
 
 
 def _decided(d: Derived) -> DataFrame:
-    none = d.open_rows.filter("false")
-    return D.decide(d.open_rows, none.select("event_id", "pred_ck", F.col("pred_ck").alias("l1_ck")), none.select("event_id", "pred_ck", F.col("pred_ck").alias("l2_ck")), _cands(d), SETTINGS)
+    return D.decide(d.open_rows, _l1(d), _l2(d), _cands(d), SETTINGS)
 
 
 @query(q(LADDER + " SELECT final_status, recovery_level, count(*) AS n FROM lad GROUP BY 1,2"), False)
@@ -651,6 +725,18 @@ def polygon_measures(d):
     return d.boxes(0).select("box", F.round(G.area(p), 6).alias("area"), F.round(G.perimeter(p), 6).alias("perimeter"), F.round(G.thinness(p), 6).alias("thinness"), G.n_parts(p).alias("n_parts"))
 
 
+@query(BOXES + "SELECT k::VARCHAR AS box, (round((x+w)/4.0)-round(x/4.0))*(round((y+h)/4.0)-round(y/4.0))*16 AS area_km2 FROM b WHERE (round((x+w)/4.0)-round(x/4.0))*(round((y+h)/4.0)-round(y/4.0))>0", False)
+def snapped_boxes(d):
+    return LY.snapped(d.boxes(0), 4.0).select("box", F.round("area_km2", 6).alias("area_km2"))
+
+
+@query(BOXES + "SELECT 1951::INT AS source_year, 2*count(*) AS n, count(*) AS dup_geometry, count(*) AS dup_source_pk FROM b", False)
+def duplicate_shapes(d):
+    """Every box stands twice, so each has one shape and one key too many."""
+    layer = d.boxes(0).select(F.lit("L").alias("source_dataset"), F.lit(1951).alias("source_year"), F.col("box").alias("source_pk"), "points")
+    return LY.duplicates(layer.unionByName(layer)).drop("source_dataset")
+
+
 @query(BOXES + "SELECT k::VARCHAR AS box, (x+w/2.0)::DOUBLE AS cx, (y+h/2.0)::DOUBLE AS cy FROM b", False)
 def polygon_centroids(d):
     return G.centroids(G.edge_table(d.boxes(0), "box"), "box").select("box", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
