@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 #: Texts handled at once by a Python worker; bounds its memory whatever the size of Spark's batches.
 SLICE_ROWS = 512
 SLICE_BYTES = 8 << 20
+#: The same where each word of a text becomes an object.
+WORDY_BYTES = 1 << 20
+#: Rows and bytes of Spark's batches to and from Python while a step is written; both sides hold several of them.
+BATCH = {"maxRecordsPerBatch": "2048", "maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +42,10 @@ def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     """
     spark = df.sparkSession
     path = path or step_path(spark, label)
-    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    with contextlib.ExitStack() as held:
+        held.enter_context(setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"))
+        for name, value in BATCH.items():
+            held.enter_context(setting(spark, f"spark.sql.execution.arrow.{name}", value))
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -83,12 +90,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into slices of at most so many rows and, but for single rows, SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into slices of at most so many rows and, but for single rows, `size` bytes of text."""
     sizes = [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
     start = total = 0
     for i, n in enumerate(sizes):
-        if i > start and (total + n > SLICE_BYTES or i - start >= rows):
+        if i > start and (total + n > size or i - start >= rows):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.llm import bpe
-from parcelflow.llm.common import documents, slices
+from parcelflow.llm.common import WORDY_BYTES, documents, slices
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -28,7 +28,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.load(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=WORDY_BYTES):
                 packed = model.encode_packed([t or "" for t in part.column("text").to_pylist()])
                 text = model.text.__getitem__
                 decoded = [" ".join(map(text, np.frombuffer(x, "<u4").tolist())) for x in packed]
@@ -59,7 +59,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         model = bpe.load(path)
         sha = hashlib.sha256
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=WORDY_BYTES):
                 counts, ids, decoded = [], [], []
                 text = model.text.__getitem__
                 for x in model.encode_packed([t or "" for t in part.column("text").to_pylist()]):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelflow.llm import bpe
-from parcelflow.llm.common import documents, materialise, slices
+from parcelflow.llm.common import WORDY_BYTES, documents, materialise, slices
 from parcelflow.llm.encode import VOCABULARY
 
 SIZE = 2048
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None) ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.load(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=WORDY_BYTES):
                 rows: list[tuple] = []
                 for doc, ids in zip(part.column("doc_id").to_pylist(), model.encode_packed([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     ids += END.to_bytes(4, "little")
