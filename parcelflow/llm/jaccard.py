@@ -52,6 +52,8 @@ LARGE, TASK, BUCKET = 8 << 20, 1 << 20, 1 << 20
 #: Rows whose signatures are sent together, and buckets that a task has one after the other.
 SENT, STREAM = 2048, 4
 PIVOTS = 8
+#: Rows of a counted plan or list of ids that texts are joined with where they lie, instead of being sent to it.
+CARRIED = 200_000
 #: N-grams of so large a share of the documents come last in the order; how many are told to the tasks at most; how
 #: often one must occur among the documents that are read together to be counted.
 FREQUENT, MOST_FREQUENT, SEVERAL = 0.003, 200_000, 3
@@ -354,6 +356,11 @@ class SignatureTree:
         return out
 
 
+def carried(rows: DataFrame) -> DataFrame:
+    """rows, which are written, told to all tasks if there are no more than CARRIED."""
+    return F.broadcast(rows) if rows.limit(CARRIED + 1).count() <= CARRIED else rows
+
+
 def join_tasks(docs: DataFrame, plan: DataFrame, words: int, similarity: Fraction, tasks: int) -> DataFrame:
     """Links (u, v) of nodes; plan has doc_id, h1, h2, node, task, cluster, side and component for each set of a task.
 
@@ -453,7 +460,7 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
         second = state.withColumn("own", own_block).withColumn("task", F.explode(to)).withColumns({"task": F.concat_ws("/", "cluster", "task"), "side": F.lit(0)}).select(*columns)
         again = top.agg(F.sum(a * b + b * (b + 1) / 2)).first()[0]
         if again:
-            links = links.unionByName(materialise(join_tasks(own, second, words, similarity, int(again)), "links"))
+            links = links.unionByName(materialise(join_tasks(own, carried(materialise(second, "again")), words, similarity, int(again)), "links"))
             found = components(links)
 
     node = materialise(classes.join(found, "node", "left").select("h1", "h2", "doc_id", "copies", F.coalesce("component", "node").alias("component")), "nodes")
@@ -471,11 +478,17 @@ def representatives(docs: DataFrame, words: int = WORDS, similarity: Fraction =
     """
     found = similar(docs, words, similarity)
     many, own, md5 = (fresh(docs.columns, n) for n in ("rows_of_id", "own_id", "md5"))
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(many))
-    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(own))).drop(own)
-    single = kept.filter(F.col(many) == 1).drop(many)
+    # ids that have another number of representatives than one, as there are fewer of them than of others
+    first = F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    marks = found.groupBy(F.col("doc_id").alias(own)).agg(first.alias(many)).filter(F.col(many) != 1)
+    marks = materialise(marks, "marks")
+    marked = docs.join(carried(marks), F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left").drop(own)
+    single = marked.filter(F.col(many).isNull()).drop(many)
+    if marks.filter(F.col(many) > 1).isEmpty():
+        return single
+    kept = marked.filter(F.col(many) > 1)
     # repeated ids are the exception, so only their rows are compared by text
-    repeated = kept.filter(F.col(many) > 1).drop(many).withColumn(md5, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    repeated = kept.drop(many).withColumn(md5, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
     return single.unionByName(repeated.dropDuplicates(["doc_id", md5]).drop(md5))
 
 
