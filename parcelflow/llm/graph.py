@@ -66,6 +66,8 @@ def forest(edges: DataFrame) -> DataFrame:
 def beside(rows: DataFrame, table: DataFrame, total: int, key: list[str], count: str) -> DataFrame:
     """rows joined by key with table, which has one row for each key and, in `count`, the number of rows with it.
 
+    Both are read more than once, so they should be written before.
+
     The rows of a hub stay where they are: hubs have at least 1 / SHARE of the total, so there are few, and they are
     broadcast.  All others are joined by shuffles, in which no key has more than that share.
     """
@@ -77,7 +79,7 @@ def beside(rows: DataFrame, table: DataFrame, total: int, key: list[str], count:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of every node that has an edge (u, v) to another."""
-    paths = [step_path(edges.sparkSession, "edges") for _ in range(2)]
+    paths = [step_path(edges.sparkSession, label) for label in ("edges", "edges", "least", "large", "lower")]
     current = materialise(forest(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()), "edges", paths[0])
     before = None
     for k in range(ROUNDS):
@@ -86,9 +88,10 @@ def components(edges: DataFrame) -> DataFrame:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = state
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = beside(both.filter("v > u"), least, 2 * state[0], ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        # written one by one: a plan of a whole round reads the edges dozens of times, which the driver has to hold
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least", paths[2])
+        large = materialise(beside(both.filter("v > u"), least, 2 * state[0], ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large", paths[3])
+        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lower", paths[4])
         small = beside(large, lower, 2 * state[0], ["u"], "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = materialise(forest(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct()), "edges", paths[(k + 1) % 2])
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
