@@ -13,7 +13,9 @@
 3. Join: a cluster's sets go into a signature tree.  Leaves hold up to LEAF sets, nodes up to FAN children; each has the
    OR and the AND of its sets' token bitmaps and the range of their sizes.  Two nodes are traversed together unless all
    their sets are linked already, or the greatest overlap that bitmaps and sizes allow is below what similarity needs.
-   Pairs at the leaves are counted exactly.
+   The join runs twice.  First the trees have bitmaps only, less than a byte for each n-gram: sets that bitmaps and sizes
+   let be similar, directly or through others, stay together, and all similar sets do.  Then the n-grams of those that are
+   not left alone travel, and pairs at the leaves are counted exactly.
 4. Links make components.  Links between sets that are connected already are not looked for, so a group of thousands of
    copies costs about as many comparisons as it has sets.
 
@@ -30,7 +32,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -47,8 +49,12 @@ WORDS, SIMILARITY = 5, Fraction(4, 5)
 LEAF, FAN = 16, 8
 #: Bits of a bitmap for each n-gram of a middling set, and the least and most bits; fewer would let pairs through that differ.
 BITS_EACH, BITS = 8, (1024, 1 << 16)
+#: Bits for each n-gram, at least, of the bitmaps that are sent alone.
+SKETCH_BITS = 4
 #: N-grams of all sets of a cluster from which it is joined in blocks, of a task of small clusters, of a bucket's sets.
 LARGE, TASK, BUCKET = 8 << 20, 1 << 20, 1 << 20
+#: So many times LARGE and TASK where bitmaps are sent alone.
+SKETCHED = 8
 #: Rows whose signatures are sent together, and buckets that a task has one after the other.
 SENT, STREAM = 2048, 4
 PIVOTS = 8
@@ -114,6 +120,19 @@ def digest(h: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def bitmap(h: np.ndarray, width: int) -> np.ndarray:
+    """The token bitmap of a set, as 64-bit words."""
+    row = np.zeros(width, bool)
+    row[(h & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(row).view(np.uint64)
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Size, least hash and bitmap of a set; the greater the set, the wider the bitmap."""
+    width = min(max(1 << (SKETCH_BITS * len(h)).bit_length(), 64), BITS[1])
+    return np.r_[np.array([len(h), h[0] if len(h) else 0], np.uint64), bitmap(h, width)].tobytes()
+
+
 class Bands:
     """Size bands of a similarity: similar sets are in one band or in neighbours."""
 
@@ -162,25 +181,25 @@ class Bands:
 
 
 def classify(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """doc_id, n_shingles, the size band and the digest h1, h2 of every row's set.
+    """doc_id, n_shingles, the size band, the digest h1, h2 and the sketch of every row's set.
 
     Rows without a band are n-grams (h1) that several of the documents read together have, with their number.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(similarity)
-        names = ["doc_id", "n_shingles", "band", "h1", "h2"]
+        names = ["doc_id", "n_shingles", "band", "h1", "h2", "sketch"]
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(utf8(t), words) for t in part.column("text").to_pylist()]
                 h = np.array([digest(s) for s in sets], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands.band(max(1, len(s))) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands.band(max(1, len(s))) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([sketch(s) for s in sets], pa.binary())], names)
                 grams, n = np.unique(np.concatenate([s for s in sets if len(s)] or [np.zeros(0, np.uint64)]), return_counts=True)
                 many = n >= max(SEVERAL, FREQUENT * len(sets))
                 none = pa.nulls(int(many.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(n[many].astype(np.int64)), none, pa.array(grams[many].view(np.int64)), none], names)
+                yield pa.RecordBatch.from_arrays([none, pa.array(n[many].astype(np.int64)), none, pa.array(grams[many].view(np.int64)), none, pa.nulls(len(none), pa.binary())], names)
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, band long, h1 long, h2 long")
+    return docs.mapInArrow(work, "doc_id long, n_shingles long, band long, h1 long, h2 long, sketch binary")
 
 
 def place(first: int, which: int) -> int:
@@ -266,19 +285,23 @@ def meetings(docs: DataFrame, words: int, similarity: Fraction, buckets: int, fr
 
 
 class SignatureTree:
-    """Nodes over sets: OR and AND of bitmaps, sizes from and to, children or leaf members, and a component if shared."""
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sets = sets
-        self.sizes = np.array([len(s) for s in sets])
-        width = min(max(1 << int(BITS_EACH * float(np.median(self.sizes))).bit_length(), BITS[0]), BITS[1])
-        bits = np.zeros((len(sets), width // 8), np.uint8)
-        for k, s in enumerate(sets):
-            row = np.zeros(width, bool)
-            row[(s & np.uint64(width - 1)).astype(np.int64)] = True
-            bits[k] = np.packbits(row)
-        self.bits = bits.view(np.uint64)
-        least = np.array([s[0] if len(s) else 0 for s in sets], dtype=np.uint64)
+    """Nodes over sets: OR and AND of bitmaps, sizes from and to, children or leaf members, and a component if shared.
+
+    The sets are either given whole, as sorted hashes, or as what sketch() makes of them; then all pairs that bitmaps and
+    sizes let be similar count as links.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sketches: bool = False) -> None:
+        self.sets = None if sketches else sets
+        if sketches:
+            self.sizes, least = np.array([int(s[0]) for s in sets]), np.array([s[1] for s in sets], dtype=np.uint64)
+            words = min(len(s) - 2 for s in sets)
+            # a bitmap of half the width is the OR of its halves, as widths are powers of two
+            self.bits = np.stack([np.bitwise_or.reduce(s[2:].reshape(-1, words)) for s in sets])
+        else:
+            self.sizes, least = np.array([len(s) for s in sets]), np.array([s[0] if len(s) else 0 for s in sets], dtype=np.uint64)
+            width = min(max(1 << int(BITS_EACH * float(np.median(self.sizes))).bit_length(), BITS[0]), BITS[1])
+            self.bits = np.stack([bitmap(s, width) for s in sets])
         order = np.lexsort((self.sizes, least))
         level = [self.node([], order[k : k + LEAF]) for k in range(0, len(order), LEAF)]
         while len(level) > 1:
@@ -297,7 +320,7 @@ class SignatureTree:
     def links(self, similarity: Fraction, groups: np.ndarray | None = None, across: np.ndarray | None = None) -> list[tuple[int, int]]:
         """Links that connect all similar sets, but for those of one group; across: only between sets that differ there."""
         num, den = similarity.numerator, similarity.denominator
-        parent = list(range(len(self.sets)))
+        parent = list(range(len(self.sizes)))
         if groups is not None:
             seen: dict[int, int] = {}
             parent = [seen.setdefault(g, k) for k, g in enumerate(groups.tolist())]
@@ -349,8 +372,9 @@ class SignatureTree:
                 ru, rv = find(u), find(v)
                 if ru == rv:
                     continue
-                both = len(np.intersect1d(self.sets[u], self.sets[v], assume_unique=True))
-                if den * both >= num * (len(self.sets[u]) + len(self.sets[v]) - both):
+                if self.sets:
+                    both = len(np.intersect1d(self.sets[u], self.sets[v], assume_unique=True))
+                if not self.sets or den * both >= num * (len(self.sets[u]) + len(self.sets[v]) - both):
                     parent[max(ru, rv)] = min(ru, rv)
                     out.append((u, v))
         return out
@@ -361,11 +385,12 @@ def carried(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(CARRIED + 1).count() <= CARRIED else rows
 
 
-def join_tasks(docs: DataFrame, plan: DataFrame, words: int, similarity: Fraction, tasks: int) -> DataFrame:
-    """Links (u, v) of nodes; plan has doc_id, h1, h2, node, task, cluster, side and component for each set of a task.
+#: What a plan says of each set of a task, beside doc_id, h1 and h2.
+NAMES = ["task", "cluster", "node", "side", "component"]
 
-    Sets travel, not texts; a task's rows are sorted by cluster, so that a worker holds one cluster's sets at a time.
-    """
+
+def whole_sets(docs: DataFrame, plan: DataFrame, words: int) -> DataFrame:
+    """The n-grams of the sets of a plan.  Sets travel, not texts, and texts stay in place while the plan is small."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("jaccard")
@@ -375,60 +400,49 @@ def join_tasks(docs: DataFrame, plan: DataFrame, words: int, similarity: Fractio
                 # another row of the same id may have another set
                 own = [digest(s) == (a, b) for s, a, b in zip(got, part.column("h1").to_pylist(), part.column("h2").to_pylist(), strict=True)]
                 kept = part.filter(pa.array(own, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array([s.tobytes() for s, o in zip(got, own, strict=True) if o], pa.binary())], [*names, "grams"])
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in NAMES), pa.array([s.tobytes() for s, o in zip(got, own, strict=True) if o], pa.binary())], [*NAMES, "data"])
+
+    return docs.join(plan, "doc_id").select(*NAMES, "h1", "h2", "text").mapInArrow(sets, "task string, cluster long, node long, side int, component long, data binary")
+
+
+def join_tasks(sent: DataFrame, similarity: Fraction, tasks: int, sketches: bool) -> DataFrame:
+    """Links (u, v) of nodes; sent has NAMES and the data of each set of a task: its n-grams or its sketch.
+
+    A task's rows are sorted by cluster, so that a worker holds one cluster's sets at a time.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("jaccard")
         cluster, own = None, {}
         for batch in batches:
-            for i, (t, c, node, side, comp) in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
+            for i, (t, c, node, side, comp) in enumerate(zip(*(batch.column(n).to_pylist() for n in NAMES), strict=True)):
                 if (t, c) != cluster:
                     yield from joined(own)
                     cluster, own = (t, c), {}
                 if node not in own:
-                    own[node] = (np.frombuffer(batch.column("grams")[i].as_py(), np.uint64), side, comp)
+                    own[node] = (np.frombuffer(batch.column("data")[i].as_py(), np.uint64), side, comp)
         yield from joined(own)
 
     def joined(own: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
         if len(own) > 1:
             nodes = sorted(own)
             sides = np.array([own[n][1] for n in nodes])
-            found = SignatureTree([own[n][0] for n in nodes]).links(similarity, np.array([own[n][2] for n in nodes]), sides if len(set(sides.tolist())) > 1 else None)
+            found = SignatureTree([own[n][0] for n in nodes], sketches).links(similarity, np.array([own[n][2] for n in nodes]), sides if len(set(sides.tolist())) > 1 else None)
             yield pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    names = ["task", "cluster", "node", "side", "component"]
-    made = docs.join(plan, "doc_id").select(*names, "h1", "h2", "text").mapInArrow(sets, "task string, cluster long, node long, side int, component long, grams binary")
-    return made.repartition(tasks, "task").sortWithinPartitions("task", "cluster").mapInArrow(work, "u long, v long")
+    return sent.repartition(tasks, "task").sortWithinPartitions("task", "cluster").mapInArrow(work, "u long, v long")
 
 
-def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialise(classify(own, words, similarity), "sets")
-    rows = found.filter("band is not null")
-    share = F.sum("n_shingles") >= FREQUENT * F.lit(rows.count())
-    grams = found.filter("band is null").groupBy("h1").agg(share.alias("many"), F.sum("n_shingles").alias("n")).filter("many").orderBy(F.desc("n"), "h1").limit(MOST_FREQUENT).select("h1").collect()  # bounded
-    frequent = np.sort(np.array([r["h1"] for r in grams], dtype=np.int64).view(np.uint64))
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = rows.filter("n_shingles > 0").groupBy("h1", "h2", "band").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    # a set's places, as in place(): in its own band and in the next
-    even = F.col("h1").bitwiseAND(F.lit(-2))
-    places = classes.withColumn("place", F.explode(F.array(even, even.bitwiseOR(F.lit(1)))))
+def connected(members: DataFrame, send: Callable[[DataFrame], DataFrame], similarity: Fraction, times: int, sketches: bool) -> DataFrame:
+    """Components of the links within clusters; members has doc_id, h1, h2, node, n, cluster and its size.
 
-    buckets = max(1, -(-total // BUCKET))
-    clusters = components(meetings(own, words, similarity, buckets, frequent))
-    members = clusters.select(F.col("node").alias("place"), F.col("component").alias("cluster")).join(places.select("place", "node", "doc_id", "h1", "h2", "n"), "place").filter("doc_id is not null")
-    members = materialise(members, "members")
-    sets = members.count()
-    # where all sets are one band below, those that are similar meet in that band too
-    per = members.groupBy("cluster").agg(F.max(F.col("place").bitwiseAND(F.lit(1)) == 0).alias("own"), F.sum("n").alias("size"), F.count("*").alias("sets"))
-    members = beside(members, per, sets, ["cluster"], "sets").filter("own").drop("own")
-
-    blocks = F.ceil(F.col("size") / LARGE).cast("long")
-    small = members.filter(F.col("size") <= LARGE)
-    large = members.filter(F.col("size") > LARGE)
-    bins = max(1, -(-(small.agg(F.sum("n")).first()[0] or 0) // TASK))
+    send gives the sets of a plan to join_tasks(); a cluster or a task has `times` as many n-grams as of whole sets.
+    """
+    most = LARGE * times
+    blocks = F.ceil(F.col("size") / most).cast("long")
+    small = members.filter(F.col("size") <= most)
+    large = members.filter(F.col("size") > most)
+    bins = max(1, -(-(small.agg(F.sum("n")).first()[0] or 0) // (TASK * times)))
     columns = ["doc_id", "h1", "h2", "node", "task", "cluster", "side", "component"]
     plain = small.withColumns({"task": F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("string"), "side": F.lit(0), "component": F.col("node")}).select(*columns)
     block = large.withColumns({"block": F.pmod(F.xxhash64("node"), blocks), "side": F.lit(0), "component": F.col("node")})
@@ -441,7 +455,7 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
     first = plain.unionByName(blocked.withColumn("task", F.concat_ws("/", "cluster", "block")).select(*columns))
     # the number of tasks to deal out to: those of small clusters and of blocks of large ones
     many = bins + (large.select("cluster", "size").distinct().agg(F.sum(blocks)).first()[0] or 0)
-    links = materialise(join_tasks(own, first, words, similarity, many), "links")
+    links = materialise(join_tasks(send(carried(materialise(first, "plan"))), similarity, many, sketches), "links")
     found = components(links)
 
     if many > bins:
@@ -450,7 +464,7 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
         parts = state.groupBy("cluster", "component").agg(F.sum("n").alias("own"))
         top = parts.groupBy("cluster").agg(F.max(F.struct("own", "component")).alias("top"), F.sum("own").alias("all")).select("cluster", F.col("top.component").alias("main"), F.col("top.own").alias("mains"), (F.col("all") - F.col("top.own")).alias("others")).filter("others > 0")
         state = state.join(top, "cluster")
-        a, b = (F.ceil(F.col(c) / LARGE).cast("long") for c in ("mains", "others"))
+        a, b = (F.ceil(F.col(c) / most).cast("long") for c in ("mains", "others"))
         is_main = F.col("component") == F.col("main")
         rest = F.sequence(F.lit(0).cast("long"), b - 1)
         own_block = F.pmod(F.xxhash64("node"), F.when(is_main, a).otherwise(b))
@@ -460,12 +474,48 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
         second = state.withColumn("own", own_block).withColumn("task", F.explode(to)).withColumns({"task": F.concat_ws("/", "cluster", "task"), "side": F.lit(0)}).select(*columns)
         again = top.agg(F.sum(a * b + b * (b + 1) / 2)).first()[0]
         if again:
-            links = links.unionByName(materialise(join_tasks(own, carried(materialise(second, "again")), words, similarity, int(again)), "links"))
+            links = links.unionByName(materialise(join_tasks(send(carried(materialise(second, "again"))), similarity, int(again), sketches), "links"))
             found = components(links)
+    return found
+
+
+def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = materialise(classify(own, words, similarity), "sets")
+    rows = found.filter("band is not null")
+    share = F.sum("n_shingles") >= FREQUENT * F.lit(rows.count())
+    grams = found.filter("band is null").groupBy("h1").agg(share.alias("many"), F.sum("n_shingles").alias("n")).filter("many").orderBy(F.desc("n"), "h1").limit(MOST_FREQUENT).select("h1").collect()  # bounded
+    frequent = np.sort(np.array([r["h1"] for r in grams], dtype=np.int64).view(np.uint64))
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    classes = rows.filter("n_shingles > 0").groupBy("h1", "h2", "band").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # a set's places, as in place(): in its own band and in the next
+    even = F.col("h1").bitwiseAND(F.lit(-2))
+    places = classes.withColumn("place", F.explode(F.array(even, even.bitwiseOR(F.lit(1)))))
+
+    buckets = max(1, -(-total // BUCKET))
+    clusters = components(meetings(own, words, similarity, buckets, frequent))
+    members = clusters.select(F.col("node").alias("place"), F.col("component").alias("cluster")).join(places.select("place", "node", "doc_id", "h1", "h2", "n"), "place").filter("doc_id is not null")
+    members = materialise(members, "members")
+    sets = members.count()
+    # where all sets are one band below, those that are similar meet in that band too
+    per = members.groupBy("cluster").agg(F.max(F.col("place").bitwiseAND(F.lit(1)) == 0).alias("own"), F.sum("n").alias("size"), F.count("*").alias("sets"))
+    per = materialise(per, "sizes")
+    members = beside(members, per, sets, ["cluster"], "sets").filter("own").drop("own")
+
+    # first by bitmaps; whatever stays together is one cluster, whichever bands it met in
+    sketched = rows.select("doc_id", "h1", "h2", F.col("sketch").alias("data"))
+    kept = connected(members, lambda plan: sketched.join(plan, ["doc_id", "h1", "h2"]).select(*NAMES, "data"), similarity, SKETCHED, True)
+    chosen = kept.select("node", F.col("component").alias("cluster")).join(classes.select("node", "doc_id", "h1", "h2", "n"), "node")
+    chosen = materialise(chosen, "chosen")
+    per = materialise(chosen.groupBy("cluster").agg(F.sum("n").alias("size"), F.count("*").alias("sets")), "sizes")
+    chosen = beside(chosen, per, chosen.count(), ["cluster"], "sets")
+    found = connected(chosen, lambda plan: whole_sets(own, plan, words), similarity, 1, False)
 
     node = materialise(classes.join(found, "node", "left").select("h1", "h2", "doc_id", "copies", F.coalesce("component", "node").alias("component")), "nodes")
-    ids = node.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("sets"))
-    named = beside(node, ids, node.count(), ["component"], "sets").select("h1", "h2", "component_id", "copies")
+    ids = materialise(node.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("sets")), "ids")
+    named = materialise(beside(node, ids, node.count(), ["component"], "sets").select("h1", "h2", "component_id", "copies"), "named")
     some = beside(rows.filter("n_shingles > 0"), named, rows.count(), ["h1", "h2"], "copies").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from parcelflow.llm import bpe, embeddings, encode, jaccard, learning, packing, pii, quality, rules, secrets, suffix, toxicity
+from parcelflow.llm import bpe, embeddings, encode, graph, jaccard, learning, packing, pii, quality, rules, secrets, suffix, toxicity
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -191,10 +191,28 @@ def test_jaccard_join(docs, words, t):
 def test_jaccard_in_blocks(docs, empty, monkeypatch):
     monkeypatch.setattr(jaccard, "LARGE", 300)  # clusters are joined in blocks
     monkeypatch.setattr(jaccard, "TASK", 300)
+    monkeypatch.setattr(jaccard, "SKETCHED", 2)
     assert Counter(tuple(r) for r in jaccard.similar(docs, 4, Fraction(85, 100)).collect()) == brute_groups(made(), 4, Fraction(85, 100))
     assert jaccard.similar(empty).count() == 0
 
 
+def test_bitmaps_sent_alone_lose_no_similar_pair():
+    rng, t = np.random.default_rng(3), Fraction(4, 5)
+    sets = []
+    for n in (1, 9, 15, 16, 17, 33, 120, 127, 128, 140, 3000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for lost in (0, n // 10, n // 6, n // 2):
+            sets.append(np.unique(np.r_[base[lost:], rng.integers(0, 1 << 63, lost // 4, dtype=np.uint64)]))
+    sent = [np.frombuffer(jaccard.sketch(s), np.uint64) for s in sets]
+    for similarity in (t, Fraction(1, 2)):
+        exact = graph.stars(*np.array(jaccard.SignatureTree(sets).links(similarity)).T)
+        rough = dict(zip(*(x.tolist() for x in graph.stars(*np.array(jaccard.SignatureTree(sent, True).links(similarity)).T)), strict=True))
+        assert len(exact[0]) and all(rough.get(u, u) == rough.get(v, v) for u, v in zip(*(x.tolist() for x in exact), strict=True))
+    unlike = [np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64)) for _ in range(40)]
+    halves = [np.unique(np.r_[unlike[0][:280], u[280:]]) for u in unlike]
+    assert not jaccard.SignatureTree([np.frombuffer(jaccard.sketch(s), np.uint64) for s in halves], True).links(t)
+
+
 def test_signatures_miss_no_similar_pair():
     rng = random.Random(9)
     for t in (Fraction(4, 5), Fraction(85, 100)):
