@@ -16,6 +16,8 @@ ROUNDS = 60
 
 #: Edges that are turned into stars at once; a task holds no more.
 TOGETHER = 1 << 20
+#: Edges for which a round has one partition, up to as many as shuffles have.
+EACH = 4096
 #: Edges of a node from which it is a hub, at least, and as a share of all edges; the share bounds the number of hubs.
 HUB, SHARE = 64, 1024
 
@@ -87,11 +89,12 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = state
+        parts = -(-state[0] // EACH)
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written one by one: a plan of a whole round reads the edges dozens of times, which the driver has to hold
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least", paths[2])
-        large = materialise(beside(both.filter("v > u"), least, 2 * state[0], ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large", paths[3])
-        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lower", paths[4])
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")).coalesce(parts), "least", paths[2])
+        large = materialise(beside(both.filter("v > u"), least, 2 * state[0], ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct().coalesce(parts), "large", paths[3])
+        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).coalesce(parts), "lower", paths[4])
         small = beside(large, lower, 2 * state[0], ["u"], "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = materialise(forest(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct()), "edges", paths[(k + 1) % 2])
+        current = materialise(forest(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct().coalesce(parts)), "edges", paths[(k + 1) % 2])
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
