@@ -40,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelflow.llm.common import CACHES, documents, fresh, materialise, only, slices
 from parcelflow.llm.graph import beside, components, stars
@@ -60,6 +61,8 @@ SENT, STREAM = 2048, 4
 PIVOTS = 8
 #: Rows of a counted plan or list of ids that texts are joined with where they lie, instead of being sent to it.
 CARRIED = 200_000
+#: Stands for a null doc_id: rows without an id link like others, and their groups have an id only from other rows.
+NO_ID = (1 << 63) - 1
 #: N-grams of so large a share of the documents come last in the order; how many are told to the tasks at most; how
 #: often one must occur among the documents that are read together to be counted.
 FREQUENT, MOST_FREQUENT, SEVERAL = 0.003, 200_000, 3
@@ -481,7 +484,12 @@ def connected(members: DataFrame, send: Callable[[DataFrame], DataFrame], simila
 
 def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return grouped(docs, words, similarity).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs, the digest h1, h2 of its set and, if it has n-grams, its component."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialise(classify(own, words, similarity), "sets")
     rows = found.filter("band is not null")
     share = F.sum("n_shingles") >= FREQUENT * F.lit(rows.count())
@@ -515,31 +523,50 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
 
     node = materialise(classes.join(found, "node", "left").select("h1", "h2", "doc_id", "copies", F.coalesce("component", "node").alias("component")), "nodes")
     ids = materialise(node.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("sets")), "ids")
-    named = materialise(beside(node, ids, node.count(), ["component"], "sets").select("h1", "h2", "component_id", "copies"), "named")
-    some = beside(rows.filter("n_shingles > 0"), named, rows.count(), ["h1", "h2"], "copies").select("doc_id", "n_shingles", "component_id")
-    return some.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = materialise(beside(node, ids, node.count(), ["component"], "sets").select("h1", "h2", "component_id", "component", "copies"), "named")
+    columns = ["doc_id", "n_shingles", "component_id", "h1", "h2", "component"]
+    some = beside(rows.filter("n_shingles > 0"), named, rows.count(), ["h1", "h2"], "copies").select(*columns)
+    none = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "h1", "h2", F.lit(None).cast("long").alias("component"))
+    return some.unionByName(none).withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in ("doc_id", "component_id")})
 
 
 def representatives(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
     """docs with one row of each group of similar rows, that of the least id; rows without n-grams all stay.
 
-    If several rows have that id, one whose text is in the group stays for each of their distinct texts.  A row without
-    an id stays only where no row of its group has one.
+    If several rows of the group have that id, one of those with the least digest of n-grams stays.  A row without an id
+    stays only where no row of its group has one.
     """
-    found = similar(docs, words, similarity)
-    many, own, md5 = (fresh(docs.columns, n) for n in ("rows_of_id", "own_id", "md5"))
-    # ids that have another number of representatives than one, as there are fewer of them than of others
-    first = F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    marks = found.groupBy(F.col("doc_id").alias(own)).agg(first.alias(many)).filter(F.col(many) != 1)
-    marks = materialise(marks, "marks")
+    found = grouped(docs, words, similarity)
+    own, rows, firsts, *digests = (fresh(docs.columns, n) for n in ("own_id", "rows_of_id", "firsts_of_id", "h1", "h2"))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # ids with several rows, or with one that goes, as there are fewer of them than of others
+    per = found.groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(rows), F.count_if(first).alias(firsts))
+    marks = materialise(per.filter((F.col(rows) > 1) | (F.col(firsts) == 0)), "marks")
     marked = docs.join(carried(marks), F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left").drop(own)
-    single = marked.filter(F.col(many).isNull()).drop(many)
-    if marks.filter(F.col(many) > 1).isEmpty():
+    single = marked.filter(F.col(rows).isNull()).drop(rows, firsts)
+    repeated = marks.filter(F.col(rows) > 1).select(own)
+    if repeated.isEmpty():
         return single
-    kept = marked.filter(F.col(many) > 1)
-    # repeated ids are the exception, so only their rows are compared by text
-    repeated = kept.drop(many).withColumn(md5, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    return single.unionByName(repeated.dropDuplicates(["doc_id", md5]).drop(md5))
+    # repeated ids are the exception, so only their rows are told apart by what they hold
+    several = found.filter(first).join(carried(repeated), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    least = several.filter("n_shingles > 0").groupBy("doc_id", "component").agg(F.min(F.struct("h1", "h2")).alias("least")).select(F.col("doc_id").alias(own), "least.*")
+    least = least.unionByName(several.filter("n_shingles = 0").select(F.col("doc_id").alias(own), "h1", "h2").distinct()).withColumnsRenamed(dict(zip(("h1", "h2"), digests, strict=True)))
+    same = [F.col(f"a.{d}") == F.col(f"b.{d}") for d in digests]
+    kept = digested(marked.filter(F.col(rows) > 1).drop(rows, firsts), digests, words).alias("a").join(materialise(least, "least").alias("b"), [F.col("a.doc_id").cast("long").eqNullSafe(F.col(f"b.{own}")), *same]).select("a.*")
+    empty = F.col(digests[0]) == digest(np.zeros(0, np.uint64))[0]
+    return single.unionByName(kept.filter(~empty).dropDuplicates(["doc_id", *digests]).unionByName(kept.filter(empty)).drop(*digests))
+
+
+def digested(docs: DataFrame, names: list[str], words: int) -> DataFrame:
+    """docs with the digest of each row's set in two more columns."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                h = np.array([digest(shingles(utf8(t), words)) for t in part.column("text").cast(pa.string()).to_pylist()], dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(h[:, 0]), pa.array(h[:, 1])], [*part.schema.names, *names])
+
+    return docs.mapInArrow(work, T.StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

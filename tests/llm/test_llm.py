@@ -384,7 +384,7 @@ def test_toxicity_judges_inserted_and_split_words():
     assert (model.score([prose(x) for x in altered]) >= 0.5).all()
     assert (model.score([prose() for _ in range(100)]) < 0.5).mean() > 0.95
     # only what is proved to be 0 is left out
-    every = sorted({toxicity.letters(c) for t in texts for c in [*t.split(), *toxicity.neighbours(t.split())]})
+    every = sorted({toxicity.letters(c) for t in texts for c in [*t.split(), *toxicity.neighbours(t.split(), model.familiar)]})
     assert np.array_equal(model.decided(every), model.valued(every))
 
 
