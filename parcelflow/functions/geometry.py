@@ -161,6 +161,17 @@ def _cut(edges: DataFrame, key: str, width: float, tag: str) -> DataFrame:
     return strip.filter(lo < hi).select(F.col(key), "strip", lo.alias(f"l{tag}"), hi.alias(f"h{tag}"), slope.alias(f"m{tag}"), (F.col("y0") - slope * F.col("x0")).alias(f"c{tag}"), F.col("sign").alias(f"s{tag}"))
 
 
+def below_both() -> Column:
+    """The signed integral below both of two edges, a and b, over the x that they share (l, h, slope m, offset c, sign s)."""
+    lo, hi = F.greatest("la", "lb"), F.least("ha", "hb")
+    fb = F.col("mb") * (lo + hi) / 2 + F.col("cb")
+    d0 = (F.col("ma") - F.col("mb")) * lo + F.col("ca") - F.col("cb")
+    d1 = (F.col("ma") - F.col("mb")) * hi + F.col("ca") - F.col("cb")
+    both_down = (d0 <= 0) & (d1 <= 0)
+    below = F.when(both_down, (d0 + d1) / 2).when((d0 >= 0) & (d1 >= 0), 0.0).when(d0 < 0, d0 * d0 / (2 * (d0 - d1))).otherwise(d1 * d1 / (2 * (d1 - d0)))
+    return F.col("sa") * F.col("sb") * (hi - lo) * (fb + below)
+
+
 def overlaps(edges_a: DataFrame, edges_b: DataFrame, pairs: DataFrame, key_a: str, key_b: str, width: float) -> DataFrame:
     """Area of the intersection of each pair: the sum over pairs of edges of the integral of the lower one.
 
@@ -168,18 +179,40 @@ def overlaps(edges_a: DataFrame, edges_b: DataFrame, pairs: DataFrame, key_a: st
     """
     a = pairs.join(_cut(edges_a, key_a, width, "a"), key_a)
     both = a.join(_cut(edges_b, key_b, width, "b"), [key_b, "strip"])
-    lo, hi = F.greatest("la", "lb"), F.least("ha", "hb")
-    cut = both.withColumns({"lo": lo, "hi": hi}).filter("lo < hi")
-    w = F.col("hi") - F.col("lo")
-    fb = F.col("mb") * (F.col("lo") + F.col("hi")) / 2 + F.col("cb")
-    d0 = (F.col("ma") - F.col("mb")) * F.col("lo") + F.col("ca") - F.col("cb")
-    d1 = (F.col("ma") - F.col("mb")) * F.col("hi") + F.col("ca") - F.col("cb")
-    both_down = (d0 <= 0) & (d1 <= 0)
-    below = F.when(both_down, (d0 + d1) / 2).when((d0 >= 0) & (d1 >= 0), 0.0).when(d0 < 0, d0 * d0 / (2 * (d0 - d1))).otherwise(d1 * d1 / (2 * (d1 - d0)))
-    total = cut.groupBy(key_a, key_b).agg(F.sum(F.col("sa") * F.col("sb") * w * (fb + below)).alias("area"))
+    total = both.filter(F.greatest("la", "lb") < F.least("ha", "hb")).groupBy(key_a, key_b).agg(F.sum(below_both()).alias("area"))
     return total.filter(F.col("area") > NOTHING)
 
 
+def meeting_boxes(a: DataFrame, b: DataFrame, key_a: str, key_b: str, points: str = "points") -> DataFrame:
+    """Pairs whose bounding boxes meet, by grids of all sizes that the boxes have.
+
+    A box lies in at most four cells of its own level, whose cells are as large as it or up to twice that; so a cell holds
+    few boxes that don't overlap, whatever the sizes.  A pair meets at the level of its larger box.
+    """
+
+    def boxes(d: DataFrame, key: str, tag: str) -> DataFrame:
+        box = d.filter(F.size(points) > 0).select(F.col(key), bounds(F.col(points)).alias(f"__box_{tag}"))
+        size = F.greatest(F.col(f"__box_{tag}.x1") - F.col(f"__box_{tag}.x0"), F.col(f"__box_{tag}.y1") - F.col(f"__box_{tag}.y0"), F.lit(1e-9))
+        return box.withColumn(f"__own_{tag}", F.ceil(F.log2(size)).cast("int"))
+
+    one, two = boxes(a, key_a, "a"), boxes(b, key_b, "b")
+    top = one.select(F.col("__own_a").alias("l")).unionByName(two.select(F.col("__own_b").alias("l"))).agg(F.coalesce(F.max("l"), F.lit(0)).alias("__top"))
+
+    def cells(d: DataFrame, tag: str) -> DataFrame:
+        levels = d.crossJoin(F.broadcast(top)).withColumn("level", F.explode(F.sequence(F.col(f"__own_{tag}"), F.col("__top")))).drop("__top")  # one row
+        cell = F.pow(F.lit(2.0), F.col("level"))
+        span = lambda lo, hi: F.sequence(F.floor(F.col(f"__box_{tag}.{lo}") / cell), F.floor(F.col(f"__box_{tag}.{hi}") / cell))
+        return levels.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+
+    # levels of the larger box only, and there the cell of the boxes' common lower corner: no distinct is needed
+    met = cells(one, "a").join(cells(two, "b"), ["level", "cx", "cy"]).filter(F.col("level") == F.greatest("__own_a", "__own_b"))
+    cell = F.pow(F.lit(2.0), F.col("level"))
+    low = lambda c: F.greatest(F.col(f"__box_a.{c}0"), F.col(f"__box_b.{c}0"))
+    high = lambda c: F.least(F.col(f"__box_a.{c}1"), F.col(f"__box_b.{c}1"))
+    here = (F.floor(low("x") / cell) == F.col("cx")) & (F.floor(low("y") / cell) == F.col("cy"))
+    return met.filter((low("x") <= high("x")) & (low("y") <= high("y")) & here).select(key_a, key_b)
+
+
 def self_crossings(polygons: DataFrame, key: str, points: str = "points") -> DataFrame:
     """key and number of pairs of edges of one ring that cross inside; edges meet by strips of x."""
     e = polygons.select(F.col(key).alias(key), F.posexplode(segments(F.col(points)))).select(key, "pos", "col.*")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelflow.config import LayerSource, Settings
 from parcelflow.functions import geometry as G
 from parcelflow.functions.text import canonical_state, display_name, is_unnamed, normalize_name, stable_id, state_of_code
+from parcelflow.operators.shapes import repaired, union_areas
 
 
 def projection(raw: DataFrame, source: LayerSource) -> DataFrame:
@@ -25,16 +26,16 @@ def with_rejects(layer: DataFrame) -> tuple[DataFrame, DataFrame]:
 def standardised(layer: DataFrame, degrees: bool = True) -> DataFrame:
     """Areas, parts and names of a layer's features; empty geometries are dropped.
 
-    A feature whose rings cross themselves is flagged, not changed: `is_valid` is false and consumers may set it aside.
+    Shapes are repaired; `is_valid` says whether the feature was drawn validly.
     """
     own = layer.filter(F.size("points") > 0).withColumn("geom_obs_id", stable_id(F.lit("GEOM"), F.col("source_dataset"), F.col("source_year"), F.col("source_pk"), F.col("ordinal")))
     flat = own.withColumn("points", G.project(F.col("points"))) if degrees else own
-    wrong = G.self_crossings(flat, "geom_obs_id")
+    whole = repaired(flat)
     name, state = F.col("district_name_original"), F.col("state_name_original")
-    return flat.join(wrong, "geom_obs_id", "left").select(
+    return whole.select(
         "source_dataset", "source_year", "source_pk", "district_name_original", display_name(name).alias("district_name_std"), normalize_name(name).alias("district_name_norm"), "state_name_original",
-        canonical_state(state).alias("state_name_std"), normalize_name(canonical_state(state)).alias("state_name_norm"), G.area(F.col("points")).alias("area_km2"), F.lit(False).alias("was_repaired"), F.lit(0.0).alias("repair_area_delta_pct"),
-        F.col("n_crossings").isNull().alias("is_valid"), (G.n_parts(F.col("points")) > 1).alias("is_multipart"), G.n_parts(F.col("points")).alias("n_parts"), "points", "geom_obs_id", "ordinal",
+        canonical_state(state).alias("state_name_std"), normalize_name(canonical_state(state)).alias("state_name_norm"), G.area(F.col("points")).alias("area_km2"), "was_repaired", "repair_area_delta_pct",
+        (~F.col("was_repaired")).alias("is_valid"), (G.n_parts(F.col("points")) > 1).alias("is_multipart"), G.n_parts(F.col("points")).alias("n_parts"), "points", "geom_obs_id", "ordinal",
     )
 
 
@@ -50,26 +51,11 @@ def duplicates(layer: DataFrame) -> DataFrame:
     return layer.groupBy("source_dataset", "source_year").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct(shape)).alias("dup_geometry"), (F.count("source_pk") - F.countDistinct("source_pk")).alias("dup_source_pk"))
 
 
-def topology(layer: DataFrame, settings: Settings = Settings(), key: str = "geom_obs_id", cell: float = 50.0, width: float = 5.0) -> DataFrame:
-    """Self-overlap of each vintage as a share of its area, with a status.
-
-    The union's area is the sum of areas less all pairwise overlaps, which is exact unless three features overlap at once.
-    """
+def topology(layer: DataFrame, settings: Settings = Settings(), key: str = "geom_obs_id") -> DataFrame:
+    """Self-overlap of each vintage as a share of its area, with a status; exact however many features overlap at a place."""
     areas = layer.groupBy("source_year").agg(F.count("*").alias("n_districts"), F.sum("area_km2").alias("sum_area"))
-    edges = G.edge_table(layer, key)
-    other = layer.withColumnRenamed(key, "other").withColumnRenamed("source_year", "other_year")
-    pairs = G.candidate_pairs(layer, other, key, "other", cell).filter(F.col(key) < F.col("other"))
-    years = layer.select(F.col(key), "source_year")
-    same = pairs.join(years, key).join(years.select(F.col(key).alias("other"), F.col("source_year").alias("other_year")), "other").filter("source_year = other_year").select(key, "other")
-    found = G.overlaps(edges, edges.withColumnRenamed(key, "other"), same, key, "other", width).join(years, key)
-    over = found.groupBy("source_year").agg(F.sum("area").alias("self_overlap"))
-    share = F.coalesce(F.col("self_overlap") / F.col("sum_area"), F.lit(0.0))
+    both = areas.join(union_areas(layer, key), "source_year")
+    over = F.greatest(F.col("sum_area") - F.col("union_area"), F.lit(0.0))
+    share = F.when(F.col("sum_area") > 0, over / F.col("sum_area")).otherwise(0.0)
     status = F.when(share > settings.self_overlap_error, "ERROR").when(share > settings.self_overlap_warn, "WARN").otherwise("PASS")
-    return areas.join(over, "source_year", "left").select("source_year", "n_districts", "sum_area", (F.col("sum_area") - F.coalesce("self_overlap", F.lit(0.0))).alias("union_area"), F.coalesce("self_overlap", F.lit(0.0)).alias("self_overlap"), (share * 100).alias("self_overlap_pct"), status.alias("status"))
-
-
-def overlay_polygons(a: DataFrame, b: DataFrame, cell: float, width: float, key: str = "geom_obs_id") -> DataFrame:
-    """Parcels of two polygon layers: obs_a, obs_b, area."""
-    left, right = a.withColumnRenamed(key, "obs_a"), b.withColumnRenamed(key, "obs_b")
-    pairs = G.candidate_pairs(left, right, "obs_a", "obs_b", cell)
-    return G.overlaps(G.edge_table(left, "obs_a"), G.edge_table(right, "obs_b"), pairs, "obs_a", "obs_b", width)
+    return both.select("source_year", "n_districts", "sum_area", "union_area", over.alias("self_overlap"), (share * 100).alias("self_overlap_pct"), status.alias("status"))

@@ -6,7 +6,6 @@ Doubles are rounded in both, so that the order of additions does not show.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,29 +24,15 @@ from parcelflow.operators import layers as LY
 from parcelflow.operators import lineage as L
 from parcelflow.operators import reconcile as R
 from parcelflow.operators import transition as T
+from parcelflow.plans import polygons as polygons
 from parcelflow.plans.derived import SETTINGS, VINTAGES, Derived
 from parcelflow.plans.oracle import q
+from parcelflow.plans.registry import ORACLES as ORACLES
+from parcelflow.plans.registry import QUERIES as QUERIES
+from parcelflow.plans.registry import query
 from parcelflow.sources import tables as S
 from parcelflow.sources.steps import step_path
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None, observed: bool | None = None) -> Callable:
-    """Registers a query; with `observed` given it gets the derived frames, else the session and the folder."""
-
-    def add(f: Callable) -> Callable:
-        run = f if observed is None else lambda spark, sf_dir: f(Derived(spark, sf_dir, observed))
-        QUERIES[f.__name__] = run
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
 def r6(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -746,7 +731,7 @@ def polygon_centroids(d):
 def self_overlap_boxes(d):
     both = d.boxes(0).withColumn("box", F.concat(F.lit("a"), "box")).unionByName(d.boxes(1).withColumn("box", F.concat(F.lit("b"), "box")))
     layer = both.select(F.col("box").alias("geom_obs_id"), "points", G.area(F.col("points")).alias("area_km2"), F.lit(1951).alias("source_year"))
-    return LY.topology(layer, Settings(), cell=20.0).select("n_districts", *(F.round(c, 4).alias(c) for c in ("sum_area", "union_area", "self_overlap")), "status")
+    return LY.topology(layer, Settings()).select("n_districts", *(F.round(c, 4).alias(c) for c in ("sum_area", "union_area", "self_overlap")), "status")
 
 
 @query("SELECT p_partkey%3=0 AS crossed, count(*) AS n FROM part GROUP BY 1", False)
