@@ -93,31 +93,35 @@ def is_unnamed(x: Column) -> Column:
     return x.isNull() | F.lower(F.trim(x)).rlike(SENTINEL)
 
 
-def _jaro(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken = [False] * len(b)
-    mine = []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == x:
-                taken[j] = True
-                mine.append(x)
-                break
-    if not mine:
-        return 0.0
-    theirs = [x for x, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
-    m = len(mine)
-    return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-
-
-@F.pandas_udf(T.DoubleType())
-def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _jaro(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def jaro(a: Column, b: Column) -> Column:
+    """Jaro similarity: a fold over the letters of a takes, for each, the first equal letter of b in reach that is not taken.
+
+    0 if one of two different names is empty, null if one is null.
+    """
+    letters = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda k: F.substring(x, k, F.lit(1)))
+    size_a, size_b = F.length(a), F.length(b)
+    reach = F.greatest(F.floor(F.greatest(size_a, size_b) / 2).cast("int") - 1, F.lit(0))
+
+    def matched(x: Column, y: Column) -> Column:
+        """Places in y, in the order of the letters of x that they were taken for."""
+
+        def take(taken: Column, k: Column) -> Column:
+            low, high = F.greatest(k - reach, F.lit(0)), F.least(k + reach, F.size(y) - 1)
+            free = F.filter(F.sequence(low, high), lambda j: (F.get(y, j) == F.get(x, k)) & ~F.array_contains(taken, j))
+            return F.when((low > high) | (F.size(free) == 0), taken).otherwise(F.array_append(taken, F.get(free, F.lit(0))))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), F.array().cast("array<int>"), take)
+
+    def similarity(y: Column, taken: Column) -> Column:
+        m = F.size(taken)
+        swaps = F.size(F.filter(F.zip_with(taken, F.array_sort(taken), lambda i, j: F.get(y, i) != F.get(y, j)), lambda v: v)) / 2
+        return F.when(m > 0, (m / size_a + m / size_b + (m - swaps) / m) / 3).otherwise(0.0)
+
+    # each fold is made once: as the element of an array that the next step goes over
+    split = F.array(F.struct(letters(a).alias("x"), letters(b).alias("y")))
+    taken = F.transform(split, lambda s: F.struct(s["y"].alias("y"), matched(s["x"], s["y"]).alias("taken")))
+    found = F.get(F.transform(taken, lambda s: similarity(s["y"], s["taken"])), F.lit(0))
+    return F.when(a.isNull() | b.isNull(), None).when(a == b, 1.0).when((size_a == 0) | (size_b == 0), 0.0).otherwise(found)
 
 
 def name_similarity(a: Column, b: Column) -> Column:

@@ -166,7 +166,15 @@ def bracket_asof(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", year.alias("year"), pre.alias("pre"), post.alias("post"))
 
 
-@query(None)  # DuckDB's Jaro halves transpositions to whole numbers; tests compare with a version of their own
+#: The same fold over letters, as DuckDB's Jaro halves transpositions to whole numbers.
+JARO = """WITH p AS (SELECT a.p_partkey a, b.p_partkey b, a.p_name x, b.p_name y, length(a.p_name) la, length(b.p_name) lb, greatest(greatest(length(a.p_name),length(b.p_name))//2-1,0) r FROM part a JOIN part b ON b.p_partkey=a.p_partkey+1),
+ t AS (SELECT *, list_reduce(list_prepend([]::BIGINT[], list_transform(range(la), lambda i: [i])), lambda m, e: m || coalesce(list_filter(range(greatest(e[1]-r,0), least(e[1]+r,lb-1)+1), lambda j: y[j+1]=x[e[1]+1] AND NOT list_contains(m,j))[1:1], [])) m FROM p),
+ j AS (SELECT *, len(list_filter(range(1,len(m)+1), lambda i: y[m[i]+1] <> y[list_sort(m)[i]+1]))/2.0 s, (CASE WHEN x[1:1]=y[1:1] THEN 1 ELSE 0 END)+(CASE WHEN x[2]=y[2] AND la>1 AND lb>1 THEN 1 ELSE 0 END)+(CASE WHEN x[3]=y[3] AND la>2 AND lb>2 THEN 1 ELSE 0 END)+(CASE WHEN x[4]=y[4] AND la>3 AND lb>3 THEN 1 ELSE 0 END) same FROM t),
+ v AS (SELECT *, CASE WHEN x=y THEN 1.0::DOUBLE WHEN len(m)=0 THEN 0.0::DOUBLE ELSE (len(m)/la+len(m)/lb+(len(m)-s)/len(m))/3 END j FROM j)
+ SELECT a, b, round(j+same*0.1*(1-j),6) AS similarity FROM v"""
+
+
+@query(JARO)
 def name_similarity(spark, sf):
     a = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
     b = a.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y"))
@@ -690,6 +698,62 @@ def run_checks(d):
     return K.may_promote(rules).select(F.when(F.col("may_promote"), "ok").otherwise("failed").alias("verdict"), "n_failed")
 
 
+def _rules(planted: bool) -> str:
+    """SQL of the rules of windows; planted: on tables with faults."""
+    asg = "SELECT k, y, w, u FROM asg"
+    if planted:
+        asg = f"SELECT * FROM ({asg}) WHERE NOT (k%50=49 AND y=1999) UNION ALL SELECT k, y, w, 'N0' FROM asg WHERE k%97=0 AND y=1997"
+    stored = "CASE WHEN y=2001 THEN 1.01 ELSE 1 END" if planted else "1"
+    more = "CASE WHEN y=1995 THEN 1 ELSE 0 END" if planted else "0"
+    again = "CASE WHEN y=1997 THEN 'other' ELSE ck END" if planted else "ck"
+    rest = "" if planted else "UNION ALL SELECT y, obs, 'LOST', (lost+sliver)/area FROM lost"
+    edges = "SELECT f, t, ya, yb FROM ed" + (" UNION ALL SELECT a.ck, b.ck, 1995, 1997 FROM (SELECT min(x.ck) ck FROM ok x JOIN ok z ON z.ck=x.ck AND z.y=1997 WHERE x.y=1995) a, (SELECT max(x.ck) ck FROM ok x JOIN ok z ON z.ck=x.ck AND z.y=1997 WHERE x.y=1995) b" if planted else "")
+    names = "CASE r " + " ".join(f"WHEN '{n[:2]}' THEN '{n.replace(chr(39), chr(39) * 2)}'" for n, *_ in K.WINDOW_RULES) + " END"
+    severity = "CASE r " + " ".join(f"WHEN '{n[:2]}' THEN '{s}'" for n, s, *_ in K.WINDOW_RULES) + " END"
+    limit = "CASE r " + " ".join(f"WHEN '{n[:2]}' THEN {m}" for n, _, _, m in K.WINDOW_RULES if m is not None) + " END"
+    return q(ACCOUNTED + CLASSES + f""", asx AS ({asg}), atm AS (SELECT y, k, count(*) n, max(w) w FROM asx GROUP BY 1,2), edx AS ({edges}),
+ v AS (SELECT 'V1' r, y, sum((n-1)*w)/sum(n*w) v FROM atm GROUP BY 2
+  UNION ALL SELECT 'V2', y, 1-sum(w)/(SELECT sum(w) FROM (SELECT DISTINCT k, w FROM asx)) FROM atm GROUP BY 2
+  UNION ALL SELECT 'V3', y, max(abs(trans+lost+{more}+sliver-area)/area) FROM lost GROUP BY 2
+  UNION ALL SELECT 'V4', l.y, max(abs(l.area*s-coalesce(d.a,0))/(l.area*s)) FROM (SELECT *, {stored} s FROM lay) l LEFT JOIN (SELECT y, u, sum(w) a FROM asx GROUP BY 1,2) d ON d.y=l.y AND d.u=l.u GROUP BY 2
+  UNION ALL SELECT 'V5', y, count(*) FILTER (WHERE ck<>{again}) FROM ok GROUP BY 2
+  UNION ALL SELECT 'V6', c.pre, avg((ac<>sp)::INT) FROM cls c WHERE sp<>'UNKNOWN' GROUP BY 2
+  UNION ALL SELECT 'V7', y, max(abs(s-1)) FROM (SELECT y, oa, sum(s) s FROM (SELECT ya y, oa, ob, o s FROM sh {rest}) GROUP BY 1,2) GROUP BY 2
+  UNION ALL SELECT 'V8', d.pre, count(*) FILTER (WHERE coalesce(i.n,0)<>1) FROM acc a JOIN dated d ON d.id=a.id LEFT JOIN (SELECT ck, pre, post, count(DISTINCT id) n FROM nmd WHERE ck IS NOT NULL GROUP BY 1,2,3) i ON i.ck=a.predecessor_ck AND i.pre=d.pre AND i.post=d.post WHERE st='MEASURED' GROUP BY 2
+  UNION ALL SELECT 'V9', ya, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM ok WHERE ck=f AND y=ya) AND EXISTS (SELECT 1 FROM ok WHERE ck=f AND y=yb) AND EXISTS (SELECT 1 FROM ok WHERE ck=t AND y=ya) AND EXISTS (SELECT 1 FROM ok WHERE ck=t AND y=yb)) FROM edx GROUP BY 2)
+ SELECT {names} AS rule, y::INT AS year, {severity} AS severity, round(v,8)::DOUBLE AS value, coalesce(v<={limit},true) AS passed FROM v""")
+
+
+def _checked(d: Derived, planted: bool) -> DataFrame:
+    assigned, layers, lost, again, rows = d.assigned, d.layers, d.lost, Derived(d.spark, d.sf_dir).keys, T.normalised(d.shares, d.lost, d.gained, "a")
+    edges = d.edges.select("from_ck", "to_ck", "year_a", "year_b")
+    if planted:
+        k = F.col("atom")
+        assigned = assigned.filter(~((k % 50 == 49) & (F.col("year") == 1999))).unionByName(assigned.filter((k % 97 == 0) & (F.col("year") == 1997)).withColumn("unit", F.lit("N0")))
+        layers = layers.withColumn("area", F.col("area") * F.when(F.col("year") == 2001, 1.01).otherwise(1))
+        lost = lost.withColumn("lost", F.col("lost") + F.when(F.col("year") == 1995, 1).otherwise(0))
+        again = again.withColumn("canonical_key", F.when(F.col("year") == 1997, "other").otherwise(F.col("canonical_key")))
+        rows = rows.filter("obs_b <> 'LOST'")
+        stay = d.keys.filter("year = 1995").select("canonical_key").intersect(d.keys.filter("year = 1997").select("canonical_key"))
+        edges = edges.unionByName(stay.agg(F.min("canonical_key").alias("from_ck"), F.max("canonical_key").alias("to_ck")).withColumns({"year_a": F.lit(1995), "year_b": F.lit(1997)}))
+    classes = R.classes(d.events, d.named, d.registry).join(d.named.select("event_id", "pre").distinct(), "event_id")
+    accounted = E.accounting(d.events, d.named, d.matrix, d.keys, VINTAGES)
+    found = K.measured(assigned, layers, lost, d.keys, again, rows, classes, accounted, E.identifiability(d.events, d.named), edges)
+    return K.by_window(found).select("rule", "year", "severity", F.round("value", 8).alias("value"), "passed")
+
+
+@query(_rules(False), False)
+def window_rules(d):
+    """All rules over all windows of the derived run."""
+    return _checked(d, False)
+
+
+@query(_rules(True), False)
+def window_rules_planted(d):
+    """The same with faults: atoms twice and missing, areas and keys that differ, losses too high and left out, an edge between units that stay."""
+    return _checked(d, True)
+
+
 # --- polygons ---------------------------------------------------------------------------------------------------------
 
 BOXES = """WITH b AS (SELECT p_partkey k, (p_partkey%40)*10 x, (p_partkey//40)*10 y, 1+p_size%9 w, 1+(p_size+p_partkey)%9 h FROM part),

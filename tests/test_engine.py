@@ -206,3 +206,21 @@ def test_cycles_of_any_length(spark):
     chain = [("0", "a"), ("a", "b"), ("b", "c"), ("x", "0"), ("self", "self"), (None, "a")]
     found = L.cycles(spark, spark.createDataFrame(ring + chain, "from_ck string, to_ck string"))
     assert sorted(r.canonical_key for r in found.collect()) == sorted([str(i) for i in range(40)] + ["self"])
+
+
+def test_rules_are_kept_by_run_and_stop_promotion(spark, tmp_path):
+    from parcelflow.operators import checks as K
+
+    rows = spark.createDataFrame([("V1", 1951, 0.0005), ("V1", 1951, 0.0004), ("V1", 1961, 0.002), ("V3", 1951, 1e-9), ("V6", 1951, 1.0), ("V6", 1951, 0.0), ("V2", 1951, 0.5), ("V7", 1951, None)], "rule string, year int, value double")
+    checked = K.by_window(rows)
+    got = {(r.rule[:2], r.year): (r.value, r.passed, r.severity) for r in checked.collect()}
+    assert got == {("V1", 1951): (0.0009, True, "ERROR"), ("V1", 1961): (0.002, False, "ERROR"), ("V3", 1951): (1e-9, True, "ERROR"), ("V6", 1951): (0.5, True, "INFO"), ("V2", 1951): (0.5, False, "WARN"), ("V7", 1951): (0.0, True, "ERROR")}
+    path = f"file://{tmp_path}/checks"
+    K.recorded(checked, path, "a")
+    K.recorded(checked.filter("year = 1951"), path, "b")
+    kept = K.recorded(checked.filter("year = 1961"), path, "b")
+    assert {(r.run, r.n) for r in kept.groupBy("run").agg(F.count("*").alias("n")).collect()} == {("a", 6), ("b", 1)}
+    with pytest.raises(ValueError, match="V1 .* \\(1961\\)"):
+        K.promoted(rows, checked, f"file://{tmp_path}/published")
+    K.promoted(rows, checked.filter("year = 1951"), f"file://{tmp_path}/published")  # a warning doesn't stop it
+    assert spark.read.parquet(f"file://{tmp_path}/published").count() == 8
