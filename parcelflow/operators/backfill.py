@@ -27,7 +27,7 @@ def earliest_ancestor(registry: DataFrame, edges: DataFrame, settings: Settings
     """canonical_key and the least establishment year among its origins: itself, or ancestors without predecessors.
 
     Each step goes from all keys to their ancestors one edge further back, and is written down; it ends when there are
-    none, or at the depth of the settings.
+    none.  If there still are some at the depth of the settings, that is an error: the edges have a cycle or the depth is too small.
     """
     up = edges.select(F.col("to_ck").alias("at"), F.col("from_ck").alias("next")).distinct()
     years = registry.select(F.col("canonical_key").alias("at"), F.col("established_year").alias("earliest"))
@@ -39,6 +39,8 @@ def earliest_ancestor(registry: DataFrame, edges: DataFrame, settings: Settings
         front = settle(front.join(up, "at").select("canonical_key", F.col("next").alias("at")).distinct(), "ancestors")
         if front.isEmpty():
             break
+    else:
+        raise ValueError(f"ancestors lie more than {settings.backfill_depth} edges back; look for cycles or raise backfill_depth")
     return found.groupBy("canonical_key").agg(F.min("earliest").alias("earliest"))
 
 

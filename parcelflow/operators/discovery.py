@@ -154,6 +154,26 @@ def decide(open_rows: DataFrame, l1: DataFrame, l2: DataFrame, cands: DataFrame,
         F.when(by_name | ~(blind | none), chosen).alias("chosen_ck"), F.col("residual_pct").alias("initial_residual_pct"),
         F.when(by_name, 0.0).when(blind | none, F.col("residual_pct")).otherwise(open_pct).alias("final_residual_pct"), gone.alias("recovered_area"), (F.col("residual_area") - gone).alias("unresolved_area"),
         F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.when(F.col("l1_ck").isNotNull(), 1.0).when(F.col("l2_ck").isNotNull(), 0.9).otherwise(F.coalesce(b["spatial_confidence"], F.lit(0.0))).alias("spatial_confidence"),
+        F.when(F.col("l1_ck").isNotNull(), 1.0).when(F.col("l2_ck").isNotNull(), 0.9).when(blind | none, 0.0).otherwise(b["administrative_confidence"]).alias("administrative_confidence"),
+        F.when(by_name, "CONFIRMED_ADMINISTRATIVE_SUCCESSOR").when(blind | none, "NO_VALID_SPATIAL_SUCCESSOR").otherwise(b["candidate_status"]).alias("candidate_status"),
+        F.when(by_name, F.coalesce("l1_ck", "l2_ck")).when(~(blind | none), b["cand_ck"]).alias("best_candidate_ck"), F.when(by_name | blind | none, 0.0).otherwise(b["candidate_score"]).alias("best_candidate_score"),
+    )
+
+
+def results(decided: DataFrame, audited: DataFrame, units: DataFrame) -> DataFrame:
+    """The decisions with what they began from and what they say: one whole row for each open residual.
+
+    audited: event_id, pred_ck, accounting_status, accounted_area.  units: canonical_key, display_name.
+    """
+    begun = audited.select("event_id", "pred_ck", F.col("accounting_status").alias("initial_status"), F.col("accounted_area").alias("raw_intersection_area"))
+    named = units.select(F.col("canonical_key").alias("best_candidate_ck"), F.col("display_name").alias("best_candidate"))
+    by_name = F.col("recovery_level") < 3
+    return decided.join(begun, ["event_id", "pred_ck"]).join(named, "best_candidate_ck", "left").select(
+        "event_id", "pred_ck", "initial_status", "initial_residual_pct", "raw_intersection_area", F.col("final_residual_pct").alias("post_discovery_residual_pct"), "final_status", "reason", "recovery_level",
+        F.when(by_name, 0).otherwise(F.col("n_candidates")).alias("candidate_count"), F.coalesce("best_candidate", "best_candidate_ck", F.lit("")).alias("best_candidate"), F.coalesce("best_candidate_ck", F.lit("")).alias("best_candidate_ck"),
+        "chosen_ck", "best_candidate_score", "candidate_status", "spatial_confidence", "administrative_confidence", "recovered_area", "unresolved_area",
+        (F.col("reason") == "CROSS_STATE_IDENTITY_DRIFT").alias("cross_state_transition"), (F.col("final_status") != "EVENT_GEOMETRY_IDENTITY_MISMATCH").alias("administrative_spatial_agreement"),
+        F.concat(F.lit("L"), "recovery_level", F.lit("|"), "reason").alias("provenance"),
     )
 
 
@@ -183,5 +203,10 @@ def decision_counts(decided: DataFrame) -> DataFrame:
     return decided.groupBy("final_status", "reason", "recovery_level").agg(F.count("*").alias("n"), F.sum("recovered_area").alias("recovered_area"))
 
 
+def by_reason(found: DataFrame, reason: str) -> DataFrame:
+    """Report rows of one reason, the largest first: mismatches, resolutions across states."""
+    return found.filter(F.col("reason") == reason).select("event_id", "pred_ck", "best_candidate_ck", "recovered_area", "unresolved_area").orderBy(F.col("recovered_area").desc(), "event_id", "pred_ck")
+
+
 def largest_unresolved(decided: DataFrame, n: int = 20) -> DataFrame:
     return decided.orderBy(F.col("unresolved_area").desc(), "event_id", "pred_ck").limit(n)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.config import Settings
+from parcelflow.sources.steps import settle
 from parcelflow.operators.transition import best_matches
 
 
@@ -74,8 +75,8 @@ def get_or_create(known: DataFrame, wanted: DataFrame) -> DataFrame:
     """natural_key and canonical_key: known ones keep theirs, new ones are numbered after the largest, in their order."""
     top = known.agg(F.coalesce(F.max(F.substring("canonical_key", 5, 12).cast("int")), F.lit(0)).alias("top"))
     new = wanted.select("natural_key").distinct().join(known.select("natural_key"), "natural_key", "left_anti")
-    # a bucket of the order at a time: numbers within it, shifted by the counts of those before
-    spread = new.withColumn("bucket", F.substring("natural_key", 1, 2))
+    # ranges of the order, cut where a sample says, so that no prefix is one task: numbers within them, shifted by the counts of those before
+    spread = settle(new.repartitionByRange("natural_key").withColumn("bucket", F.spark_partition_id()), "ranges")
     counts = spread.groupBy("bucket").agg(F.count("*").alias("n"))
     before = counts.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     numbered_ = spread.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("natural_key"))).join(before, "bucket").join(F.broadcast(top))

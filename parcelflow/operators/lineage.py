@@ -50,6 +50,10 @@ def corroborated(edges: DataFrame, registry: DataFrame, participants: DataFrame,
     return out.withColumn("lineage_confidence", F.when(F.col("lineage_basis") == "GAZETTE_CORROBORATED", conf["GAZETTE_CORROBORATED"]).when(F.col("lineage_basis") == "GAZETTE_CORROBORATED_WEAK", conf["GAZETTE_CORROBORATED_WEAK"]).otherwise(conf["SPATIAL_INFERRED"]))
 
 
+#: How often keys without edges on one side are peeled off; lineage is as deep as there are windows.
+PEELED = 32
+
+
 def backward_edges(edges: DataFrame, registry: DataFrame) -> DataFrame:
     """Edges into a key that began before their source: none in a sound graph."""
     side = lambda k: registry.select(F.col("canonical_key").alias(f"{k}_ck"), F.col("established_year").alias(f"{k}_year"))
@@ -59,10 +63,18 @@ def backward_edges(edges: DataFrame, registry: DataFrame) -> DataFrame:
 def cycles(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Keys that reach themselves, by however many edges.
 
-    Pairs of keys that reach each other are joined with themselves until there are no new ones; the length covered
-    doubles each time.
+    Keys that nothing leads to or from are on no cycle; they are peeled off first, up to PEELED times, and take their edges
+    with them, so of a sound graph nothing is left.  Of what is left, pairs of keys that reach each other are joined with
+    themselves until there are no new ones; the length covered doubles each time.
     """
     reach = settle(edges.select(F.col("from_ck").alias("start"), F.col("to_ck").alias("at")).dropna().distinct(), "reach")
+    n = reach.count()
+    for _ in range(PEELED):
+        starts, ends = reach.select(F.col("start").alias("at")).distinct(), reach.select(F.col("at").alias("start")).distinct()
+        reach = settle(reach.join(starts, "at", "left_semi").join(ends, "start", "left_semi").select("start", "at"), "reach")
+        before, n = n, reach.count()
+        if n in (0, before):
+            break
     before, now = -1, reach.count()
     while now > before:
         step = reach.select(F.col("start").alias("at"), F.col("at").alias("next"))

@@ -130,10 +130,11 @@ def top_residuals(audited: DataFrame, n: int = 20) -> DataFrame:
     return audited.orderBy(F.col("residual_area").desc(), "event_id", "pred_ck").limit(n)
 
 
-def events_by(status: DataFrame, events: DataFrame, by: str, wanted: str = "UNRESOLVED", n: int = 5) -> DataFrame:
-    """The n values of a column of events, such as state or year, with most events of a status; ties go to the least."""
+def events_by(status: DataFrame, events: DataFrame, by: str, wanted: str = "UNRESOLVED", n: int | None = 5) -> DataFrame:
+    """The n values of a column of events (all, if n is None), such as state or year, with most events of a status; ties go to the least."""
     chosen = status.filter(F.col("event_status") == wanted).select("event_id").join(events.select("event_id", by), "event_id")
-    return chosen.groupBy(by).agg(F.count("*").alias("n_events")).orderBy(F.desc("n_events"), by).limit(n)
+    counts = chosen.groupBy(by).agg(F.count("*").alias("n_events"))
+    return counts if n is None else counts.orderBy(F.desc("n_events"), by).limit(n)
 
 
 def reason_counts(audited: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ Doubles are rounded in both, so that the order of additions does not show.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -606,6 +607,54 @@ def event_summary_merged(d):
     return D.merged_summary(d.status, _decided(d)).select("event_id", "event_status", "recovery_level_found", "all_reconciled_found")
 
 
+def results_sql() -> str:
+    """SQL of the whole rows, as a table `res`."""
+    s = lambda x: f"'{x}'"
+    why = ("ALIAS_RESOLUTION", "CROSS_STATE_IDENTITY_DRIFT", "MISSING_GEOMETRIC_EVIDENCE", "VINTAGE_MISMATCH_RECENT", "GEOMETRY_NOT_AVAILABLE", "EVENT_GEOMETRY_IDENTITY_MISMATCH", "PARENT_CHILD_RECOVERY", "SPATIAL_SUCCESSOR_DISCOVERED", "ADJACENCY_RECOVERY", "BOUNDARY_PRECISION", "VINTAGE_MISMATCH_RECENT", "GENUINELY_UNRESOLVED")
+    reason = "CASE WHEN l1.ck IS NOT NULL THEN {} WHEN l2.ck IS NOT NULL THEN {} ".format(*map(s, why[:2])) + " ".join(f"WHEN {c} THEN {s(v)}" for c, v in zip(CONDITIONS, why[2:-1], strict=True)) + f" ELSE {s(why[-1])} END"
+    return LADDER + f""", one AS (SELECT id, pk, max(tot) tot, max(cs) cs, max(ac) ac, max(sc) sc, bool_or(dc) dc, max(ck) ck FROM cnd WHERE rk=1 GROUP BY 1,2),
+ summed AS (SELECT id, pk, sum(area) dis, count(*) n, arg_min(ck, rk) FILTER (WHERE pcr AND tot>=0.65) child FROM cnd GROUP BY 1,2),
+ ful AS (SELECT o.id, o.pk, o.res, o.pct, o.acc, l1.ck k1, l2.ck k2, p.tot, p.cs, p.ac, p.sc, p.ck, m.dis, m.n, m.child, ({reason}) reason, greatest(0,(o.res-m.dis)/o.sa*100) opn, o.sa<=0 OR p.tot IS NULL blind, (o.nd>0 AND NOT p.dc AND p.cs IN ('CONFIRMED_ADMINISTRATIVE_SUCCESSOR','SPATIALLY_CONFIRMED_BUT_EVENT_UNLISTED') AND p.ac<0.5) mis
+  FROM opn o LEFT JOIN l1 ON l1.id=o.id AND l1.pk=o.pk LEFT JOIN l2 ON l2.id=o.id AND l2.pk=o.pk LEFT JOIN (SELECT one.*, s.dis, s.child IS NOT NULL chd FROM one JOIN summed s ON s.id=one.id AND s.pk=one.pk) p ON p.id=o.id AND p.pk=o.pk LEFT JOIN summed m ON m.id=o.id AND m.pk=o.pk),
+ rst AS (SELECT f.id AS event_id, f.pk AS pred_ck, a.status AS initial_status, round(f.pct,6) AS initial_residual_pct, round(f.acc,6)::DOUBLE AS raw_intersection_area, round(CASE WHEN coalesce(k1,k2) IS NOT NULL THEN 0 WHEN blind THEN f.pct ELSE opn END,6)::DOUBLE AS post_discovery_residual_pct, l.final_status, f.reason, l.recovery_level,
+  (CASE WHEN coalesce(k1,k2) IS NOT NULL THEN 0 ELSE coalesce(f.n,0) END)::BIGINT AS candidate_count, CASE WHEN coalesce(k1,k2) IS NOT NULL THEN coalesce(k1,k2) WHEN blind THEN '' ELSE f.ck END AS best_candidate_ck, CASE WHEN coalesce(k1,k2) IS NULL AND blind THEN NULL ELSE coalesce(k1,k2,CASE WHEN child IS NOT NULL AND opn<1 AND NOT mis THEN child END,f.ck) END AS chosen_ck,
+  CASE WHEN coalesce(k1,k2) IS NOT NULL OR blind THEN 0 ELSE f.tot END::DOUBLE AS best_candidate_score, CASE WHEN coalesce(k1,k2) IS NOT NULL THEN 'CONFIRMED_ADMINISTRATIVE_SUCCESSOR' WHEN blind THEN 'NO_VALID_SPATIAL_SUCCESSOR' ELSE f.cs END AS candidate_status,
+  (CASE WHEN k1 IS NOT NULL THEN 1 WHEN k2 IS NOT NULL THEN 0.9 ELSE coalesce(f.sc,0) END)::DOUBLE AS spatial_confidence, (CASE WHEN k1 IS NOT NULL THEN 1 WHEN k2 IS NOT NULL THEN 0.9 WHEN blind THEN 0 ELSE f.ac END)::DOUBLE AS administrative_confidence,
+  round(CASE WHEN coalesce(k1,k2) IS NOT NULL THEN f.res WHEN blind THEN 0 ELSE least(dis,f.res) END,6)::DOUBLE AS recovered_area, round(f.res-(CASE WHEN coalesce(k1,k2) IS NOT NULL THEN f.res WHEN blind THEN 0 ELSE least(dis,f.res) END),6)::DOUBLE AS unresolved_area
+  FROM ful f JOIN lad l ON l.event_id=f.id AND l.pred_ck=f.pk JOIN aud a ON a.id=f.id AND a.pk=f.pk)
+"""
+
+
+def _results(d: Derived) -> DataFrame:
+    whole = D.results(_decided(d), d.audited, d.registry)
+    return whole.withColumns({c: F.round(c, 6) for c in ("initial_residual_pct", "raw_intersection_area", "post_discovery_residual_pct", "recovered_area", "unresolved_area")})
+
+
+@query(q(results_sql() + """SELECT r.*, coalesce(g.nm, r.best_candidate_ck) AS best_candidate, reason='CROSS_STATE_IDENTITY_DRIFT' AS cross_state_transition, final_status<>'EVENT_GEOMETRY_IDENTITY_MISMATCH' AS administrative_spatial_agreement, 'L'||recovery_level||'|'||reason AS provenance FROM rst r LEFT JOIN reg g ON g.ck=r.best_candidate_ck"""), False)
+def discovery_result(d):
+    """The whole row that discovery gives for each open residual."""
+    return _results(d)
+
+
+@query(q(results_sql() + "SELECT event_id, pred_ck, best_candidate_ck, recovered_area, unresolved_area FROM rst WHERE reason='CROSS_STATE_IDENTITY_DRIFT'"), False)
+def cross_state_resolutions(d):
+    return D.by_reason(_results(d), "CROSS_STATE_IDENTITY_DRIFT")
+
+
+@query(q(results_sql() + "SELECT event_id, pred_ck, best_candidate_ck, recovered_area, unresolved_area FROM rst ORDER BY unresolved_area DESC, event_id, pred_ck LIMIT 20"), False)
+def largest_unresolved(d):
+    return D.largest_unresolved(_results(d)).select("event_id", "pred_ck", "best_candidate_ck", "recovered_area", "unresolved_area")
+
+
+@query(q("SELECT 'state' AS by, e.state AS value, count(*) AS n_events FROM sta s JOIN ev e ON e.id=s.id WHERE s.status='UNRESOLVED' GROUP BY 2 UNION ALL SELECT 'year', yr::VARCHAR, count(*) FROM sta WHERE status='UNRESOLVED' GROUP BY 2").replace("score>=0.65 THEN 'RECOVERED", "score>=0.95 THEN 'RECOVERED"), False)
+def unresolved_by_state_and_year(d):
+    """Events of each state and of each year that stay unresolved if no successor's area alone recovers them."""
+    strict = replace(SETTINGS, recovery_threshold=0.95)
+    status = R.event_status(d.events, R.recovered(d.kept, d.contributed, strict))
+    one = lambda c: R.events_by(status, d.events, c, "UNRESOLVED", None).select(F.lit(c.removeprefix("effective_")).alias("by"), F.col(c).cast("string").alias("value"), "n_events")
+    return one("state").unionByName(one("effective_year"))
+
+
 # --- backfill, crosswalk, records -------------------------------------------------------------------------------------
 
 ANCESTORS = """, anc(ck, e) AS (SELECT ck, est FROM reg WHERE ck NOT IN (SELECT t FROM ed) UNION SELECT ed.t, a.e FROM anc a JOIN ed ON ed.f=a.ck), ear AS (SELECT ck, min(e) e FROM anc GROUP BY 1) """

@@ -174,7 +174,7 @@ class Derived:
         return self.kept.join(who, ["event_id", "pred_ck"]).join(self.events.select("event_id", "effective_year"), "event_id").join(declared, "event_id").withColumn("has_geometry", F.col("source_area") > 0)
 
     def make_aliases(self) -> DataFrame:
-        """Names of units that a nation with a number divisible by 7 had under the next nation's name."""
+        """Names of units that a nation with a number divisible by 6 had under the next nation's name."""
         n = self.table("nation").join(F.broadcast(self.table("region")), F.col("n_regionkey") == F.col("r_regionkey"))
         unit = lambda x: F.concat(F.lit("N"), x.cast("string"))
         k = F.col("n_nationkey")

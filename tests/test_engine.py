@@ -224,3 +224,13 @@ def test_rules_are_kept_by_run_and_stop_promotion(spark, tmp_path):
         K.promoted(rows, checked, f"file://{tmp_path}/published")
     K.promoted(rows, checked.filter("year = 1951"), f"file://{tmp_path}/published")  # a warning doesn't stop it
     assert spark.read.parquet(f"file://{tmp_path}/published").count() == 8
+
+
+def test_ancestors_too_deep_are_an_error(spark):
+    from parcelflow.operators import backfill as B
+
+    registry = spark.createDataFrame([(f"K{i}", 1900 + i) for i in range(6)], "canonical_key string, established_year int")
+    edges = spark.createDataFrame([(f"K{i}", f"K{i + 1}") for i in range(5)], "from_ck string, to_ck string")
+    assert {r.earliest for r in B.earliest_ancestor(registry, edges, Settings(backfill_depth=5)).collect()} == {1900}
+    with pytest.raises(ValueError, match="backfill_depth"):
+        B.earliest_ancestor(registry, edges, Settings(backfill_depth=4))
