@@ -10,7 +10,7 @@ the AHEAD first; what they yield gives each anchor a kth score.  The second visi
 is strictly below that score: there the search stops, as all later bounds are lower still.  Equal bounds are visited, so
 ties by the smaller id come out right.  Positives are searched so, then negatives, for which lists wholly outside the
 window between two shares of the positive's score are skipped in both waves.  Anchors travel to the segments they visit, in
-batches that are neighbours in the index; scores are made by blocks, each block gives at most k rows an anchor away.
+batches that are neighbours in the index; scores are made by blocks, a task gives the first k rows of each search among all its blocks away.
 
 Scores are exact: components become integers, and sums are made in doubles only where all of them fit 53 bits.  Sums that
 may not fit 64 bits raise an error.  Rows with a null id or label, a null vector or any null or non-finite component take
@@ -32,8 +32,9 @@ from parcelflow.llm.common import materialise
 
 #: Rows a list should have, lists and bytes of their centroids at most, sampled rows a list, rounds of k-means.
 LIST, LISTS, LIST_BYTES, SAMPLED, ROUNDS = 512, 1024, 8 << 20, 16, 8
-#: Rows of a segment, lists of the first wave, anchors that are scored at once, bytes of vectors sent at once.
-SEGMENT, AHEAD, AT_ONCE, SENT = 2048, 4, 256, 4 << 20
+#: Rows of a segment, lists of the first wave, anchors that are scored at once, bytes of vectors sent at once, results that a
+#: task holds before it takes the first of each search.
+SEGMENT, AHEAD, AT_ONCE, SENT, HELD = 2048, 4, 256, 4 << 20, 1 << 17
 SCALE = 256
 POSITIVES, NEGATIVES = 5, 3
 #: Least and most of a negative's score, in hundredths of the positive's.
@@ -206,6 +207,8 @@ def scored(met: DataFrame, index: Index, k: int, within: bool) -> DataFrame:
     """anchor, search, score, id: of each anchor's searches in a segment the first k rows."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows_held = 0
         for batch in batches:
             for row in zip(*(batch.column(c) for c in names), strict=True):
                 numbers = [np.frombuffer(x.as_buffer(), np.int64) for x in row[:-2]]
@@ -219,13 +222,31 @@ def scored(met: DataFrame, index: Index, k: int, within: bool) -> DataFrame:
                     for search in range(low.shape[1]):
                         ok = ~same & (s >= low[i:e, search, None]) & (s <= high[i:e, search, None]) if within else same & (own_ids[i:e, None] != ids[None])
                         r, c = first_of(np.where(ok, s if index.exact else ranks(s), -np.inf), k)
-                        yield pa.RecordBatch.from_arrays([pa.array(anchors[i + r]), pa.array(np.full(len(r), search), pa.int32()), pa.array(s[r, c].astype(np.int64)), pa.array(ids[c])], ["anchor", "search", "score", "id"])
+                        held.append([anchors[i + r], np.full(len(r), search, np.int32), s[r, c].astype(np.int64), ids[c]])
+                        rows_held += len(r)
+                if rows_held >= HELD:  # of the segments that a task has read
+                    held = [merged(held)]
+                    rows_held = len(held[0][0])
+                    if 2 * rows_held >= HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], out)
+                        held, rows_held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held)], out)
+
+    def merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """The first k of each search."""
+        anchor, search, score_, id_ = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((id_, -score_, search, anchor))
+        anchor, search, score_, id_ = (x[order] for x in (anchor, search, score_, id_))
+        first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (search[1:] != search[:-1])][: len(anchor)])
+        keep = np.arange(len(anchor)) - np.repeat(first, np.diff(np.r_[first, len(anchor)])) < k
+        return [x[keep] for x in (anchor, search, score_, id_)]
 
     def ranks(s: np.ndarray) -> np.ndarray:
         """Doubles in the order of scores that doubles don't hold."""
         return np.unique(s, return_inverse=True)[1].reshape(s.shape).astype(np.float64)
 
-    names = ("ids", "labels", "anchors", "own_ids", "own", "low", "high", "rows", "vectors")
+    names, out = ("ids", "labels", "anchors", "own_ids", "own", "low", "high", "rows", "vectors"), ["anchor", "search", "score", "id"]
     return met.mapInArrow(score, "anchor long, search int, score long, id long")
 
 

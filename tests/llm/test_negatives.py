@@ -41,7 +41,7 @@ def run(spark, rows, **how):
 
 @pytest.mark.parametrize("lists, segment, ahead", [(512, 2048, 4), (16, 20, 2), (4, 7, 1)])
 def test_negatives_as_brute_force(spark, monkeypatch, lists, segment, ahead):
-    for name, value in (("LIST", lists), ("SEGMENT", segment), ("AHEAD", ahead), ("AT_ONCE", 3)):
+    for name, value in (("LIST", lists), ("SEGMENT", segment), ("AHEAD", ahead), ("AT_ONCE", 3), ("HELD", segment)):
         monkeypatch.setattr(negatives, name, value)
     rows = made(lists)
     assert run(spark, rows) == brute(rows)
