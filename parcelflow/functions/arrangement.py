@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geometry as G
+from parcelflow.sources.steps import settle
 
 #: Digits of coordinates that are kept; points nearer than that are one.
 DIGITS = 7
@@ -84,8 +85,8 @@ def pieces(rows: DataFrame) -> DataFrame:
 
     Pieces that a ring goes along as often as back are gone.
     """
-    rows = rows.withColumn("id", F.xxhash64(*RING, *ENDS))  # equal edges of a ring are split alike
-    dealt = Strips(rows).of(rows.dropDuplicates(["g", "id"]), F.least("x0", "x1"), F.greatest("x0", "x1"))
+    rows = settle(rows.withColumn("id", F.xxhash64(*RING, *ENDS)), "edges")  # equal edges of a ring are split alike
+    dealt = settle(Strips(rows).of(rows.dropDuplicates(["g", "id"]), F.least("x0", "x1"), F.greatest("x0", "x1")).select("g", "strip", "split", "id", *ENDS), "strips")
     side = lambda t: dealt.select("g", "strip", "split", F.col("id").alias(f"{t}id"), *(F.col(c).alias(f"{t}{c}") for c in ENDS))
     low = lambda t: F.least(f"{t}y0", f"{t}y1")
     high = lambda t: F.greatest(f"{t}y0", f"{t}y1")

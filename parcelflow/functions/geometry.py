@@ -58,18 +58,20 @@ def project(points: Column) -> Column:
 
 
 def segments(points: Column) -> Column:
-    """Edges of all rings: part, ring, x0, y0, x1, y1.  Rings close by themselves."""
+    """Edges of all rings: part, ring, x0, y0, x1, y1.  Rings close by themselves; the points of a ring stand together."""
     following = F.transform(points, lambda p, i: F.get(points, i + 1))
+    same = lambda p, q: (q["part"] == p["part"]) & (q["ring"] == p["ring"])
+    firsts = F.filter(points, lambda p, i: ~F.coalesce(same(p, F.get(points, i - 1)), F.lit(False)))
 
-    def start_of(p: Column) -> Column:
-        return F.get(F.filter(points, lambda q: (q["part"] == p["part"]) & (q["ring"] == p["ring"])), F.lit(0))
+    def closed(starts: Column) -> Column:
+        def one(p: Column, q: Column) -> Column:
+            nxt = F.when(q.isNotNull() & same(p, q), q).otherwise(F.get(F.filter(starts, lambda f: same(p, f)), F.lit(0)))
+            return F.struct(p["part"].alias("part"), p["ring"].alias("ring"), p["x"].alias("x0"), p["y"].alias("y0"), nxt["x"].alias("x1"), nxt["y"].alias("y1"))
 
-    def one(p: Column, q: Column) -> Column:
-        inside = q.isNotNull() & (q["part"] == p["part"]) & (q["ring"] == p["ring"])
-        nxt = F.when(inside, q).otherwise(start_of(p))
-        return F.struct(p["part"].alias("part"), p["ring"].alias("ring"), p["x"].alias("x0"), p["y"].alias("y0"), nxt["x"].alias("x1"), nxt["y"].alias("y1"))
+        return F.filter(F.zip_with(points, following, one), lambda e: (e["x0"] != e["x1"]) | (e["y0"] != e["y1"]))
 
-    return F.filter(F.zip_with(points, following, one), lambda e: (e["x0"] != e["x1"]) | (e["y0"] != e["y1"]))
+    # a variable stands for the first points, which are found once and not for each ring
+    return F.get(F.transform(F.array(firsts), closed), F.lit(0))
 
 
 def edge_table(polygons: DataFrame, key: str, points: str = "points") -> DataFrame:
@@ -89,16 +91,16 @@ def edge_table(polygons: DataFrame, key: str, points: str = "points") -> DataFra
 
 
 def area(points: Column) -> Column:
-    """Area of a polygon: outer rings less holes."""
-    e = segments(points)
-    keys = F.array_distinct(F.transform(points, lambda p: F.struct(p["part"].alias("part"), p["ring"].alias("ring"))))
+    """Area of a polygon: outer rings less holes, in one pass over the edges."""
+    ring = lambda a: F.abs(a["sum"]) * F.when(a["ring"] == 0, 1.0).otherwise(-1.0)
 
-    def ring(k: Column) -> Column:
-        own = F.filter(e, lambda s: (s["part"] == k["part"]) & (s["ring"] == k["ring"]))
-        signed = F.aggregate(own, F.lit(0.0), lambda a, s: a + (s["x0"] * s["y1"] - s["x1"] * s["y0"]) / 2)
-        return F.abs(signed) * F.when(k["ring"] == 0, 1.0).otherwise(-1.0)
+    def add(a: Column, s: Column) -> Column:
+        own = (s["x0"] * s["y1"] - s["x1"] * s["y0"]) / 2
+        same = (a["part"] == s["part"]) & (a["ring"] == s["ring"])
+        return F.struct(F.when(same, a["done"]).otherwise(a["done"] + ring(a)).alias("done"), s["part"].alias("part"), s["ring"].alias("ring"), F.when(same, a["sum"] + own).otherwise(own).alias("sum"))
 
-    return F.when(F.size(points) > 0, F.aggregate(F.transform(keys, ring), F.lit(0.0), lambda a, v: a + v)).otherwise(0.0)
+    start = F.struct(F.lit(0.0).alias("done"), F.lit(-1).alias("part"), F.lit(0).alias("ring"), F.lit(0.0).alias("sum"))
+    return F.when(F.size(points) > 0, F.aggregate(segments(points), start, add, lambda a: a["done"] + ring(a))).otherwise(0.0)
 
 
 def perimeter(points: Column) -> Column:
