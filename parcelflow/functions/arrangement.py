@@ -73,11 +73,11 @@ def _side(o: str, d: str, end: int) -> Column:
 
 
 def _touches(o: str, d: str, end: int) -> Column:
-    """Whether an end of edge d lies on edge o."""
+    """Whether an end of edge d lies on edge o, whose _side is there."""
     c = lambda n: F.col(f"{o}{n}")
     dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
     along = dx * (F.col(f"{d}x{end}") - c("x0")) + dy * (F.col(f"{d}y{end}") - c("y0"))
-    return (F.abs(_side(o, d, end)) <= NEAR * F.sqrt(dx * dx + dy * dy)) & (along >= 0) & (along <= dx * dx + dy * dy)
+    return (F.abs(F.col(f"s{o}{end}")) <= NEAR * F.sqrt(dx * dx + dy * dy)) & (along >= 0) & (along <= dx * dx + dy * dy)
 
 
 def pieces(rows: DataFrame) -> DataFrame:
@@ -93,14 +93,17 @@ def pieces(rows: DataFrame) -> DataFrame:
     met = side("a").join(side("b"), ["g", "strip", "split"]).filter((F.col("aid") < F.col("bid")) & (low("a") <= high("b") + NEAR) & (low("b") <= high("a") + NEAR))
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     end = lambda t, k: point(F.col(f"{t}x{k}"), F.col(f"{t}y{k}"))
-    inside = lambda o, d: F.filter(F.array(*(F.when(_touches(o, d, k), end(d, k)) for k in (0, 1))), lambda p: p.isNotNull())
-    on_a, on_b = inside("a", "b"), inside("b", "a")
-    s0, s1 = _side("a", "b", 0), _side("a", "b", 1)
-    crossed = (s0 * s1 < 0) & (_side("b", "a", 0) * _side("b", "a", 1) < 0) & (F.size(on_a) == 0) & (F.size(on_b) == 0)
+    # columns of their own, so that each is made once
+    met = met.withColumns({f"s{o}{k}": _side(o, d, k) for o, d in ("ab", "ba") for k in (0, 1)})
+    met = met.withColumns({f"t{o}{k}": _touches(o, d, k) for o, d in ("ab", "ba") for k in (0, 1)})
+    s0, s1 = F.col("sa0"), F.col("sa1")
+    touching = F.col("ta0") | F.col("ta1") | F.col("tb0") | F.col("tb1")
+    met = met.withColumn("crossed", ~touching & (s0 * s1 < 0) & (F.col("sb0") * F.col("sb1") < 0)).withColumn("touching", touching).filter("crossed or touching")
+    on = lambda o, d: F.filter(F.array(*(F.when(F.col(f"t{o}{k}"), end(d, k)) for k in (0, 1))), lambda p: p.isNotNull())
     t = s0 / (s0 - s1)
     at = lambda c: F.rint((F.col(f"b{c}0") + t * (F.col(f"b{c}1") - F.col(f"b{c}0"))) * 10**DIGITS) / 10**DIGITS
-    here = F.when(crossed, F.array(point(at("x"), at("y")))).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
-    cuts = met.select("g", "aid", "bid", F.concat(on_a, here).alias("a"), F.concat(on_b, here).alias("b")).filter("size(a) + size(b) > 0")
+    here = F.array(point(at("x"), at("y")))
+    cuts = met.select("g", "aid", "bid", F.when(F.col("crossed"), here).otherwise(on("a", "b")).alias("a"), F.when(F.col("crossed"), here).otherwise(on("b", "a")).alias("b"))
     one = lambda t: cuts.select("g", F.col(f"{t}id").alias("id"), F.explode(t).alias("p"))
     cut = one("a").unionByName(one("b")).groupBy("g", "id").agg(F.collect_set("p").alias("cuts"))  # those on one edge
 
