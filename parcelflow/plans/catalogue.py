@@ -718,7 +718,7 @@ def scaled_conservation(spark, sf):
 def overlap_periods(spark, sf):
     day = F.year("o_orderdate") * 400 + F.dayofyear("o_orderdate")
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("canonical_key"), "o_orderkey", day.alias("valid_from"), (day + F.col("o_orderkey") % 200).cast("int").alias("valid_to"))
-    return C.overlapping_periods(o).select("canonical_key", "o_orderkey")
+    return C.overlapping_periods(o, ties=["o_orderkey"]).select("canonical_key", "o_orderkey")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey) p FROM orders) WHERE p=1")

@@ -234,3 +234,10 @@ def test_ancestors_too_deep_are_an_error(spark):
     assert {r.earliest for r in B.earliest_ancestor(registry, edges, Settings(backfill_depth=5)).collect()} == {1900}
     with pytest.raises(ValueError, match="backfill_depth"):
         B.earliest_ancestor(registry, edges, Settings(backfill_depth=4))
+
+
+def test_overlapping_periods_with_ties(spark):
+    rows = [(1, k, 10, 20) for k in (5, 3, 9)] + [(1, 1, 0, 5), (2, 4, 7, 8), (2, 2, 7, 7)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "canonical_key int, id int, valid_from int, valid_to int").coalesce(1)
+        assert {r["id"] for r in C.overlapping_periods(df, ties=["id"]).collect()} == {5, 9}
