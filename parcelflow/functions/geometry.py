@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelflow.sources.steps import merged
+
 # The WGS84 ellipsoid, in kilometres.
 AXIS, FLATTENING = 6378.137, 1 / 298.257223563
 ECC2 = FLATTENING * (2 - FLATTENING)
@@ -81,9 +83,9 @@ def edge_table(polygons: DataFrame, key: str, points: str = "points") -> DataFra
     outer rings count as counter-clockwise, holes as clockwise.
     """
     e = polygons.select(F.col(key).alias(key), F.inline(segments(F.col(points))))
-    turned = e.groupBy(key, "part", "ring").agg(F.sum((F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).alias("signed"))
+    turned = F.sum((F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).over(Window.partitionBy(key, "part", "ring"))
+    own = e.withColumn("signed", turned)
     wanted = F.when(F.col("ring") == 0, 1).otherwise(-1)
-    own = e.join(turned, [key, "part", "ring"])
     facing = F.when(F.col("x1") < F.col("x0"), 1).otherwise(-1) * F.when(F.col("signed") < 0, -1).otherwise(1) * wanted
     left = F.col("x0") < F.col("x1")
     pick = lambda a, b: F.when(left, F.col(a)).otherwise(F.col(b))
@@ -146,7 +148,7 @@ def candidate_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, cell: fl
         span = lambda lo, hi: F.sequence(F.floor(F.col(f"__box_{tag}.{lo}") / cell), F.floor(F.col(f"__box_{tag}.{hi}") / cell))
         return box.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
 
-    met = cells(a, key_a, "a").join(cells(b, key_b, "b"), ["cx", "cy"])
+    met = cells(a, key_a, "a").join(merged(cells(b, key_b, "b")), ["cx", "cy"])
     low = lambda c: F.greatest(F.col(f"__box_a.{c}0"), F.col(f"__box_b.{c}0"))
     high = lambda c: F.least(F.col(f"__box_a.{c}1"), F.col(f"__box_b.{c}1"))
     # a pair is taken in the cell of its boxes' common lower corner only, so no distinct is needed
@@ -179,8 +181,8 @@ def overlaps(edges_a: DataFrame, edges_b: DataFrame, pairs: DataFrame, key_a: st
 
     Edges meet by an equi-join on the pair and the strip of x, so rows grow with the edges, not with their square.
     """
-    a = pairs.join(_cut(edges_a, key_a, width, "a"), key_a)
-    both = a.join(_cut(edges_b, key_b, width, "b"), [key_b, "strip"])
+    a = pairs.join(merged(_cut(edges_a, key_a, width, "a")), key_a)
+    both = a.join(merged(_cut(edges_b, key_b, width, "b")), [key_b, "strip"])
     total = both.filter(F.greatest("la", "lb") < F.least("ha", "hb")).groupBy(key_a, key_b).agg(F.sum(below_both()).alias("area"))
     return total.filter(F.col("area") > NOTHING)
 
@@ -207,7 +209,7 @@ def meeting_boxes(a: DataFrame, b: DataFrame, key_a: str, key_b: str, points: st
         return levels.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
 
     # levels of the larger box only, and there the cell of the boxes' common lower corner: no distinct is needed
-    met = cells(one, "a").join(cells(two, "b"), ["level", "cx", "cy"]).filter(F.col("level") == F.greatest("__own_a", "__own_b"))
+    met = cells(one, "a").join(merged(cells(two, "b")), ["level", "cx", "cy"]).filter(F.col("level") == F.greatest("__own_a", "__own_b"))
     cell = F.pow(F.lit(2.0), F.col("level"))
     low = lambda c: F.greatest(F.col(f"__box_a.{c}0"), F.col(f"__box_b.{c}0"))
     high = lambda c: F.least(F.col(f"__box_a.{c}1"), F.col(f"__box_b.{c}1"))
@@ -218,11 +220,12 @@ def meeting_boxes(a: DataFrame, b: DataFrame, key_a: str, key_b: str, points: st
 def self_crossings(polygons: DataFrame, key: str, points: str = "points") -> DataFrame:
     """key and number of pairs of edges of one ring that cross inside; edges meet by strips of x."""
     e = polygons.select(F.col(key).alias(key), F.posexplode(segments(F.col(points)))).select(key, "pos", "col.*")
-    spread = e.groupBy(key).agg(F.max(F.greatest("x0", "x1")).alias("hi"), F.min(F.least("x0", "x1")).alias("lo"), F.count("*").alias("n"))
+    of = Window.partitionBy(key)
+    spread = e.withColumns({"hi": F.max(F.greatest("x0", "x1")).over(of), "lo": F.min(F.least("x0", "x1")).over(of), "n": F.count("*").over(of)})
     width = F.greatest((F.col("hi") - F.col("lo")) * 2 / F.col("n"), F.lit(1e-9))
-    own = e.join(spread, key).withColumn("strip", F.explode(F.sequence(F.floor((F.least("x0", "x1") - F.col("lo")) / width), F.floor((F.greatest("x0", "x1") - F.col("lo")) / width))))
+    own = spread.withColumn("strip", F.explode(F.sequence(F.floor((F.least("x0", "x1") - F.col("lo")) / width), F.floor((F.greatest("x0", "x1") - F.col("lo")) / width))))
     a = own.select(key, "strip", "part", "ring", F.col("pos").alias("i"), *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
     b = own.select(key, "strip", "part", "ring", F.col("pos").alias("j"), *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
     side = lambda o, d, p: F.signum((F.col(f"{d}x1") - F.col(f"{d}x0")) * (F.col(f"{o}y{p}") - F.col(f"{d}y0")) - (F.col(f"{d}y1") - F.col(f"{d}y0")) * (F.col(f"{o}x{p}") - F.col(f"{d}x0")))
     cross = (side("a", "b", 0) * side("a", "b", 1) < 0) & (side("b", "a", 0) * side("b", "a", 1) < 0)
-    return a.join(b, [key, "strip", "part", "ring"]).filter("i < j").filter(cross).select(key, "i", "j").distinct().groupBy(key).agg(F.count("*").alias("n_crossings"))
+    return a.join(merged(b), [key, "strip", "part", "ring"]).filter("i < j").filter(cross).select(key, "i", "j").distinct().groupBy(key).agg(F.count("*").alias("n_crossings"))

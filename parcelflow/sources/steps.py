@@ -23,3 +23,8 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = step_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join by shuffles; where both sides grow with the input, a plan that takes one for small would broadcast it from the driver."""
+    return df.hint("merge")
