@@ -32,7 +32,7 @@ from parcelflow.plans.registry import ORACLES as ORACLES
 from parcelflow.plans.registry import QUERIES as QUERIES
 from parcelflow.plans.registry import query
 from parcelflow.sources import tables as S
-from parcelflow.sources.steps import step_path
+from parcelflow.sources.steps import merged, step_path
 
 def r6(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]
@@ -854,4 +854,4 @@ def validity_bowties(d):
     p = F.col("points")
     swapped = d.boxes(0).withColumn("points", F.when(k % 3 == 0, F.array(p[0], p[2], p[1], p[3])).otherwise(p))
     found = G.self_crossings(swapped, "box")
-    return swapped.join(found, "box", "left").groupBy((F.coalesce("n_crossings", F.lit(0)) > 0).alias("crossed")).agg(F.count("*").alias("n"))
+    return swapped.join(merged(found), "box", "left").groupBy((F.coalesce("n_crossings", F.lit(0)) > 0).alias("crossed")).agg(F.count("*").alias("n"))
