@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geometry as G
-from parcelflow.sources.steps import settle
+from parcelflow.sources.steps import merged, settle
 
 #: Digits of coordinates that are kept; points nearer than that are one.
 DIGITS = 7
@@ -53,11 +53,11 @@ class Strips:
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
         place = lambda c: F.least(F.greatest(F.floor((F.col(c) - F.col("low")) / F.col("width")), F.lit(0)), F.col("last"))
-        return rows.join(self.groups, "g").withColumn("strip", F.explode(F.sequence(place("from"), place("to"))))
+        return rows.join(merged(self.groups), "g").withColumn("strip", F.explode(F.sequence(place("from"), place("to"))))
 
     def of(self, rows: DataFrame, low: Column, high: Column) -> DataFrame:
         """rows once for each strip (strip, split, from `begins` to `ends`) that [low, high] touches."""
-        dealt = self._dealt(rows.withColumns({"from": low, "to": high})).join(self.crowded, ["g", "strip"], "left")
+        dealt = self._dealt(rows.withColumns({"from": low, "to": high})).join(merged(self.crowded), ["g", "strip"], "left")
         fine = F.col("width") / F.coalesce("splits", F.lit(1))
         begin = F.col("low") + F.col("strip") * F.col("width")
         place = lambda c: F.least(F.greatest(F.floor((F.col(c) - begin) / fine), F.lit(0)), F.coalesce("splits", F.lit(1)) - 1)
@@ -90,7 +90,7 @@ def pieces(rows: DataFrame) -> DataFrame:
     side = lambda t: dealt.select("g", "strip", "split", F.col("id").alias(f"{t}id"), *(F.col(c).alias(f"{t}{c}") for c in ENDS))
     low = lambda t: F.least(f"{t}y0", f"{t}y1")
     high = lambda t: F.greatest(f"{t}y0", f"{t}y1")
-    met = side("a").join(side("b"), ["g", "strip", "split"]).filter((F.col("aid") < F.col("bid")) & (low("a") <= high("b") + NEAR) & (low("b") <= high("a") + NEAR))
+    met = side("a").join(merged(side("b")), ["g", "strip", "split"]).filter((F.col("aid") < F.col("bid")) & (low("a") <= high("b") + NEAR) & (low("b") <= high("a") + NEAR))
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     end = lambda t, k: point(F.col(f"{t}x{k}"), F.col(f"{t}y{k}"))
     # columns of their own, so that each is made once
@@ -110,7 +110,7 @@ def pieces(rows: DataFrame) -> DataFrame:
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     ends = F.array(point(F.col("x0"), F.col("y0")), point(F.col("x1"), F.col("y1")))
     place = lambda p: F.struct(((p["x"] - F.col("x0")) * dx + (p["y"] - F.col("y0")) * dy).alias("at"), p["x"].alias("x"), p["y"].alias("y"))
-    whole = rows.join(cut, ["g", "id"], "left").withColumn("stops", F.array_sort(F.transform(F.array_distinct(F.concat(ends, F.coalesce("cuts", F.array().cast("array<struct<x:double,y:double>>")))), place)))
+    whole = rows.join(merged(cut), ["g", "id"], "left").withColumn("stops", F.array_sort(F.transform(F.array_distinct(F.concat(ends, F.coalesce("cuts", F.array().cast("array<struct<x:double,y:double>>")))), place)))
     split = whole.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("stops") - 2)))
     p, n = F.get("stops", F.col("k")), F.get("stops", F.col("k") + 1)
     run = split.select("g", *RING, p["x"].alias("x0"), p["y"].alias("y0"), n["x"].alias("x1"), n["y"].alias("y1"))
@@ -135,7 +135,7 @@ def boundary(parts: DataFrame, inside: Callable[[Column, Column], Column]) -> Da
     same = (F.col("fx0") == F.col("x0")) & (F.col("fy0") == F.col("y0")) & (F.col("fx1") == F.col("x1")) & (F.col("fy1") == F.col("y1"))
     upright = F.col("x0") == F.col("x1")
     lower = (y < F.col("my")) & ~same
-    met = middle.join(below, ["g", "strip", "split"]).filter((F.col("fx0") <= F.col("mx")) & (F.col("mx") <= F.col("fx1")) & (lower | same))
+    met = middle.join(merged(below), ["g", "strip", "split"]).filter((F.col("fx0") <= F.col("mx")) & (F.col("mx") <= F.col("fx1")) & (lower | same))
     # what lies east of an upright piece is on its right, what lies west of it on its left
     right = F.when(lower & (F.col("mx") < F.col("fx1")), F.col("w")).otherwise(0)
     left = F.when(upright, F.when(lower & (F.col("fx0") < F.col("mx")), F.col("w")).otherwise(0)).when(same | (lower & (F.col("mx") < F.col("fx1"))), F.col("w")).otherwise(0)
@@ -214,7 +214,7 @@ def in_common(edges_a: DataFrame, edges_b: DataFrame, pairs: DataFrame, key_a: s
     As geometry.overlaps, in strips of each pair's own: as many as its edges call for, and more where they crowd.
     """
     g = F.struct(key_a, key_b)
-    a, b = (pairs.join(e, k).select(g.alias("g"), *ENDS, "sign") for e, k in ((edges_a, key_a), (edges_b, key_b)))
+    a, b = (pairs.join(merged(e), k).select(g.alias("g"), *ENDS, "sign") for e, k in ((edges_a, key_a), (edges_b, key_b)))
     strips = Strips(a.unionByName(b))
 
     def cut(rows: DataFrame, tag: str) -> DataFrame:
@@ -222,6 +222,6 @@ def in_common(edges_a: DataFrame, edges_b: DataFrame, pairs: DataFrame, key_a: s
         slope = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
         return strips.of(rows, F.col("x0"), F.col("x1")).filter(low < high).select("g", "strip", "split", low.alias(f"l{tag}"), high.alias(f"h{tag}"), slope.alias(f"m{tag}"), (F.col("y0") - slope * F.col("x0")).alias(f"c{tag}"), F.col("sign").alias(f"s{tag}"))
 
-    both = cut(a, "a").join(cut(b, "b"), ["g", "strip", "split"])
+    both = cut(a, "a").join(merged(cut(b, "b")), ["g", "strip", "split"])
     total = both.filter(F.greatest("la", "lb") < F.least("ha", "hb")).groupBy("g").agg(F.sum(G.below_both()).alias("area"))
     return total.filter(F.col("area") > G.NOTHING).select("g.*", "area")

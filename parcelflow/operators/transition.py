@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.config import Settings
 from parcelflow.functions.numbers import ratio, sliver_threshold
+from parcelflow.sources.steps import merged
 
 
 def next_vintage(year: Column, vintages: Iterable[int]) -> Column:
@@ -48,7 +49,7 @@ def _areas(layers: DataFrame, side: str) -> DataFrame:
 
 
 def flag_slivers(parcels: DataFrame, layers: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    both = parcels.join(_areas(layers, "a"), ["year_a", "obs_a"]).join(_areas(layers, "b"), ["year_b", "obs_b"])
+    both = parcels.join(merged(_areas(layers, "a")), ["year_a", "obs_a"]).join(merged(_areas(layers, "b")), ["year_b", "obs_b"])
     return both.withColumn("is_sliver", F.col("area") < sliver_threshold(F.col("area_a"), F.col("area_b"), settings))
 
 
@@ -63,7 +64,7 @@ def residual(flagged: DataFrame, layers: DataFrame, side: str, vintages: Iterabl
     covered = flagged.groupBy(F.col(f"year_{side}").alias("year"), F.col(f"obs_{side}").alias("obs")).agg(
         F.sum("area").alias("covered"), F.sum(F.when(F.col("is_sliver"), F.col("area")).otherwise(0.0)).alias("sliver"), F.sum(F.when(F.col("is_sliver"), 0.0).otherwise(F.col("area"))).alias("transition")
     )
-    out = own.join(covered, ["year", "obs"], "left")
+    out = own.join(merged(covered), ["year", "obs"], "left")
     name = "lost" if side == "a" else "gained"
     return out.select("year", "obs", "unit", "area", F.greatest(F.col("area") - F.coalesce("covered", F.lit(0.0)), F.lit(0.0)).alias(name), F.coalesce("sliver", F.lit(0.0)).alias("sliver"), F.coalesce("transition", F.lit(0.0)).alias("transition"))
 
@@ -75,7 +76,7 @@ def closure(residuals: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def shares(m: DataFrame, layers: DataFrame) -> DataFrame:
-    both = m.join(_areas(layers, "a"), ["year_a", "obs_a"]).join(_areas(layers, "b"), ["year_b", "obs_b"])
+    both = m.join(merged(_areas(layers, "a")), ["year_a", "obs_a"]).join(merged(_areas(layers, "b")), ["year_b", "obs_b"])
     return both.withColumns({"outflow_share": ratio(F.col("area"), F.col("area_a"), 0.0), "inflow_share": ratio(F.col("area"), F.col("area_b"), 0.0)})
 
 
