@@ -33,6 +33,8 @@ LEAST = 0.9
 #: Vectors of a part, pivots at most, their bytes at most, sampled vectors a pivot.
 CELL, PIVOTS, PIVOT_BYTES, SAMPLED = 2048, 1024, 8 << 20, 8
 TILE = 1024
+#: Vectors that are compared with the pivots, and sent to a part, together.
+TOGETHER = 2048
 SLACK = 1e-9  # on distances, so that rounding never loses a pair
 
 
@@ -62,6 +64,75 @@ def padded(rows: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
+class Part:
+    """A part's own vectors, the links that they have and the trees that these make."""
+
+    def __init__(self, least: float) -> None:
+        self.least = least
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.ready = False
+
+    def add(self, *rows: np.ndarray) -> None:
+        self.held.append(rows)
+
+    def some(self) -> bool:
+        """Whether there are own vectors; once all of them are there, they are joined with one another."""
+        if not self.ready and self.held:
+            self.node, self.copies, self.wide, self.x = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            self.held, self.ready = [], True
+            self.links, self.root = np.zeros(len(self.node), np.int64), np.arange(len(self.node))
+            for i in range(0, len(self.node), TILE):
+                for j in range(i, len(self.node), TILE):
+                    hit = self.near(i, self.x[j : j + TILE], self.wide[j : j + TILE])
+                    if j == i:  # each pair once: above the diagonal
+                        hit = np.triu(hit, 1)
+                    if hit.any():
+                        self.links[i : i + TILE] += hit @ self.copies[j : j + TILE]
+                        self.links[j : j + TILE] += self.copies[i : i + TILE] @ hit
+                        for a in np.flatnonzero(hit.any(1)).tolist():
+                            self.unite(i + a, j + np.flatnonzero(hit[a]))
+        return self.ready
+
+    def near(self, i: int, x: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        return (self.x[i : i + TILE] @ x.T >= self.least) & (self.wide[i : i + TILE, None] == wide[None])
+
+    def find(self, k: int) -> int:
+        while self.root[k] != k:
+            self.root[k] = self.root[self.root[k]]
+            k = self.root[k]
+        return int(k)
+
+    def unite(self, one: int, others: np.ndarray) -> None:
+        for b in others[self.root[others] != self.find(one)].tolist():
+            ra, rb = self.find(one), self.find(b)
+            self.root[max(ra, rb)] = min(ra, rb)
+
+    def visited(self, node: np.ndarray, copies: np.ndarray, wide: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        """The visitors that have links here, how many, and an own vector that each is linked with."""
+        links, first = np.zeros(len(node), np.int64), np.full(len(node), -1)
+        for j in range(0, len(node), TILE):
+            for i in range(0, len(self.node), TILE):
+                hit = self.near(i, x[j : j + TILE], wide[j : j + TILE])
+                if not hit.any():
+                    continue
+                self.links[i : i + TILE] += hit @ copies[j : j + TILE]
+                links[j : j + TILE] += self.copies[i : i + TILE] @ hit
+                for b in np.flatnonzero(hit.any(0)).tolist():
+                    with_ = i + np.flatnonzero(hit[:, b])
+                    if first[j + b] < 0:
+                        first[j + b] = with_[0]
+                    self.unite(int(first[j + b]), with_)
+        kept = np.flatnonzero(links > 0)
+        return pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.array(links[kept]), pa.array(self.node[first[kept]])], ["node", "links", "root"])
+
+    def done(self) -> pa.RecordBatch:
+        if not self.some():
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["node", "links", "root"])
+        top = np.array([self.find(k) for k in range(len(self.node))])
+        kept = np.flatnonzero((self.links > 0) | (top != np.arange(len(self.node))))
+        return pa.RecordBatch.from_arrays([pa.array(self.node[kept]), pa.array(self.links[kept]), pa.array(self.node[top[kept]])], ["node", "links", "root"])
+
+
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding)."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -105,17 +176,20 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
         chosen.append(int(far.argmax()))
     pivots = points[chosen]
 
-    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = padded([np.frombuffer(v) for v in batch.column("value").to_pylist()], width)
-        d = apart(x, pivots)
-        return x, d, d.argmin(1)
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        """TOGETHER rows at a time with their vectors, distances to the pivots and nearest pivots."""
+        for k in range(0, batch.num_rows, TOGETHER):
+            rows = batch.slice(k, TOGETHER)
+            x = padded([np.frombuffer(v) for v in rows.column("value").to_pylist()], width)
+            d = apart(x, pivots)
+            yield rows, x, d, d.argmin(1)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach, n = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
         for batch in batches:
-            _, d, home = read(batch)
-            np.maximum.at(reach, home, d.min(1))
-            n += np.bincount(home, minlength=len(pivots))
+            for _, _, d, home in read(batch):
+                np.maximum.at(reach, home, d.min(1))
+                n += np.bincount(home, minlength=len(pivots))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots))), pa.array(reach), pa.array(n)], ["cell", "reach", "n"])
 
     known = {r["cell"]: (r["reach"], r["n"]) for r in reps.mapInArrow(homes, "cell long, reach double, n long").groupBy("cell").agg(F.max("reach").alias("reach"), F.sum("n").alias("n")).collect()}
@@ -125,73 +199,48 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, d, home = read(batch)
-            node, copies, wide = (batch.column(c).to_numpy() for c in ("node", "copies", "width"))
-            mine = d[np.arange(len(x)), home]
-            cell = np.arange(len(pivots))
-            turn = np.where((home[:, None] + cell[None]) % 2 == 0, home[:, None] < cell[None], home[:, None] > cell[None])
-            out = turn & (d <= reach[None] + radius + SLACK) & (d <= mine[:, None] + 2 * radius + SLACK)
-            spot = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            to: list[tuple[int, np.ndarray, bool]] = []
-            own_part = base[home] + spot % parts[home]
-            for p in np.unique(own_part):
-                to.append((int(p), np.flatnonzero(own_part == p), True))
-            for c in range(len(pivots)):
-                if (who := np.flatnonzero(out[:, c])).size:
-                    to += [(int(p), who, False) for p in range(base[c], base[c + 1])]
-                # parts of one cell meet too: those of a part go to the later ones
-                if parts[c] > 1:
+            for rows, x, d, home in read(batch):
+                fixed = [rows.column(c).to_numpy().astype(np.int64) for c in ("node", "copies", "width")]
+                mine = d[np.arange(len(x)), home]
+                cell = np.arange(len(pivots))
+                turn = np.where((home[:, None] + cell[None]) % 2 == 0, home[:, None] < cell[None], home[:, None] > cell[None])
+                out = turn & (d <= reach[None] + radius + SLACK) & (d <= mine[:, None] + 2 * radius + SLACK)
+                spot = (fixed[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                own_part = base[home] + spot % parts[home]
+
+                def row(p: int, who: np.ndarray, is_home: bool) -> pa.RecordBatch:
+                    values = [v[who].tobytes() for v in (*fixed, x)]  # noqa: B023
+                    return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([is_home]), *(pa.array([v], pa.binary()) for v in values)], ["part", "home", "node", "copies", "width", "value"])
+
+                for p in np.unique(own_part).tolist():
+                    yield row(p, np.flatnonzero(own_part == p), True)
+                for c in range(len(pivots)):
+                    # parts of one cell meet too: those of a part go to the later ones
                     for p in range(base[c], base[c + 1]):
-                        if (who := np.flatnonzero((own_part >= base[c]) & (own_part < p))).size:
-                            to.append((p, who, False))
-            names = ["part", "home", "node", "copies", "width", "value"]
-            columns = [[p for p, _, _ in to], [h for _, _, h in to], *([v[w].astype(np.int64).tobytes() for _, w, _ in to] for v in (node, copies, wide)), [x[w].tobytes() for _, w, _ in to]]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), *(pa.array(c, pa.binary()) for c in columns[2:])], names)
+                        if (who := np.flatnonzero(out[:, c] | (own_part >= base[c]) & (own_part < p))).size:
+                            yield row(p, who, False)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = {}
+        """A part's own vectors come first and are held; of those sent to it a row at a time is."""
+        part: int | None = None
+        own: Part | None = None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "home", "node", "copies", "width", "value")), strict=True):
-                by.setdefault(row[0], []).append(row[1:])
-        for p in sorted(by):
-            got = sorted(by.pop(p), key=lambda r: not r[0])  # the part's own vectors first
-            node, copies, wide = (np.concatenate([np.frombuffer(r[k], np.int64) for r in got]) for k in (1, 2, 3))
-            x = np.concatenate([np.frombuffer(r[4]).reshape(-1, width) for r in got])
-            n = sum(len(r[1]) // 8 for r in got if r[0])
-            links, root = np.zeros(len(node), np.int64), np.arange(len(node))
-
-            def find(k: int) -> int:
-                while root[k] != k:  # noqa: B023
-                    root[k] = root[root[k]]  # noqa: B023
-                    k = root[k]  # noqa: B023
-                return int(k)
-
-            for i in range(0, n, TILE):
-                e = min(i + TILE, n)
-                for j in range(i, len(node), TILE):
-                    f = min(j + TILE, len(node))
-                    hit = (x[i:e] @ x[j:f].T >= least) & (wide[i:e, None] == wide[None, j:f])
-                    if j == i:  # each pair once: above the diagonal
-                        hit = np.triu(hit, 1)
-                    if not hit.any():
-                        continue
-                    links[i:e] += hit @ copies[j:f]
-                    links[j:f] += copies[i:e] @ hit
-                    for a in np.flatnonzero(hit.any(1)).tolist():
-                        ra = find(i + a)
-                        for b in np.flatnonzero(hit[a] & (root[j:f] != ra)).tolist():
-                            rb = find(j + b)
-                            if ra != rb:
-                                ra, rb = min(ra, rb), max(ra, rb)
-                                root[rb] = ra
-            top = np.array([find(k) for k in range(len(node))])
-            keep = np.flatnonzero((links > 0) | (top != np.arange(len(node))))
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(links[keep]), pa.array(node[top[keep]])], ["node", "links", "root"])
+            for p, is_home, *blobs in zip(*(batch.column(c) for c in ("part", "home", "node", "copies", "width", "value")), strict=True):
+                if p.as_py() != part:
+                    if own:
+                        yield own.done()
+                    part, own = p.as_py(), Part(least)
+                node, copies, wide = (np.frombuffer(b.as_buffer(), np.int64) for b in blobs[:3])
+                x = np.frombuffer(blobs[3].as_buffer()).reshape(-1, width)
+                if is_home.as_py():
+                    own.add(node, copies, wide, x)
+                elif own.some():
+                    yield own.visited(node, copies, wide, x)
+        if own:
+            yield own.done()
 
     sent = reps.mapInArrow(send, "part int, home boolean, node binary, copies binary, width binary, value binary")
-    found = materialise(sent.repartition(int(base[-1]), "part").mapInArrow(join, "node long, links long, root long"), "links")
+    found = materialise(sent.repartition(int(base[-1]), "part").sortWithinPartitions("part", F.desc("home")).mapInArrow(join, "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     state = classes.join(links, "node", "left").join(comps, "node", "left").select("h1", "h2", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
