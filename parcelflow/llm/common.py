@@ -50,6 +50,11 @@ def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join by shuffles: blobs from Python have no size in a plan, which would broadcast them from the driver."""
+    return df.hint("merge")
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """A setting of the session while a step is written; here, that Spark drops the step's shuffle files at its end."""

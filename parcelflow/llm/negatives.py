@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import materialise
+from parcelflow.llm.common import materialise, merged
 
 #: Rows a list should have, lists and bytes of their centroids at most, sampled rows a list, rounds of k-means.
 LIST, LISTS, LIST_BYTES, SAMPLED, ROUNDS = 512, 1024, 8 << 20, 16, 8
@@ -258,11 +258,11 @@ def best(found: DataFrame, k: int) -> DataFrame:
 
 def searched(anchors: DataFrame, stored: DataFrame, index: Index, k: int, share: tuple[int, int] | None) -> DataFrame:
     """anchor, search, score, id, rank of each search's first k rows, by two waves over the lists."""
-    wave = lambda a, first: scored(visits(a, index, first, share).join(stored, "segment"), index, k, share is not None)
+    wave = lambda a, first: scored(visits(a, index, first, share).join(merged(stored), "segment"), index, k, share is not None)
     one = materialise(best(wave(anchors, True), k), "first-wave")
     last = one.filter(F.col("rank") == k).groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("search", "score"))).alias("last"))  # an entry a search
     kth = F.transform("scores", lambda _, i: F.try_element_at("last", i))
-    two = wave(anchors.join(last, "anchor", "left").withColumn("kth", kth).drop("last"), False)
+    two = wave(anchors.join(merged(last), "anchor", "left").withColumn("kth", kth).drop("last"), False)
     return materialise(best(one.drop("rank").unionByName(two), k), "second-wave")
 
 
@@ -283,11 +283,11 @@ def mined(rows: DataFrame, anchor: Column, positives: int = POSITIVES, negatives
     asked = materialise(asked.select(F.monotonically_increasing_id().alias("anchor"), "vec_id", "label", "value"), "anchors")
     near = searched(asked.withColumn("scores", F.array(F.lit(0).cast("long"))), stored, index, positives, None)
     ranked = F.transform(F.sort_array(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"])  # as many as there are positives
-    hard = searched(asked.join(near.groupBy("anchor").agg(ranked.alias("scores")), "anchor"), stored, index, negatives, share)
+    hard = searched(asked.join(merged(near.groupBy("anchor").agg(ranked.alias("scores"))), "anchor"), stored, index, negatives, share)
     pairs = near.select("anchor", (F.col("rank") - 1).alias("search"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     found = hard.select("anchor", "search", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     named = asked.select("anchor", F.col("vec_id").alias("anchor_id"))
-    return found.join(pairs, ["anchor", "search"]).join(named, "anchor").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return found.join(merged(pairs), ["anchor", "search"]).join(merged(named), "anchor").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
