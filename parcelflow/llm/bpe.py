@@ -25,8 +25,10 @@ from parcelflow.llm.common import CACHES, only
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: White space to str.split() but not to the library.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Distinct chunks that a worker keeps; beyond that it starts anew, so that its memory is bounded.
-KEEP = 1_000_000
+#: Distinct chunks, and words, that a worker keeps twice at most: so many new ones, and those before them; and pairs of tokens.
+#: Most chunks are met once only, so more of them would take memory and save little.
+KEEP = 100_000
+PAIRS = 500_000
 #: Longer words are encoded by merging rather than through the trie, whose depth is thereby bounded.
 LONGEST = 400
 
@@ -45,6 +47,27 @@ def byte_symbols() -> list[str]:
     return out
 
 
+class Recent:
+    """Encodings by text: the latest ones, and those of the generation before, which are taken over when they are met again."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, texts: set[str]) -> set[str]:
+        """Those of the texts that neither generation has; all others are then in the present one."""
+        if len(self.now) > KEEP:
+            self.before, self.now = self.now, {}
+        lacking = texts.difference(self.now)
+        old = [t for t in lacking if t in self.before]
+        for t in old:
+            self.now[t] = self.before.pop(t)
+        return lacking.difference(old)
+
+    def clear(self) -> None:
+        self.now, self.before = {}, {}
+
+
 class WordBpe:
     """A vocabulary file with word-end symbols: NFC, lower case, words of its own pattern."""
 
@@ -86,8 +109,7 @@ class WordBpe:
         self.order = {self.made[p]: k for p, k in self.rank.items()}
         self.stands: dict[int, bool] = {}
         self.follows: dict[tuple[int, int], bool] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.chunks, self.known = Recent(), Recent()
 
     def merged(self, symbols: Iterable[int]) -> list[int]:
         """Plain merging, lowest rank first and leftmost of equals; in O(n^2), for long words and for pairs of tokens."""
@@ -143,7 +165,7 @@ class WordBpe:
         Undoes the later of the two tokens' merges step by step; the border holds if at no step the two tokens that
         touch it would have merged before the merge that is undone next.
         """
-        if len(self.follows) > 2_000_000:
+        if len(self.follows) > PAIRS:
             self.follows.clear()
         rank, parts, order = self.rank, self.parts, self.order
         left, right, known = a, t, self.stand(a) and self.stand(t)
@@ -220,17 +242,14 @@ class WordBpe:
             return [low[:-1], low[-1]]
         return self.words.findall(low)
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, found: set[str]) -> None:
         """Encodes the chunks that are not known yet."""
-        if len(self.chunks) > KEEP:
-            self.chunks.clear()
-        if len(self.known) > KEEP:
-            self.known.clear()
-        new = {c: self.pieces(c) for c in chunks.difference(self.chunks)}
-        known = self.known
-        known.update(self.encode_words({w for ws in new.values() for w in ws}.difference(known)))
+        new = {c: self.pieces(c) for c in self.chunks.missing(found)}
+        words = self.known.missing({w for ws in new.values() for w in ws})
+        known, chunks = self.known.now, self.chunks.now
+        known.update(self.encode_words(words))
         for c, ws in new.items():
-            self.chunks[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+            chunks[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
 
     def split(self, text: str) -> list[str]:
         """The chunks of a text without special tokens."""
@@ -254,7 +273,7 @@ class WordBpe:
             for chunks in parts[::2]:
                 new.update(chunks)
         self.learn(new)
-        get = self.chunks.__getitem__
+        get = self.chunks.now.__getitem__
         return [b"".join(b"".join(map(get, p)) if k % 2 == 0 else struct.pack("<I", self.special[p]) for k, p in enumerate(parts)) for parts in split]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:

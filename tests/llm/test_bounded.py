@@ -1,8 +1,9 @@
 """What a worker or the driver holds doesn't grow with all vectors."""
 
 import numpy as np
+import public_tokenizers
 
-from parcelflow.llm import embeddings, negatives
+from parcelflow.llm import bpe, embeddings, negatives
 from pyspark.sql import functions as F
 
 
@@ -38,3 +39,15 @@ def test_vectors_of_a_search_are_not_broadcast(spark):
     v = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
     found = negatives.mined(v.select("vec_id", "label", negatives.integers(F.col("embedding")).alias("q")), F.col("vec_id") % 50 == 0)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_worker_keeps_so_many_words_whatever_it_has_seen(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"common w{k}x{j}," for j in range(200)) for k in range(60)]
+    whole = bpe.WordBpe(path).encode_batch(texts)
+    monkeypatch.setattr(bpe, "KEEP", 1000)
+    model = bpe.WordBpe(path)
+    for k, text in enumerate(texts):
+        assert model.encode_batch([text]) == [whole[k]]
+        assert all(len(c.now) + len(c.before) <= 2 * (1000 + 400) for c in (model.chunks, model.known))
+        assert "common" in model.chunks.now  # what is met again stays
