@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelflow.llm.common import CACHES, documents, fresh, materialise, only, slices
+from parcelflow.llm.common import documents, fresh, materialise, only, slices
 from parcelflow.llm.graph import beside, components, stars
 from parcelflow.llm.suffix import BASE, blobs, utf8
 
@@ -67,31 +67,42 @@ NO_ID = (1 << 63) - 1
 #: often one must occur among the documents that are read together to be counted.
 FREQUENT, MOST_FREQUENT, SEVERAL = 0.003, 200_000, 3
 
-#: Bytes of a text whose words are made at once, and distinct words whose hashes a worker keeps.
-PIECE, KEEP = 1 << 20, 100_000
+#: Bytes of a text whose words are made at once, and of a word that is not hashed by itself.
+PIECE, LONG = 1 << 20, 256
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of words, and masks of so many first bytes.
+LETTER = np.array([not BLANK.match(bytes([x])) for x in range(256)])
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 #: Bits of a signature's hash that travel; those before them follow from the bucket, but for a few.
 LOW = 40
 
 
-class Words(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEEP:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_words = Words()
-CACHES["jaccard"] = _words.clear
-
-
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def hashed(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text in lower case, by eight bytes of all of them at once; words of eight bytes at most don't collide."""
+    padded = text + bytes(8)
+    word = np.zeros(len(text) + 2, bool)
+    word[1:-1] = LETTER[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    window = np.ndarray((len(text) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    h = mix(window[start] & FIRST[np.minimum(size, 8)] ^ mix(size.astype(np.uint64)))
+    for k in range(8, LONG, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        h[more] = mix(h[more] * np.uint64(BASE) + (window[start[more] + k] & FIRST[np.minimum(size[more] - k, 8)]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[start[i] : start[i] + size[i]])
+    return h
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -100,8 +111,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     while at < len(text):
         cut = BLANK.search(text, at + PIECE) if at + PIECE < len(text) else None
         end = cut.start() if cut else len(text)
-        words = text[at:end].lower().split()
-        out.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
+        out.append(hashed(text[at:end].lower()))
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -115,7 +125,8 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     h = np.full(n, min(words, len(w)), np.uint64)
     for k in range(min(words, len(w))):
         h = mix(h * np.uint64(BASE) + w[k : k + n])
-    return np.unique(h)
+    h.sort()
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def digest(h: np.ndarray) -> tuple[int, int]:
@@ -227,7 +238,7 @@ def met(texts: list[str | None], bands: Bands, words: int, buckets: int, frequen
                     hashes.append(found)
                     places.append(np.full(len(found), place(key, band - bands.band(len(s)))))
     h, p = np.concatenate(hashes), np.concatenate(places)
-    order = np.lexsort((p, h))
+    order = np.argsort(h)  # any of the places that share a hash may stand for them
     h, p = h[order], p[order]
     pairs, first = meeting(h, p)
     h, p = h[first], p[first]
@@ -277,7 +288,7 @@ def meetings(docs: DataFrame, words: int, similarity: Fraction, buckets: int, fr
         if held:
             low, high, p = (np.concatenate(c) for c in zip(*held, strict=True))
             h = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-            order = np.lexsort((p, h))
+            order = np.argsort(h)
             yield edges(meeting(h[order], p[order])[0])
 
     def edges(pairs: np.ndarray) -> pa.RecordBatch:

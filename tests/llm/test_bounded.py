@@ -1,9 +1,11 @@
 """What a worker or the driver holds doesn't grow with all vectors."""
 
+import random
+
 import numpy as np
 import public_tokenizers
 
-from parcelflow.llm import bpe, embeddings, negatives
+from parcelflow.llm import bpe, embeddings, jaccard, negatives
 from pyspark.sql import functions as F
 
 
@@ -51,3 +53,13 @@ def test_a_worker_keeps_so_many_words_whatever_it_has_seen(monkeypatch):
         assert model.encode_batch([text]) == [whole[k]]
         assert all(len(c.now) + len(c.before) <= 2 * (1000 + 400) for c in (model.chunks, model.known))
         assert "common" in model.chunks.now  # what is met again stays
+
+
+def test_words_are_hashed_together_and_none_is_kept():
+    rng = random.Random(1)
+    texts = [b"", b" ", b"x" * 300 + b" y", b"abcdefgh abcdefg\0 abcdefgh\0 ABCDEFGHI abcdefghi", *(bytes(rng.choices(b"abAB \t\n\0\xff", k=rng.randint(0, 60))) for _ in range(500))]
+    seen = {}
+    for t in texts:
+        words, found = t.lower().split(), jaccard.word_hashes(t).tolist()
+        assert len(words) == len(found) and all(seen.setdefault(h, w) == w for h, w in zip(found, words, strict=True))
+    assert len(set(seen.values())) == len(seen) and not hasattr(jaccard, "_words")
