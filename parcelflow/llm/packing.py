@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None) ->
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe.load(path)
+        model = bpe.load(path, bpe.LibraryBpe)
         for batch in batches:
             for part in slices(batch, size=WORDY_BYTES):
                 rows: list[tuple] = []

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+from tokenizers import Tokenizer
 
 from parcelflow.llm import bpe, embeddings, jaccard, negatives
 from pyspark.sql import functions as F
@@ -63,3 +64,14 @@ def test_words_are_hashed_together_and_none_is_kept():
         words, found = t.lower().split(), jaccard.word_hashes(t).tolist()
         assert len(words) == len(found) and all(seen.setdefault(h, w) == w for h, w in zip(found, words, strict=True))
     assert len(set(seen.values())) == len(seen) and not hasattr(jaccard, "_words")
+
+
+def test_packing_takes_the_librarys_ids_without_the_tries_tables():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Über naïve ΣΑΣ's, don't 12345 <|endoftext|>x<|startoftext|> ", "", "\x1c \x85  tab\tand\x1fmore 日本語 é é 🙂🙂", "x" * 3000 + " " + "ab.cd," * 900, "<| |> &lt; \x00 �"]
+    model = bpe.load(path, bpe.LibraryBpe)
+    assert not hasattr(model, "starts")
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    whole.no_padding()
+    assert model.encode_batch(texts) == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
