@@ -51,15 +51,19 @@ def byte_symbols() -> list[str]:
 class Recent:
     """Encodings by text: the latest ones, and those of the generation before, which are taken over when they are met again."""
 
-    def __init__(self, times: int = 1) -> None:
+    def __init__(self, times: float = 1) -> None:
         self.times = times
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def missing(self, texts: set[str]) -> set[str]:
-        """Those of the texts that neither generation has; all others are then in the present one."""
+    def turn(self) -> None:
+        """Begins a new generation if the present one is full."""
         if len(self.now) > self.times * KEEP:
             self.before, self.now = self.now, {}
+
+    def missing(self, texts: set[str]) -> set[str]:
+        """Those of the texts that neither generation has; all others are then in the present one."""
+        self.turn()
         lacking = texts.difference(self.now)
         old = [t for t in lacking if t in self.before]
         for t in old:
@@ -313,21 +317,27 @@ class LibraryBpe(Chunked):
         with open(path, encoding="utf-8") as f:
             super().__init__(json.load(f))
         self.model = Tokenizer.from_file(path).model
-        self.chunks = Recent(2)  # there are no words beside them
+        self.chunks, self.known = Recent(1.5), Recent(1.5)  # without the tables there is room
         self.letters = str.maketrans(dict(enumerate(byte_symbols())))
 
+    def clear(self) -> None:
+        super().clear()
+        self.known.clear()
+
     def encode_word(self, word: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))]  # a character a byte
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, found: set[str]) -> None:
-        missing, known = self.chunks.missing(found), {}
+        missing = self.chunks.missing(found)
+        self.known.turn()
         encode, pieces, chunks = self.encode_word, self.pieces, self.chunks.now
+        known, before = self.known.now, self.known.before
         for c in missing:
             out = []
             for w in pieces(c):
                 if (x := known.get(w)) is None:
-                    x = known[w] = encode(w)
+                    x = known[w] = before.get(w) or encode(w)
                 out.append(x)
             chunks[c] = out[0] if len(out) == 1 else b"".join(out)
 
