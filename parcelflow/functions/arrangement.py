@@ -8,6 +8,9 @@ of what is inside, the pieces with the inside on one side only are the boundary
 Edges meet by strips of x within their group, as many as its edges call for; strips with too many of them are split again.
 All of that is joins and sums.  Only the last step, from the boundary of one feature to its rings, walks along them: it
 holds one feature, which is one row before and after.
+
+Groups of few edges, which most are, need no strips: `arranged` takes many of them at once in the task that their shapes
+were sent to (`local`), with the same rules.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geometry as G
+from parcelflow.functions import local
 from parcelflow.sources.steps import merged, settle
 
 #: Digits of coordinates that are kept; points nearer than that are one.
@@ -35,8 +39,17 @@ KEEP, CUT = 0, 1
 
 def edges(polygons: DataFrame, group: str, owner: str, role: int, points: str = "points") -> DataFrame:
     """g, role, owner, part, ring and ends of all edges, as they are drawn."""
+    return _edges(shapes(polygons, group, owner, role, points))
+
+
+def shapes(polygons: DataFrame, group: str, owner: str, role: int, points: str = "points") -> DataFrame:
+    """g, role, owner and points of polygons that are arranged together."""
+    return polygons.select(F.col(group).alias("g"), F.lit(role).alias("role"), F.col(owner).cast("string").alias("owner"), F.col(points).alias("points"))
+
+
+def _edges(drawn: DataFrame) -> DataFrame:
     exact = lambda c: (F.rint(F.col(c) * 10**DIGITS) / 10**DIGITS).alias(c)
-    e = polygons.select(F.col(group).alias("g"), F.lit(role).alias("role"), F.col(owner).cast("string").alias("owner"), F.inline(G.segments(F.col(points))))
+    e = drawn.select("g", "role", "owner", F.inline(G.segments(F.col("points"))))
     return e.select("g", *RING, *(exact(c) for c in ENDS)).filter("x0 <> x1 or y0 <> y1")
 
 
@@ -161,13 +174,51 @@ def rings(drawn: DataFrame) -> DataFrame:
     kind = dict(drawn.dtypes)["g"]
 
     def work(key: tuple, rows: pa.Table) -> pa.Table:
-        walked = list(_walked([tuple(r) for r in zip(*(rows.column(c).to_pylist() for c in ENDS), strict=True)]))
-        points = [{"part": p, "ring": r, "x": x, "y": y} for p, r, ring in _parts(walked) for x, y in ring]
+        points = _points([tuple(r) for r in zip(*(rows.column(c).to_pylist() for c in ENDS), strict=True)])
         return pa.table({"g": rows.column("g")[:1], "points": pa.array([points], pa.list_(pa.struct([("part", pa.int32()), ("ring", pa.int32()), ("x", pa.float64()), ("y", pa.float64())])))})
 
     return drawn.groupBy("g").applyInArrow(work, f"g {kind}, points {G.POINTS}")
 
 
+def arranged(shapes: DataFrame, inside: Callable[[Column, Column], Column], walk: str | None = None, limits: tuple[int, int] = (local.SMALL, local.PIECES)) -> DataFrame:
+    """g, changed, area, length and points of each group of shapes (g, role, owner, points) that encloses something or has changed.
+
+    changed says whether the boundary is other than the edges as drawn; points are there for all groups, for the changed
+    ones or for none (walk: all, changed or None).  Groups are brought together once, by their key, and small ones are
+    arranged where they are, many at a time; those that are not small (by their edges and pieces) go by strips.
+    """
+    kind, every = dict(shapes.dtypes)["g"], walk == "all"
+    digits, tour = DIGITS, (lambda rows: _points(rows)) if walk else None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return local.stream(batches, inside, digits, tour, every, limits)
+
+    columns = f"g {kind}, big boolean, changed boolean, limits long, area double, length double, points {G.POINTS}"
+    rows = shapes.select("g", "role", F.col("owner").cast("string").alias("owner"), "points")
+    found = settle(rows.repartition("g").sortWithinPartitions("g", "role", "owner").mapInArrow(work, columns), "arranged")
+    out = found.filter("not big and (limits > 0 or changed)").select("g", "changed", "area", "length", "points")
+    big = found.filter("big").select("g")
+    if big.isEmpty():
+        return out
+    drawn = _edges(rows.join(merged(big), "g", "left_semi"))
+    parts = settle(pieces(drawn), "pieces")
+    around = settle(boundary(parts, inside), "boundary")
+    n = drawn.groupBy("g").agg(F.count("*").alias("edges"))
+    cut = parts.groupBy("g").agg(F.sum("times").alias("pieces"))
+    now = around.groupBy("g").agg(F.count("*").alias("limits"))
+    same = F.col("edges").eqNullSafe(F.col("pieces")) & F.col("edges").eqNullSafe(F.col("limits"))
+    flags = n.join(merged(cut), "g", "left").join(merged(now), "g", "left").select("g", (~same).alias("changed"), F.coalesce("limits", F.lit(0)).alias("limits")).filter("limits > 0 or changed")
+    flags = flags.join(merged(measures(around)), "g", "left").select("g", "changed", F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce("length", F.lit(0.0)).alias("length"))
+    if not walk:
+        return out.unionByName(flags.withColumn("points", F.lit(None).cast(G.POINTS)))
+    wanted = around if every else around.join(merged(flags.filter("changed").select("g")), "g", "left_semi")
+    return out.unionByName(flags.join(merged(rings(wanted)), "g", "left"))
+
+
+def _points(drawn: list[tuple]) -> list[dict]:
+    return [{"part": p, "ring": r, "x": x, "y": y} for p, r, ring in _parts(list(_walked(drawn))) for x, y in ring]
+
+
 def _walked(drawn: list[tuple]) -> Iterator[list[tuple[float, float]]]:
     """Rings along edges; where several go on from a point, the one first met clockwise keeps to the same face."""
     out = defaultdict(list)

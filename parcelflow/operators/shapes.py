@@ -18,15 +18,8 @@ def repaired(layer: DataFrame, key: str = "geom_obs_id") -> DataFrame:
     rings drawn twice count once.  A feature is left as it is if its edges meet at their ends only and all of them have
     the feature on one side.  Null and empty points stay; rows with equal keys are not told apart.
     """
-    drawn = A.edges(layer.select(key, "points"), key, key, A.KEEP)
-    parts = settle(A.pieces(drawn), "pieces")
-    limits = settle(A.boundary(parts, lambda kept, cut: kept), "boundary")
-    n = drawn.groupBy("g").agg(F.count("*").alias("edges"))
-    cut = parts.groupBy("g").agg(F.sum("times").alias("pieces"))
-    now = limits.groupBy("g").agg(F.count("*").alias("limits"))
-    changed = n.join(merged(cut), "g", "left").join(merged(now), "g", "left").filter(~(F.col("edges").eqNullSafe(F.col("pieces")) & F.col("edges").eqNullSafe(F.col("limits")))).select("g")
-    made = A.rings(limits.join(merged(changed), "g", "left_semi")).withColumnRenamed("points", "made")
-    back = layer.join(merged(changed.withColumn("was_repaired", F.lit(True)).join(merged(made), "g", "left")), F.col(key) == F.col("g"), "left").drop("g")
+    changed = A.arranged(A.shapes(layer, key, key, A.KEEP), lambda kept, cut: kept, "changed").filter("changed").select("g", F.lit(True).alias("was_repaired"), F.col("points").alias("made"))
+    back = layer.join(merged(changed), F.col(key) == F.col("g"), "left").drop("g")
     none = F.array().cast(G.POINTS)
     back = back.withColumns({"was_repaired": F.coalesce("was_repaired", F.lit(False)), "made": F.when(F.col("was_repaired"), F.coalesce("made", none)).otherwise(F.col("points"))})
     before, after = G.area(F.col("points")), G.area(F.col("made"))
@@ -34,11 +27,11 @@ def repaired(layer: DataFrame, key: str = "geom_obs_id") -> DataFrame:
     return back.withColumn("repair_area_delta_pct", delta).drop("points").withColumnRenamed("made", "points").select(*layer.columns, "was_repaired", "repair_area_delta_pct")
 
 
-def remainder(a: DataFrame, b: DataFrame, pairs: DataFrame, key_a: str, key_b: str) -> DataFrame:
-    """g (a's key) and the boundary of what each feature of a has outside all those of b that it is paired with."""
+def remainder(a: DataFrame, b: DataFrame, pairs: DataFrame, key_a: str, key_b: str, walk: str | None = None) -> DataFrame:
+    """g (a's key), area, length and, with walk, points of what each feature of a has outside all those of b that it is paired with."""
     cut = pairs.select(F.col(key_a).alias("__g"), key_b).join(merged(b.select(key_b, "points")), key_b)
-    rows = A.edges(a, key_a, key_a, A.KEEP).unionByName(A.edges(cut, "__g", key_b, A.CUT))
-    return A.boundary(settle(A.pieces(rows), "pieces"), lambda kept, cut: kept & ~cut)
+    rows = A.shapes(a, key_a, key_a, A.KEEP).unionByName(A.shapes(cut, "__g", key_b, A.CUT))
+    return A.arranged(rows, lambda kept, cut: kept & ~cut, walk)
 
 
 def residual_shapes(a: DataFrame, b: DataFrame, key_a: str = "obs_a", key_b: str = "obs_b") -> DataFrame:
@@ -48,7 +41,7 @@ def residual_shapes(a: DataFrame, b: DataFrame, key_a: str = "obs_a", key_b: str
     """
     pairs = settle(G.meeting_boxes(a, b, key_a, key_b), "pairs")
     met = pairs.select(key_a).distinct()
-    left = A.rings(remainder(a.join(merged(met), key_a, "left_semi"), b, pairs, key_a, key_b)).withColumnRenamed("g", key_a)
+    left = remainder(a.join(merged(met), key_a, "left_semi"), b, pairs, key_a, key_b, "all").filter("points is not null").select(F.col("g").alias(key_a), "points")
     return left.unionByName(a.join(merged(met), key_a, "left_anti").select(key_a, "points")).withColumn("area", G.area(F.col("points"))).filter("area > 0")
 
 
@@ -60,7 +53,7 @@ def union_areas(layer: DataFrame, key: str = "geom_obs_id", by: str = "source_ye
     same = pairs.join(merged(own.select(key, by)), key).join(merged(other.select("__other", "__by")), "__other").filter(F.col(by).eqNullSafe(F.col("__by")))
     same = settle(same.select(key, "__other"), "pairs")
     met = same.select(key).distinct()
-    left = A.measures(remainder(own.join(merged(met), key, "left_semi"), other, same, key, "__other")).select(F.col("g").alias(key), "area")
+    left = remainder(own.join(merged(met), key, "left_semi"), other, same, key, "__other").select(F.col("g").alias(key), "area")
     rest = own.join(merged(met), key, "left_anti").select(key, by, G.area(F.col("points")).alias("area"))
     return own.select(key, by).join(merged(left), key).unionByName(rest.select(key, by, "area")).groupBy(by).agg(F.sum("area").alias("union_area"))
 
@@ -69,8 +62,8 @@ def common_boundaries(a: DataFrame, b: DataFrame, pairs: DataFrame, key_a: str,
     """key_a, key_b, area and boundary (the length of the intersection's boundary) of pairs that have area in common, and the distance of their centroids."""
     one = pairs.join(merged(a.select(key_a, "points")), key_a).withColumn("__g", F.struct(key_a, key_b))
     two = pairs.join(merged(b.select(key_b, "points")), key_b).withColumn("__g", F.struct(key_a, key_b))
-    parts = settle(A.pieces(A.edges(one, "__g", key_a, A.KEEP).unionByName(A.edges(two, "__g", key_b, A.CUT))), "pieces")
-    found = A.measures(A.boundary(parts, lambda kept, cut: kept & cut)).filter(F.col("area") > G.NOTHING).select("g.*", "area", F.col("length").alias("boundary"))
+    both = A.shapes(one, "__g", key_a, A.KEEP).unionByName(A.shapes(two, "__g", key_b, A.CUT))
+    found = A.arranged(both, lambda kept, cut: kept & cut).filter(F.col("area") > G.NOTHING).select("g.*", "area", F.col("length").alias("boundary"))
     middle = lambda d, k, t: G.centroids(G.edge_table(d, k), k).select(k, F.col("cx").alias(f"__x{t}"), F.col("cy").alias(f"__y{t}"))
     dx, dy = F.col("__xa") - F.col("__xb"), F.col("__ya") - F.col("__yb")
     return found.join(merged(middle(a, key_a, "a")), key_a).join(merged(middle(b, key_b, "b")), key_b).select(key_a, key_b, "area", "boundary", F.sqrt(dx * dx + dy * dy).alias("distance"))

@@ -147,3 +147,51 @@ def test_strips_stay_small(spark, monkeypatch):
     dealt = A.Strips(rows).of(rows, F.least("x0", "x1"), F.greatest("x0", "x1"))
     assert dealt.select("strip", *A.ENDS).distinct().groupBy("strip").count().agg(F.max("count")).first()[0] > 2000
     assert dealt.groupBy("strip", "split").count().agg(F.max("count")).first()[0] <= 2 * A.CROWDED
+
+
+@pytest.mark.parametrize("small", [(0, 0), (12, 20)])
+def test_small_groups_are_arranged_where_they_are_as_by_strips(spark, monkeypatch, small):
+    """By strips alone, by either as groups have few edges or few pieces, and in place alone: one result, and no strips written for it."""
+    rng = random.Random(11)
+    left = {f"a{k}": blob(rng) for k in range(6)} | ODD
+    right = {f"b{k}": blob(rng) for k in range(5)} | {"same": ODD["square"], "bow": ODD["bow"], "star": ODD["star"]}
+    a, b = frame(spark, [*left.items(), ("none", []), ("null", None)], "obs_a"), frame(spark, list(right.items()), "obs_b")
+
+    def results():
+        pairs = G.meeting_boxes(a, b, "obs_a", "obs_b")
+        cut = {(r.obs_a, r.obs_b): (round(r.area, 6), round(r.boundary, 6), round(r.distance, 6)) for r in S.common_boundaries(a, b, pairs, "obs_a", "obs_b").collect()}
+        whole = lambda points: F.array_sort(F.transform(points, lambda p: F.struct(F.round(p["x"], 6), F.round(p["y"], 6))))
+        rest = {r.obs_a: r[1:] for r in S.residual_shapes(a, b).select("obs_a", F.round("area", 6), G.n_parts(F.col("points")), whole(F.col("points"))).collect()}
+        fixed = {r.obs_a: r[1:] for r in S.repaired(a, "obs_a").select("obs_a", "was_repaired", F.round("repair_area_delta_pct", 6), whole(F.col("points"))).collect()}
+        return cut, rest, fixed
+
+    written, settle = [], A.settle
+    monkeypatch.setattr(A, "settle", lambda df, label: (written.append(label), settle(df, label))[1])
+    want = results()
+    assert set(written) == {"arranged"} and all(want)
+    monkeypatch.setattr(A, "arranged", by_limits(A.arranged, small))
+    got = results()
+    assert got == want and "strips" in written
+
+
+def by_limits(arranged, limits):
+    """arranged() with other limits, which its tasks get by value."""
+
+    def work(shapes, inside, walk=None):
+        return arranged(shapes, inside, walk, limits)
+
+    return work
+
+
+def test_a_group_over_many_batches_is_only_named(spark):
+    n = 500
+    box = lambda k: polygon((0, 0, [(k, 0), (k + 1.5, 0), (k + 1.5, 1), (k, 1)]))
+    wide = polygon((0, 0, [(-1, -1), (n + 2, -1), (n + 2, 2), (-1, 2)]))
+    a = frame(spark, [("before", box(3)), ("wide", wide), ("x", box(5))], "obs_a")
+    b = frame(spark, [(f"b{k}", box(k)) for k in range(n)], "obs_b")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rest = {r.obs_a: r.area for r in S.residual_shapes(a, b).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(rest) == {"wide"} and math.isclose(rest["wide"], 3 * (n + 3) - (n + 0.5), abs_tol=1e-4)
