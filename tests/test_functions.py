@@ -123,3 +123,12 @@ def test_equal_area(spark):
     lon, lat = G.lambert_inverse(F.lit(4_000_000.0), F.lit(4_000_000.0), 12.47, 35.17, 24.0, 80.0, 4_000_000.0, 4_000_000.0)
     r = spark.range(1).select(lon.alias("lon"), lat.alias("lat")).first()
     assert math.isclose(r.lon, 80) and math.isclose(r.lat, 24, abs_tol=1e-9)
+
+
+def test_rounded_doubles_as_by_decimals(spark):
+    rng = random.Random(5)
+    values = [rng.random() * 10 ** rng.randint(-9, 12) for _ in range(3000)] + [rng.randint(0, 10**7) / 2000 for _ in range(3000)] + [0.0, -0.0, -0.25, -1.0005, 1.0005, 2.5e-4, 1e300, float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 3, 6, 9):
+        rows = df.select(N.rounded_double(F.col("v"), digits).alias("got"), F.round("v", digits).alias("want")).collect()
+        assert [repr(r.got) for r in rows] == [repr(r.want) for r in rows]
