@@ -86,8 +86,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashed(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text in lower case, by eight bytes of all of them at once; words of eight bytes at most don't collide."""
+def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text in lower case, by eight bytes of all of them at once, and where they start.
+
+    Words of eight bytes at most don't collide.
+    """
     padded = text + bytes(8)
     word = np.zeros(len(text) + 2, bool)
     word[1:-1] = LETTER[np.frombuffer(text, np.uint8)]
@@ -102,31 +105,82 @@ def hashed(text: bytes) -> np.ndarray:
         h[more] = mix(h[more] * np.uint64(BASE) + (window[start[more] + k] & FIRST[np.minimum(size[more] - k, 8)]))
     for i in np.flatnonzero(size > LONG).tolist():
         h[i] = xxhash.xxh3_64_intdigest(text[start[i] : start[i] + size[i]])
-    return h
+    return h, start
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of a text's words in lower case, made of so many bytes at once; bytes know A-Z and the six blanks only."""
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words in lower case and where they start, made of so many bytes at once; bytes know A-Z and the six blanks only."""
     out, at = [], 0
     while at < len(text):
         cut = BLANK.search(text, at + PIECE) if at + PIECE < len(text) else None
         end = cut.start() if cut else len(text)
-        out.append(hashed(text[at:end].lower()))
+        h, start = hashed(text[at:end].lower())
+        out.append((h, start + at))
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return out[0] if len(out) == 1 else tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return words_of(text)[0]
+
+
+def sets_of(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word n-grams of each text, one text after the other, and where each text's begin.
+
+    All texts are worked on at once: most are short, and calls for each would cost more than the work in them.
+    """
+    w, start = words_of(b" ".join(texts))
+    edge = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    count = np.diff(edge)
+    # a weight for each place, as powers of one number have texts that collide
+    weight = mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
+    size = mix(np.arange(words + 1, dtype=np.uint64) ^ np.uint64(BASE))
+    h = np.zeros(len(w), np.uint64)
+    n = max(0, len(w) - words + 1)
+    for k in range(words):
+        h[:n] += w[k : k + n] * weight[k]
+    h = mix(h ^ size[words])
+    there = np.arange(len(w)) <= np.repeat(edge[1:] - words, count)
+    for i in np.flatnonzero((count > 0) & (count < words)).tolist():  # all words of a short text are one
+        own, at = int(count[i]), int(edge[i])
+        h[at : at + 1] = mix((w[at : at + own] * weight[:own]).sum(keepdims=True) ^ size[own])
+        there[at] = True
+    h = h[there]
+    first = np.r_[0, np.cumsum(there)][edge]
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        h[a:b].sort()
+    kept = np.r_[True, h[1:] != h[:-1]][: len(h)]
+    kept[first[:-1][np.diff(first) > 0]] = True
+    return h[kept], np.r_[0, np.cumsum(kept)][first]
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word n-grams."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    n = max(1, len(w) - words + 1)
-    h = np.full(n, min(words, len(w)), np.uint64)
-    for k in range(min(words, len(w))):
-        h = mix(h * np.uint64(BASE) + w[k : k + n])
-    h.sort()
-    return h[np.r_[True, h[1:] != h[:-1]]]
+    return sets_of([text], words)[0]
+
+
+def groups(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """The texts in UTF-8, so many together that they have PIECE bytes or are one."""
+    held, size = [], 0
+    for t in map(utf8, texts):
+        if held and size + len(t) > PIECE:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
+def all_shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """The sets of some texts."""
+    out = []
+    for some in groups(texts):
+        h, first = sets_of(some, words)
+        out += [h[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return out
 
 
 def digest(h: np.ndarray) -> tuple[int, int]:
@@ -174,24 +228,42 @@ class Bands:
 
     def signatures(self, h: np.ndarray, frequent: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """What a set meets others by, for each of its bands."""
-        out = []
         own = self.band(len(h))
-        at = np.searchsorted(frequent, h)
-        late = frequent[np.minimum(at, len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
-        cold = h[~late]
-        mixed = mix(cold ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        for band in (own, own + 1):
-            k, allowed = self.ranges(band)
-            if not k:
-                continue
-            part = (cold >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
-            found = mix(np.add.reduceat(mixed, first) + mix(part[first] + np.uint64(band << 32))) if len(part) else np.zeros(0, np.uint64)
-            if k - len(first) > allowed:
-                prefix = len(h) - math.ceil(self.t * len(h)) + 1
-                found = np.r_[found, mix(np.r_[cold, h[late]][:prefix] + np.uint64((band << 32) + 1))]
-            out.append((band, found))
-        return out
+        return [(own + which, found) for which, _, found in self.signed(h, np.array([0, len(h)]), frequent) if self.ranges(own + which)[0]]
+
+    def signed(self, h: np.ndarray, first: np.ndarray, frequent: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """What sets, given as by sets_of(), meet others by: in its own band (0) or the next (1), the set's number and the signature."""
+        n = np.diff(first)
+        self.band(int(n.max(initial=1)))
+        own = np.searchsorted(self.low, n, "right") - 1
+        late = np.zeros(len(h), bool)
+        if len(frequent):
+            at = np.searchsorted(frequent, h)
+            late = frequent[np.minimum(at, len(frequent) - 1)] == h
+        cold, edge = h[~late], np.r_[0, np.cumsum(~late)][first]
+        mixed, count = mix(cold ^ np.uint64(0xA5A5A5A5A5A5A5A5)), np.diff(edge)
+        of = np.repeat(np.arange(len(n)), count)
+        begins = edge[:-1][count > 0]
+        for which in (0, 1):
+            band = own + which
+            known = {int(b): self.ranges(int(b)) for b in np.unique(band)}
+            k, allowed = (np.array([known[b][i] for b in band.tolist()], dtype=np.int64) for i in (0, 1))
+            part = (cold >> np.uint64(32)) * k.astype(np.uint64)[of] >> np.uint64(32)
+            new = np.r_[True, part[1:] != part[:-1]][: len(part)]
+            new[begins] = True
+            start = np.flatnonzero(new)
+            doc = of[start]
+            salt = band.astype(np.uint64) << np.uint64(32)
+            found = mix(np.add.reduceat(mixed, start) + mix(part[start] + salt[doc])) if len(start) else np.zeros(0, np.uint64)
+            more = [(doc, found)]
+            for d in np.flatnonzero((k > 0) & (k - np.bincount(doc, minlength=len(n)) > allowed)).tolist():
+                whole, last = h[first[d] : first[d + 1]], late[first[d] : first[d + 1]]
+                prefix = len(whole) - math.ceil(self.t * len(whole)) + 1
+                other = mix(np.r_[whole[~last], whole[last]][:prefix] + (salt[d] + np.uint64(1)))
+                more.append((np.full(len(other), d), other))
+            doc, found = (np.concatenate(c) for c in zip(*more, strict=True))
+            there = k[doc] > 0  # where there are no ranges, only equal sets are similar
+            yield which, doc[there], found[there]
 
 
 def classify(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
@@ -205,7 +277,7 @@ def classify(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
         names = ["doc_id", "n_shingles", "band", "h1", "h2", "sketch"]
         for batch in batches:
             for part in slices(batch):
-                sets = [shingles(utf8(t), words) for t in part.column("text").to_pylist()]
+                sets = all_shingles(part.column("text").to_pylist(), words)
                 h = np.array([digest(s) for s in sets], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands.band(max(1, len(s))) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([sketch(s) for s in sets], pa.binary())], names)
                 grams, n = np.unique(np.concatenate([s for s in sets if len(s)] or [np.zeros(0, np.uint64)]), return_counts=True)
@@ -216,8 +288,8 @@ def classify(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n_shingles long, band long, h1 long, h2 long, sketch binary")
 
 
-def place(first: int, which: int) -> int:
-    """The place of a set in its own band or the next, from the first half of its digest; what shares it meets too."""
+def place(first: np.ndarray, which: int) -> np.ndarray:
+    """The places of sets in their own bands or the next, from the first halves of their digests; what shares one meets too."""
     return first & ~1 | which
 
 
@@ -229,14 +301,16 @@ def met(texts: list[str | None], bands: Bands, words: int, buckets: int, frequen
     """
     hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     seen = set()
-    for t in texts:
-        if t:
-            s = shingles(utf8(t), words)
-            if len(s) and (key := digest(s)[0]) not in seen:
-                seen.add(key)
-                for band, found in bands.signatures(s, frequent):
-                    hashes.append(found)
-                    places.append(np.full(len(found), place(key, band - bands.band(len(s)))))
+    for some in groups(texts):
+        h, first = sets_of(some, words)
+        keys = [digest(h[a:b])[0] if a < b else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        own = np.array([not (k is None or k in seen or seen.add(k)) for k in keys])  # equal sets once
+        n = np.diff(first)
+        h, first = h[np.repeat(own, n)], np.r_[0, np.cumsum(n[own])]
+        key = np.array([k for k, o in zip(keys, own, strict=True) if o], dtype=np.int64)
+        for which, doc, found in bands.signed(h, first, frequent) if len(key) else ():
+            hashes.append(found)
+            places.append(place(key[doc], which))
     h, p = np.concatenate(hashes), np.concatenate(places)
     order = np.argsort(h)  # any of the places that share a hash may stand for them
     h, p = h[order], p[order]
@@ -410,7 +484,7 @@ def whole_sets(docs: DataFrame, plan: DataFrame, words: int) -> DataFrame:
         only("jaccard")
         for batch in batches:
             for part in slices(batch):
-                got = [shingles(utf8(t), words) for t in part.column("text").to_pylist()]
+                got = all_shingles(part.column("text").to_pylist(), words)
                 # another row of the same id may have another set
                 own = [digest(s) == (a, b) for s, a, b in zip(got, part.column("h1").to_pylist(), part.column("h2").to_pylist(), strict=True)]
                 kept = part.filter(pa.array(own, pa.bool_()))
@@ -574,7 +648,7 @@ def digested(docs: DataFrame, names: list[str], words: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                h = np.array([digest(shingles(utf8(t), words)) for t in part.column("text").cast(pa.string()).to_pylist()], dtype=np.int64).reshape(-1, 2)
+                h = np.array([digest(x) for x in all_shingles(part.column("text").cast(pa.string()).to_pylist(), words)], dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(h[:, 0]), pa.array(h[:, 1])], [*part.schema.names, *names])
 
     return docs.mapInArrow(work, T.StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in names)]))
