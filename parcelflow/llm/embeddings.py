@@ -1,14 +1,14 @@
 """Near-duplicate vectors by an exact metric range join.
 
 Cosine of at least `least` is a Euclidean distance of at most r = sqrt(2 - 2 least) between unit vectors.  Pivots,
-spread over a bounded sample, partition the vectors into cells by the nearest pivot.  A vector goes beyond its own cell
-i to a cell j only if the triangle inequality leaves room for a partner there: its distance to pivot j must be at most
-the radius of cell j plus r, and at most 2 r above its distance to pivot i.  Of two cells only one sends its vectors to
-the other.  Each cell then joins independently: its own vectors with one another and with those sent to it.
+spread over a bounded sample, partition the vectors into cells by the nearest pivot, and the vectors of a cell into blocks
+of at most CELL; a block is one row.  Two blocks are joined unless the triangle inequality leaves no room for a pair: the
+distance of their centres must be at most both radii plus r.  Blocks meet in a Cartesian product that reads them where they
+are written, so nothing is sent for a pair of blocks, however many there are, and what is written grows with the vectors.
+Single precision leaves out what is surely below the bound; what decides is double.
 
-Equal vectors are one class first.  Cells with more than CELL vectors are joined in parts, each with all that is sent to
-the cell.  A part reports the number of links of each vector and a spanning forest of them, not the links, so a group
-of near copies costs memory in proportion to its vectors.
+Equal vectors are one class first.  A task reports the number of links of each vector and a spanning forest of them, not
+the links, so a group of near copies costs memory in proportion to its vectors.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of different
 lengths don't link.  Rows keep their number and ids; repeated rows are linked copies; an empty table gives an empty
@@ -27,14 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.llm.common import materialise
-from parcelflow.llm.graph import components
+from parcelflow.llm.graph import components, stars
 
 LEAST = 0.9
-#: Vectors of a part, pivots at most, their bytes at most, sampled vectors a pivot.
-CELL, PIVOTS, PIVOT_BYTES, SAMPLED = 2048, 1024, 8 << 20, 8
+#: Vectors of a block, pivots at most, their bytes at most, sampled vectors a pivot; bytes of a block's vectors.
+CELL, PIVOTS, PIVOT_BYTES, SAMPLED, BLOCK_BYTES = 2048, 1024, 8 << 20, 8, 2 << 20
+#: Files of blocks, and files for each so many blocks; a task has a pair of parts of files.
+FILES, BLOCKS_EACH = 8, 8
 TILE = 1024
-#: Vectors that are compared with the pivots, and sent to a part, together.
-TOGETHER = 2048
+#: Vectors that are compared with the pivots together; links that a task holds before it sums them up.
+TOGETHER, SUMMED = 2048, 1 << 20
 SLACK = 1e-9  # on distances, so that rounding never loses a pair
 
 
@@ -49,6 +51,23 @@ def unit(values: list | None) -> np.ndarray | None:
     return x / math.sqrt(float(x @ x))
 
 
+def raw(values: list) -> bytes:
+    """The components in single precision if they are such, else in double."""
+    x = np.array(values, dtype=np.float64)
+    with np.errstate(over="ignore", under="ignore"):
+        short = x.astype(np.float32)
+    return (short if (short == x).all() else x).tobytes()
+
+
+def unpacked(values: list[bytes], widths: list[int], width: int) -> np.ndarray:
+    """Unit vectors of what raw() made, filled up to a width."""
+    x = np.zeros((len(values), width))
+    for k, (v, n) in enumerate(zip(values, widths, strict=True)):
+        x[k, :n] = np.frombuffer(v, np.float32 if len(v) == 4 * n else np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def units(batch: pa.RecordBatch) -> list[np.ndarray | None]:
     return [unit(v) for v in batch.column("embedding").to_pylist()]
 
@@ -57,18 +76,11 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
 
 
-def padded(rows: list[np.ndarray], width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width))
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
-    return out
-
-
 class Part:
     """A part's own vectors, the links that they have and the trees that these make."""
 
-    def __init__(self, least: float) -> None:
-        self.least = least
+    def __init__(self, least: float, inner: bool = True) -> None:
+        self.least, self.inner = least, inner
         self.held: list[tuple[np.ndarray, ...]] = []
         self.ready = False
 
@@ -76,12 +88,13 @@ class Part:
         self.held.append(rows)
 
     def some(self) -> bool:
-        """Whether there are own vectors; once all of them are there, they are joined with one another."""
+        """Whether there are own vectors; once all of them are there, they are joined with one another, if that is asked for."""
         if not self.ready and self.held:
             self.node, self.copies, self.wide, self.x = (np.concatenate(c) for c in zip(*self.held, strict=True))
             self.held, self.ready = [], True
+            self.short = self.x.astype(np.float32)
             self.links, self.root = np.zeros(len(self.node), np.int64), np.arange(len(self.node))
-            for i in range(0, len(self.node), TILE):
+            for i in range(0, len(self.node) if self.inner else 0, TILE):
                 for j in range(i, len(self.node), TILE):
                     hit = self.near(i, self.x[j : j + TILE], self.wide[j : j + TILE])
                     if j == i:  # each pair once: above the diagonal
@@ -94,7 +107,12 @@ class Part:
         return self.ready
 
     def near(self, i: int, x: np.ndarray, wide: np.ndarray) -> np.ndarray:
-        return (self.x[i : i + TILE] @ x.T >= self.least) & (self.wide[i : i + TILE, None] == wide[None])
+        # rounding of components and sums in single precision is less than what is left here
+        hit = self.short[i : i + TILE] @ x.T.astype(np.float32) >= np.float32(self.least - (x.shape[1] + 16) * 1.2e-7)
+        some, others = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+        if len(some):
+            hit[np.ix_(some, others)] = (self.x[i + some] @ x[others].T >= self.least) & (self.wide[i + some, None] == wide[None, others])
+        return hit
 
     def find(self, k: int) -> int:
         while self.root[k] != k:
@@ -133,6 +151,37 @@ class Part:
         return pa.RecordBatch.from_arrays([pa.array(self.node[kept]), pa.array(self.links[kept]), pa.array(self.node[top[kept]])], ["node", "links", "root"])
 
 
+class Tally:
+    """Links of nodes summed up, and the trees that connect them."""
+
+    def __init__(self) -> None:
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+        self.trees: list[tuple[np.ndarray, np.ndarray]] = []
+        self.more = 0
+
+    def add(self, found: pa.RecordBatch) -> None:
+        node, links, root = (found.column(c).to_numpy() for c in ("node", "links", "root"))
+        self.links.append((node, links))
+        self.trees.append((node, root))
+        self.more += len(node)
+        if self.more > SUMMED:
+            self.sum()
+
+    def sum(self) -> None:
+        node, links = (np.concatenate([x[k] for x in self.links] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        node, at = np.unique(node, return_inverse=True)
+        total = np.zeros(len(node), np.int64)
+        np.add.at(total, at, links)
+        self.links, self.trees, self.more = [(node, total)], [stars(*(np.concatenate([x[k] for x in self.trees] or [np.zeros(0, np.int64)]) for k in (0, 1)))], 0
+
+    def done(self) -> pa.RecordBatch:
+        self.sum()
+        (node, links), (below, top) = self.links[0], self.trees[0]
+        root = node.copy()
+        root[np.searchsorted(node, below)] = top
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(root)], ["node", "links", "root"])
+
+
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding)."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -151,14 +200,14 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, value = [], []
-            for k, (u, a, b) in enumerate(zip(units(batch), batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True)):
-                if u is not None:
+            for k, (v, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("embedding", "h1", "h2")), strict=True)):
+                if (u := unit(v)) is not None:
                     d = hashlib.md5(u.tobytes()).digest()
                     if (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)) == (a, b):
                         keep.append(k)
-                        value.append(u)
+                        value.append(v)
             part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("copies"), pa.array([len(u) for u in value], pa.int32()), pa.array([u.tobytes() for u in value], pa.binary())], ["node", "copies", "width", "value"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("copies"), pa.array([len(v) for v in value], pa.int32()), pa.array([raw(v) for v in value], pa.binary())], ["node", "copies", "width", "value"])
 
     # one row stands for a class; repeated rows of its first id would do so too
     stands = own.join(classes, F.col("vec_id").eqNullSafe(F.col("first"))).select("node", "copies", "h1", "h2", "embedding")
@@ -169,78 +218,102 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
 
     cells = max(1, min(PIVOTS, PIVOT_BYTES // (8 * width), -(-count // CELL)))
     sample = reps.orderBy(F.xxhash64("node"), "node").limit(SAMPLED * cells).collect()  # bounded
-    points = padded([np.frombuffer(r["value"]) for r in sample], width)
+    points = unpacked([r["value"] for r in sample], [r["width"] for r in sample], width)
     chosen, far = [0], np.full(len(points), np.inf)
     while len(chosen) < min(cells, len(points)):  # the farthest of the sample from those chosen
         far = np.minimum(far, apart(points, points[chosen[-1:]])[:, 0])
         chosen.append(int(far.argmax()))
     pivots = points[chosen]
 
-    def read(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-        """TOGETHER rows at a time with their vectors, distances to the pivots and nearest pivots."""
-        for k in range(0, batch.num_rows, TOGETHER):
-            rows = batch.slice(k, TOGETHER)
-            x = padded([np.frombuffer(v) for v in rows.column("value").to_pylist()], width)
-            d = apart(x, pivots)
-            yield rows, x, d, d.argmin(1)
+    def home(batch: pa.RecordBatch) -> np.ndarray:
+        """The nearest pivots of the rows, TOGETHER at a time."""
+        parts = (batch.slice(k, TOGETHER) for k in range(0, batch.num_rows, TOGETHER))
+        return np.concatenate([apart(unpacked(p.column("value").to_pylist(), p.column("width").to_pylist(), width), pivots).argmin(1) for p in parts])
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach, n = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+        n = np.zeros(len(pivots), np.int64)
         for batch in batches:
-            for _, _, d, home in read(batch):
-                np.maximum.at(reach, home, d.min(1))
-                n += np.bincount(home, minlength=len(pivots))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots))), pa.array(reach), pa.array(n)], ["cell", "reach", "n"])
-
-    known = {r["cell"]: (r["reach"], r["n"]) for r in reps.mapInArrow(homes, "cell long, reach double, n long").groupBy("cell").agg(F.max("reach").alias("reach"), F.sum("n").alias("n")).collect()}
-    reach = np.array([known[k][0] for k in range(len(pivots))])
-    parts = np.array([max(1, -(-known[k][1] // CELL)) for k in range(len(pivots))])
+            if batch.num_rows:
+                n += np.bincount(home(batch), minlength=len(pivots))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots))), pa.array(n)], ["cell", "n"])
+
+    known = {r["cell"]: r["n"] for r in reps.mapInArrow(homes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    together = max(1, min(CELL, BLOCK_BYTES // (8 * width)))
+    parts = np.array([max(1, -(-known[k] // together)) for k in range(len(pivots))])
     base = np.r_[0, np.cumsum(parts)]
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, x, d, home in read(batch):
-                fixed = [rows.column(c).to_numpy().astype(np.int64) for c in ("node", "copies", "width")]
-                mine = d[np.arange(len(x)), home]
-                cell = np.arange(len(pivots))
-                turn = np.where((home[:, None] + cell[None]) % 2 == 0, home[:, None] < cell[None], home[:, None] > cell[None])
-                out = turn & (d <= reach[None] + radius + SLACK) & (d <= mine[:, None] + 2 * radius + SLACK)
-                spot = (fixed[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                own_part = base[home] + spot % parts[home]
-
-                def row(p: int, who: np.ndarray, is_home: bool) -> pa.RecordBatch:
-                    values = [v[who].tobytes() for v in (*fixed, x)]  # noqa: B023
-                    return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([is_home]), *(pa.array([v], pa.binary()) for v in values)], ["part", "home", "node", "copies", "width", "value"])
-
-                for p in np.unique(own_part).tolist():
-                    yield row(p, np.flatnonzero(own_part == p), True)
-                for c in range(len(pivots)):
-                    # parts of one cell meet too: those of a part go to the later ones
-                    for p in range(base[c], base[c + 1]):
-                        if (who := np.flatnonzero(out[:, c] | (own_part >= base[c]) & (own_part < p))).size:
-                            yield row(p, who, False)
+            if batch.num_rows:
+                cell = home(batch)
+                spot = (batch.column("node").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((base[cell] + spot % parts[cell]).astype(np.int32)), *batch.columns], ["part", *batch.schema.names])
+
+    fixed = ["node", "copies", "width", "value"]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", *fixed)), strict=True):
+                if held and (p != part or len(held) == 2 * together):
+                    yield block(held)
+                    held = []
+                part = p
+                held.append(row)
+        if held:
+            yield block(held)
+
+    def block(held: list[list]) -> pa.RecordBatch:
+        node, copies, wide, value = zip(*held, strict=True)
+        x = unpacked(list(value), list(wide), width)
+        centre = x.mean(0)
+        single = all(len(v) == 4 * n for v, n in zip(value, wide, strict=True))
+        whole = np.zeros((len(x), width), np.float32 if single else np.float64)
+        for k, (v, n) in enumerate(zip(value, wide, strict=True)):
+            whole[k, :n] = np.frombuffer(v, np.float32 if len(v) == 4 * n else np.float64)
+        blobs = [np.array(c, np.int64).tobytes() for c in (node, copies, wide)]
+        columns = [pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([float(apart(x, centre[None]).max())]), *(pa.array([v], pa.binary()) for v in (*blobs, whole.tobytes()))]
+        return pa.RecordBatch.from_arrays(columns, ["centre", "reach", *fixed])
+
+    files = max(min(len(pivots), FILES), int(base[-1]) // BLOCKS_EACH)
+    dealt = reps.mapInArrow(deal, "part int, node long, copies long, width int, value binary").repartition(files, "part").sortWithinPartitions("part")
+    blocks = dealt.mapInArrow(gather, "centre array<double>, reach double, node binary, copies binary, width binary, value binary")
+    blocks = materialise(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+    def opened(row: list[pa.Scalar]) -> tuple[np.ndarray, ...]:
+        node, copies, wide = (np.frombuffer(b.as_buffer(), np.int64) for b in row[:3])
+        value = row[3].as_buffer()
+        x = np.frombuffer(value, np.float32 if value.size == 4 * width * len(node) else np.float64).reshape(-1, width).astype(np.float64)
+        x /= np.abs(x).max(1, keepdims=True)
+        return node, copies, wide, x / np.sqrt((x * x).sum(1, keepdims=True))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A part's own vectors come first and are held; of those sent to it a row at a time is."""
-        part: int | None = None
-        own: Part | None = None
+        """Pairs of blocks, all of a block one after the other; a block is joined with itself where it meets itself."""
+        own, tally, last = None, Tally(), None
         for batch in batches:
-            for p, is_home, *blobs in zip(*(batch.column(c) for c in ("part", "home", "node", "copies", "width", "value")), strict=True):
-                if p.as_py() != part:
+            for a, b, *blobs in zip(*(batch.column(c) for c in ("block", "other", *fixed, *(f"{c}_" for c in fixed))), strict=True):
+                if a.as_py() != last:
                     if own:
-                        yield own.done()
-                    part, own = p.as_py(), Part(least)
-                node, copies, wide = (np.frombuffer(b.as_buffer(), np.int64) for b in blobs[:3])
-                x = np.frombuffer(blobs[3].as_buffer()).reshape(-1, width)
-                if is_home.as_py():
-                    own.add(node, copies, wide, x)
-                elif own.some():
-                    yield own.visited(node, copies, wide, x)
+                        tally.add(own.done())
+                    last, mine, own = a.as_py(), opened(blobs[:4]), Part(least, False)
+                    own.add(*mine)
+                    own.some()
+                if b.as_py() == last:
+                    self_ = Part(least)
+                    self_.add(*mine)
+                    tally.add(self_.done())
+                else:
+                    tally.add(own.visited(*opened(blobs[4:])))
         if own:
-            yield own.done()
-
-    sent = reps.mapInArrow(send, "part int, home boolean, node binary, copies binary, width binary, value binary")
-    found = materialise(sent.repartition(int(base[-1]), "part").sortWithinPartitions("part", F.desc("home")).mapInArrow(join, "node long, links long, root long"), "links")
+            tally.add(own.done())
+        yield tally.done()
+
+    others = blocks.withColumnsRenamed({"block": "other", **{c: f"{c}_" for c in ("centre", "reach", *fixed)}})
+    one, two = F.col("block"), F.col("other")
+    turn = F.when((one + two) % 2 == 0, one <= two).otherwise(one > two)  # each pair once, and no block all of its own
+    between = F.sqrt(F.aggregate(F.zip_with("centre", "centre_", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y))
+    pairs = blocks.join(others.hint("shuffle_replicate_nl"), turn & (between <= F.col("reach") + F.col("reach_") + radius + SLACK))
+    found = materialise(pairs.drop("centre", "centre_", "reach", "reach_").mapInArrow(join, "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     state = classes.join(links, "node", "left").join(comps, "node", "left").select("h1", "h2", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))

@@ -3,7 +3,7 @@
 from fractions import Fraction
 
 import numpy as np
-from parcelflow.llm import jaccard
+from parcelflow.llm import embeddings, jaccard
 
 WORDS = "a bb ccc dddd eeeee ffffff ggggggg hhhhhhhh iiiiiiiii".split()
 
@@ -41,3 +41,25 @@ def test_short_texts_are_hashed_together(monkeypatch):
             for i, s in enumerate(alone):
                 own = dict(one.signatures(s, common)).get(one.band(len(s)) + which, none)
                 assert (np.sort(found[doc == i]) == np.sort(own)).all()
+
+
+def test_pairs_of_blocks_are_not_sent(spark, monkeypatch):
+    """op8: blocks meet where they are written; what is sent doesn't grow with their pairs, and no link is lost."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(40, 6)), 6, axis=0) + 0.3 * rng.normal(size=(240, 6))
+    x[::2] = x[::2].astype(np.float32)  # some in single precision, some in double, all in one block
+    x[5] = x[11] = x[4]
+    rows = [(i, v[: 5 if i % 9 == 0 else 6].tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 6), (302, [1.0, None]), (303, [1e300] * 6), (304, [1e-300] * 6)]
+    unit = [embeddings.unit(v) for _, v in rows]
+    near = np.array([[a is not None and b is not None and i != j and len(a) == len(b) and float(a @ b) >= 0.9 for j, b in enumerate(unit)] for i, a in enumerate(unit)])
+    label = np.arange(len(rows))
+    for _ in rows:
+        label = np.array([min(label[k], *label[near[k]]) if near[k].any() else label[k] for k in range(len(rows))])
+    want = sorted((v, int(near[k].sum()), rows[label[k]][0], rows[label[k]][0] == v) for k, (v, _) in enumerate(rows))
+    plans, keep = {}, embeddings.materialise
+    monkeypatch.setattr(embeddings, "materialise", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or keep(df, name))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for cell in (2048, 16):
+        monkeypatch.setattr(embeddings, "CELL", cell)
+        assert sorted(tuple(r) for r in embeddings.near_duplicates(df).collect()) == want
+        assert "CartesianProduct" in plans["links"] and "Exchange" not in plans["links"]
